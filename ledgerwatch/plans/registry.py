@@ -1,4 +1,4 @@
 """Imports every query module, so that all queries are registered."""
 
-from ledgerwatch.plans import features  # noqa: F401
+from ledgerwatch.plans import features, profiles  # noqa: F401
 from ledgerwatch.plans.base import QUERIES, SQL  # noqa: F401
