@@ -269,7 +269,7 @@ def ensemble(ps: list[str], weights: list[float]) -> dict[str, Column]:
     """Weighted mean, population variance over models, and stability."""
     total = float(sum(weights))
     cols = [_c(p) for p in ps]
-    mean = sum((c * (w / total) for c, w in zip(cols, weights)), F.lit(0.0))
+    mean = sum((c * float(w) for c, w in zip(cols, weights)), F.lit(0.0)) / total
     plain = sum(cols, F.lit(0.0)) / len(cols)
     var = sum(((c - plain) * (c - plain) for c in cols), F.lit(0.0)) / len(cols)
     return {"fraud_probability": mean, "prediction_variance": var,
