@@ -107,6 +107,6 @@ def nearest_by_log(left: DataFrame, refs: DataFrame, n: str, m: str, lkey: str,
             .select("v", F.coalesce("_lo", "below").alias("a"), F.coalesce("_hi", "above").alias("z")))
     d = lambda s: F.abs(F.col("v") - F.col(f"{s}.v"))
     take_a = F.col("z").isNull() | (d("a") < d("z")) | ((d("a") == d("z")) & (F.col("a.ref") <= F.col("z.ref")))
-    best = near.select("v", F.when(F.col("a").isNotNull() & take_a, F.col("a")).otherwise(F.col("z")).alias("n"))
+    best = near.select("v", F.when(F.col("a").isNotNull() & take_a, F.col("a")).otherwise(F.col("z")).alias("near"))
     return (left.withColumn("v", x(n)).join(best, "v")
-            .select(lkey, n, F.col("n.ref").alias("nearest"), F.abs(F.col("v") - F.col("n.v")).alias("distance")))
+            .select(lkey, n, F.col("near.ref").alias("nearest"), F.abs(F.col("v") - F.col("near.v")).alias("distance")))

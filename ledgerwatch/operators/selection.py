@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import profile as pf
+from ledgerwatch.session import cut_lineage
 
 # Name patterns of features that proved useful elsewhere.
 USEFUL = ["_log", "_sqrt", "_bin", "_is_high", "_is_low", "is_same_", "is_international", "transaction_hour",
@@ -28,7 +29,7 @@ def with_cumulative(imp: DataFrame) -> DataFrame:
     total = F.sum("importance").over(Window.partitionBy("dataset"))
     out = (imp.withColumn("importance_normalized", F.when(total > 0, F.col("importance") / total).otherwise(0.0))
            .withColumns({"importance_percentage": F.col("importance_normalized") * 100,
-                         "importance_cumulative": F.sum("importance_normalized").over(w) * 100}))
+                         "importance_cumulative": F.sum("importance").over(w) / total * 100}))
     return out
 
 
@@ -197,6 +198,7 @@ def diverse_configs(grid: DataFrame, params: list[str], score: str, key: str, th
         good = grid.orderBy(F.desc(score), key).limit(fallback)
     s = good.agg(*[F.struct(F.avg(p).alias("m"), F.stddev_pop(p).alias("s")).alias(p) for p in params]).first()
     scaled = good.withColumns({f"_z_{p}": (F.col(p) - s[p]["m"]) / (s[p]["s"] or 1.0) for p in params})
+    scaled = cut_lineage(scaled)  # the rounds below re-read it
     first = scaled.orderBy(F.desc(score), key).first()
     if first is None:
         return grid.limit(0).withColumn("pick", F.lit(0))
@@ -214,7 +216,8 @@ def diverse_configs(grid: DataFrame, params: list[str], score: str, key: str, th
     picks = F.when(F.lit(False), 0)
     for i, c in enumerate(chosen):
         picks = picks.when(F.col(key) == c[key], i + 1)
-    return grid.where(F.col(key).isin([c[key] for c in chosen])).withColumn("pick", picks)
+    return (scaled.where(F.col(key).isin([c[key] for c in chosen])).withColumn("pick", picks)
+            .select(*grid.columns, "pick"))
 
 
 def diversity_report(chosen: DataFrame, params: list[str]) -> DataFrame:

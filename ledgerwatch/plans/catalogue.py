@@ -220,11 +220,11 @@ CUM = IM + """, rk AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER B
   sum(importance) OVER (PARTITION BY dataset) AS total FROM im)"""
 
 
-@query("l4_importance_table", f"""WITH {CUM} SELECT dataset, feature, round(importance,6) AS importance, round(importance/total,6) AS importance_normalized, round(importance/total*100,4) AS importance_percentage, round(run/total*100,4) AS importance_cumulative FROM rk""")
+@query("l4_importance_table", f"""WITH {CUM} SELECT dataset, feature, round(importance,6) AS importance, round(importance/total,6) AS importance_normalized, round(importance/total*100,4) AS importance_percentage, round(run/total*100,5) AS importance_cumulative FROM rk""")
 def l4t(spark, d):
     c = sl.with_cumulative(importance_table(spark, d))
     return c.select("dataset", "feature", r("importance", 6).alias("importance"), r("importance_normalized", 6).alias("importance_normalized"),
-                    r("importance_percentage").alias("importance_percentage"), r("importance_cumulative").alias("importance_cumulative"))
+                    r("importance_percentage").alias("importance_percentage"), r("importance_cumulative", 5).alias("importance_cumulative"))
 
 
 @query("w4_features_needed", f"WITH {CUM} SELECT dataset, count(*) FILTER (run/total*100 < 80-1e-9) + 1 AS for_80, count(*) FILTER (run/total*100 < 95-1e-9) + 1 AS for_95 FROM rk GROUP BY 1")
