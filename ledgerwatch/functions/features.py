@@ -35,7 +35,7 @@ def to_number(x: str | Column, default: float | None = 0.0) -> Column:
 def finite(x: str | Column, default: float | None = None) -> Column:
     """NaN and both infinities become NULL (or the default)."""
     v = _c(x).cast("double")
-    ok = F.when(~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))), v)
+    ok = F.when(F.abs(v) < F.lit(float("inf")), v)  # NaN sorts above infinity
     return ok if default is None else F.coalesce(ok, F.lit(float(default)))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions import features as ft
 from ledgerwatch.operators import engineering, evaluate
 from ledgerwatch.operators.columns import align
+from ledgerwatch.session import spread
 
 # Default parameters and the tree parameter each one sets here.
 # L1/L2 penalties have no counterpart in these trees and are not offered.
@@ -42,7 +43,7 @@ class FraudModel:
     performance: dict = field(default_factory=dict)
 
     def probabilities(self, df: DataFrame, keep: list[str], name: str = "fraud_probability") -> DataFrame:
-        x = align(self.features.transform(df, keep), self.columns, keep)
+        x = align(self.features.transform(spread(df), keep), self.columns, keep)
         v = VectorAssembler(inputCols=self.columns, outputCol="features").transform(x)
         return self.trees.transform(v).select(*keep, vector_to_array("probability")[1].alias(name))
 
@@ -75,15 +76,16 @@ def train(df: DataFrame, label: str, key: str, features: engineering.FittedFeatu
           seed: int = 42, test: float = 0.2, validation: float = 0.15, use: list[str] | None = None, measure: bool = True) -> FraudModel:
     """Split 80/20 per class, hold out part of the training rows for early stopping, fit
     features on training rows only, then measure on the test rows."""
-    split = evaluate.stratified_split(df, label, key, [test, (1 - test) * validation, (1 - test) * (1 - validation)], seed, "_fold")
+    split = evaluate.stratified_split(spread(df), label, key, [test, (1 - test) * validation, (1 - test) * (1 - validation)], seed, "_fold")
     fit_rows = split.where("_fold > 0").drop("_fold")
     features = engineering.fit_rules(fit_rows.drop(key), label) if features is None else features
     columns = use or features.outputs
     ready = align(features.transform(split, [key, label, "_fold"]), columns, [key, label, "_fold"])
     ready = evaluate.add_class_weight(ready.withColumn("label", F.col(label).cast("double")), label, train=F.col("_fold") > 0)
     v = VectorAssembler(inputCols=columns, outputCol="features").transform(ready)
-    rows = v.where("_fold > 0").select("features", "label", "weight", (F.col("_fold") == 1).alias("is_validation"))
+    rows = v.where("_fold > 0").select("features", "label", "weight", (F.col("_fold") == 1).alias("is_validation")).persist()
     trees = classifier(params, seed, "is_validation").fit(rows)
+    rows.unpersist()
     model = FraudModel(features, trees, columns)
     if measure:
         scored = trees.transform(v).select(label, "_fold", vector_to_array("probability")[1].alias("p"))
@@ -110,7 +112,7 @@ def grid_search(df: DataFrame, label: str, key: str, features: engineering.Fitte
     evaluator = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)
 
     def run(rows: DataFrame, grid: dict[str, list], start: dict, stage: int):
-        folded = evaluate.stratified_split(rows, label, key, [1 / folds] * folds, seed, "fold")
+        folded = evaluate.stratified_split(spread(rows), label, key, [1 / folds] * folds, seed, "fold")
         x = align(features.transform(folded, [label, "fold"]), columns, [label, "fold"])
         x = evaluate.add_class_weight(x.withColumn("label", F.col(label).cast("double")), label)
         v = VectorAssembler(inputCols=columns, outputCol="features").transform(x).select("features", "label", "weight", "fold").persist()
@@ -138,12 +140,14 @@ def ensemble_scores(df: DataFrame, keep: list[str], models: list[tuple[FraudMode
 
     Each model adds one column to the same rows, so no join is needed.
     """
-    out, ps = df.withColumns({f"_id_{c}": F.col(c) for c in keep}), []
+    base, ps = {c: f"_b_{c}" for c in df.columns}, []
+    out = spread(df)
     for i, (m, _) in enumerate(models):
-        out = m.probabilities(out, out.columns, f"_p{i}")
+        out = out.withColumns({b: F.col(c) for c, b in base.items()})
+        out = m.probabilities(out, [*base.values(), *ps], f"_p{i}").withColumnsRenamed({b: c for c, b in base.items()})
         ps.append(f"_p{i}")
     e = ft.ensemble(ps, [w for _, w in models])
-    scored = out.select(*[F.col(f"_id_{c}").alias(c) for c in keep], *[v.alias(k) for k, v in e.items()])
+    scored = out.select(*keep, *[v.alias(k) for k, v in e.items()])
     return scored.withColumns({"fraud_prediction": ft.predicted("fraud_probability", threshold), "risk_level": ft.risk_level("fraud_probability")})
 
 

@@ -10,6 +10,7 @@ from ledgerwatch.functions import features as ft
 from ledgerwatch.operators.ordering import at_most, exact_quantiles, global_rank
 
 BROADCAST_CODES = 100_000
+LITERAL_CODES = 1_000
 
 
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -46,6 +47,22 @@ def fit_label_codes(df: DataFrame, cols: list[str]) -> DataFrame:
             .select("column", "value", (F.col("pos") - F.col("first")).alias("code")))
 
 
+def small_code_maps(codes: DataFrame) -> dict[str, dict[str, int]] | None:
+    """The code table as plain dictionaries when it has at most ``LITERAL_CODES`` rows."""
+    rows = codes.limit(LITERAL_CODES + 1).collect()
+    if len(rows) > LITERAL_CODES:
+        return None
+    out: dict[str, dict[str, int]] = {}
+    for x in rows:
+        out.setdefault(x["column"], {})[x["value"]] = int(x["code"])
+    return out
+
+
+def code_from_map(c: str, mapping: dict[str, int], unseen: int = -1):
+    pairs = F.create_map(*[F.lit(v) for kv in sorted(mapping.items()) for v in kv])
+    return F.coalesce(pairs[F.coalesce(F.col(c).cast("string"), F.lit("nan"))], F.lit(unseen))
+
+
 def apply_label_codes(df: DataFrame, codes: DataFrame, cols: list[str], suffix: str = "",
                       unseen: int = -1) -> DataFrame:
     """Replaces each text by its fitted code.  The code table is broadcast only when

@@ -15,6 +15,7 @@ from ledgerwatch.functions import names as nm
 from ledgerwatch.operators import encode
 from ledgerwatch.operators.ordering import exact_quantiles
 from ledgerwatch.operators.profile import column_profile, is_numeric
+from ledgerwatch.session import cut_lineage
 
 # A technique is applied when its score exceeds the threshold.
 THRESHOLDS = {"polynomial": 0.70, "interaction": 0.60, "binning": 0.40, "log_transform": 0.50, "aggregation": 0.60}
@@ -51,6 +52,15 @@ STEPS = {
 }
 
 
+def fit_codes(df: DataFrame, cats: list[str]) -> dict:
+    """Codes as literals when there are few, otherwise as a table written once."""
+    if not cats:
+        return {}
+    codes = encode.fit_label_codes(df, cats)
+    maps = encode.small_code_maps(codes)
+    return {"code_maps": maps} if maps is not None else {"codes": cut_lineage(codes)}
+
+
 @dataclass
 class FittedFeatures:
     """Steps, category codes, customer statistics, fill values and the output order."""
@@ -61,6 +71,7 @@ class FittedFeatures:
     fill: dict[str, float] = field(default_factory=dict)
     customer: str | None = None
     amount: str | None = None
+    code_maps: dict[str, dict[str, int]] | None = None
     codes: DataFrame | None = None
     stats: DataFrame | None = None
 
@@ -75,13 +86,15 @@ class FittedFeatures:
         out = df.withColumns({**kept, **{s["name"]: STEPS[s["kind"]](s) for s in self.steps}})
         if self.customer:
             out = out.join(self.stats, self.customer, "left")
-        if self.categorical:
+        if self.categorical and self.code_maps is not None:
+            out = out.withColumns({c: encode.code_from_map(c, self.code_maps.get(c, {"": 0})) for c in self.categorical})
+        elif self.categorical:
             out = encode.apply_label_codes(out, self.codes, self.categorical)
         value = lambda c: F.coalesce(ft.finite(c), F.lit(float(self.fill.get(c, 0.0)))).alias(c)
         return out.select(*[F.col(k).alias(k[len("_keep_"):]) for k in kept], *[value(c) for c in self.outputs])
 
     def save(self, spark: SparkSession, path: str) -> None:
-        state = {k: getattr(self, k) for k in ("steps", "inputs", "categorical", "fill", "customer", "amount")}
+        state = {k: getattr(self, k) for k in ("steps", "inputs", "categorical", "fill", "customer", "amount", "code_maps")}
         spark.createDataFrame([(json.dumps(state),)], "value string").write.mode("overwrite").text(f"{path}/state")
         if self.codes is not None:
             self.codes.write.mode("overwrite").parquet(f"{path}/codes")
@@ -91,7 +104,7 @@ class FittedFeatures:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "FittedFeatures":
         out = FittedFeatures(**json.loads(spark.read.text(f"{path}/state").first()["value"]))
-        if out.categorical:
+        if out.categorical and out.code_maps is None:
             out.codes = spark.read.parquet(f"{path}/codes")
         if out.customer:
             out.stats = spark.read.parquet(f"{path}/stats")
@@ -124,7 +137,9 @@ def fit_rules(df: DataFrame, target: str | None = None, roles: dict[str, list[st
     steps: list[dict] = []
     add = lambda name, kind, **kw: steps.append({"name": name, "kind": kind, **kw})
     plain = [c for c in amounts if "zscore" not in c.lower() and "z_score" not in c.lower()]
-    q = exact_quantiles(x, {c: [0.0, 0.05, 0.95, 1.0] for c in plain}) if plain else {}
+    dropped = set(get("id") + get("date") + get("name"))
+    medians = [c for c in x.columns if c in numeric and c not in dropped]
+    q = exact_quantiles(x, {c: [0.0, 0.05, 0.95, 1.0, 0.5] for c in dict.fromkeys(plain + medians)}) if plain or medians else {}
     for c in amounts:
         if c not in plain:
             add(f"{c}_squared", "square", a=c)
@@ -156,13 +171,10 @@ def fit_rules(df: DataFrame, target: str | None = None, roles: dict[str, list[st
     for c in get("name"):
         add(f"{c}_length", "length", a=c)
         add(f"{c}_words", "words", a=c)
-    dropped = set(get("id") + get("date") + get("name"))
     cats = [c for c in get("categorical") + get("country") + get("bank") if c not in numeric and c not in dropped]
     inputs = [c for c in x.columns if c not in dropped and (c in numeric or c in cats)]
-    nums = [c for c in inputs if c in numeric]
-    med = exact_quantiles(x, {c: [0.5] for c in nums}) if nums else {}
-    return FittedFeatures(steps, inputs, cats, {c: med[c][0] or 0.0 for c in nums},
-                          codes=encode.fit_label_codes(x, cats) if cats else None)
+    return FittedFeatures(steps, inputs, cats, {c: q[c][4] or 0.0 for c in inputs if c in numeric},
+                          **fit_codes(x, cats))
 
 
 def fit_flags(df: DataFrame, flags: dict[str, float], amounts: list[str], times: list[str] | None = None,
@@ -212,6 +224,6 @@ def fit_flags(df: DataFrame, flags: dict[str, float], amounts: list[str], times:
         stats = df.groupBy(customer).agg(F.count("*").alias(f"{customer}_tx_count"), F.avg(amounts[0]).alias(f"{customer}_avg_amount"))
     inputs = [c for c in df.columns if (c in numeric or c in cats) and c != customer]
     return FittedFeatures(steps, inputs, cats, {}, customer if stats is not None else None, amounts[0],
-                          encode.fit_label_codes(df, cats) if cats else None, stats)
+                          stats=stats, **fit_codes(df, cats))
 
 

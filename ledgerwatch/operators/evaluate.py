@@ -36,7 +36,7 @@ def stratified_split(df: DataFrame, label: str, key: str, fractions: list[float]
             if k > 0:
                 place.append((c, i, len(wanted)))
                 wanted.append((F.when(F.col(label) == F.lit(c), F.col("_h")), k - 1))
-    cuts = order_statistics(hashed, wanted)
+    cuts = order_statistics(hashed, wanted, rows=max(counts.values(), default=0))
     fold = F.lit(len(fractions) - 1)
     for c, i, at in sorted(place, key=lambda x: -x[1]):
         fold = F.when((F.col(label) == F.lit(c)) & (F.col("_h") <= F.lit(cuts[at])), F.lit(i)).otherwise(fold)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions import features as ft
 from ledgerwatch.operators.ordering import exact_quantiles
-from ledgerwatch.session import cut_lineage
+from ledgerwatch.session import cut_lineage, spread
 
 TREES, SAMPLE = 100, 256
 
@@ -107,7 +107,7 @@ def raw_scores(df: DataFrame, forest: list, key: str, cols: list[str], sample: i
             yield pd.DataFrame({key: pdf[key], "raw": np.power(2.0, -total / max(len(shared.value), 1) / normal)})
 
     ktype = dict(df.dtypes)[key]
-    clean = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    clean = spread(df).select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     return clean.mapInPandas(score, f"`{key}` {ktype}, raw double")
 
 

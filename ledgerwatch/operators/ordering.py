@@ -33,15 +33,20 @@ class _Target:
 
 
 def order_statistics(df: DataFrame, wanted: list[tuple[Column, int]],
-                     row_limit: int = ROW_LIMIT) -> list:
+                     row_limit: int = ROW_LIMIT, rows: int | None = None) -> list:
     """k-th smallest values; each wanted item is (numeric column, k from 0).
 
+    ``rows``, when the caller knows it, bounds the non-null values of every item.
+
     Every pass is one map-side-combined histogram between the current bounds,
     so the driver sees at most ``BINS`` counts per item.
     """
     if not wanted:
         return []
     targets = [_Target(v, k) for v, k in wanted]
+    if rows is not None and rows <= row_limit:
+        row = df.agg(*[F.sort_array(F.collect_list(t.value))[t.k].alias(f"t{i}") for i, t in enumerate(targets)]).first()
+        return list(row)
     ends = df.agg(*[F.struct(F.min(t.value).alias("lo"), F.max(t.value).alias("hi"),
                              F.count(t.value).alias("n")).alias(f"t{i}")
                     for i, t in enumerate(targets)]).first()
@@ -162,12 +167,13 @@ def running_totals(df: DataFrame, order_cols: list, measures: dict[str, Column],
                 .orderBy("_part").collect())
     base, shifts = {k: 0 for k in measures}, []
     for r in per_part:
-        shifts.append((r["_part"], *[base[k] for k in measures]))
+        shifts.append((r["_part"], *[str(base[k]) for k in measures]))
         base = {k: base[k] + (r[k] or 0) for k in measures}
     types = {f.name: f.dataType.simpleString() for f in
              ranged.agg(*[F.sum(f"_m_{k}").alias(k) for k in measures]).schema}
     shift = df.sparkSession.createDataFrame(
-        shifts, "_part int, " + ", ".join(f"`_b_{k}` {types[k]}" for k in measures))
+        shifts, "_part int, " + ", ".join(f"`_b_{k}` string" for k in measures))
+    shift = shift.withColumns({f"_b_{k}": F.col(f"_b_{k}").cast(types[k]) for k in measures})
     w = Window.partitionBy("_part").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0)
     return (ranged.withColumns({k: F.sum(f"_m_{k}").over(w) for k in measures})
             .join(F.broadcast(shift), "_part")

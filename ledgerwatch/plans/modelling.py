@@ -29,14 +29,14 @@ def quick_model(df, seed: int = 42, measure: bool = False, trees: int = 10) -> b
     return boosting.train(df, "is_fraud", "line_id", rules(df), {**QUICK, "n_estimators": trees}, seed, measure=measure)
 
 
-@query("f24_rule_engineering", """WITH q AS (SELECT quantile_cont(l_extendedprice,0.05) AS a, quantile_cont(l_extendedprice,0.95) AS b, min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem)
- SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ln(1+l_extendedprice),4) AS l_extendedprice_log, greatest(0, least(9, ceil((l_extendedprice-mn)/((mx-mn)/10))-1))::DOUBLE AS l_extendedprice_bin,
+@query("f24_rule_engineering", f"""WITH {LI}, q AS (SELECT quantile_cont(l_extendedprice,0.05) AS a, quantile_cont(l_extendedprice,0.95) AS b, min(l_extendedprice) AS mn, max(l_extendedprice) AS mx FROM lineitem)
+ SELECT line_id, l_linenumber::DOUBLE AS l_linenumber, round(ln(1+l_extendedprice),4) AS l_extendedprice_log, greatest(0, least(9, ceil((l_extendedprice-mn)/((mx-mn)/10))-1))::DOUBLE AS l_extendedprice_bin,
  (l_extendedprice > b)::INT::DOUBLE AS l_extendedprice_is_high, (l_extendedprice < a)::INT::DOUBLE AS l_extendedprice_is_low, month(l_shipdate)::DOUBLE AS transaction_month, (isodow(l_shipdate)-1)::DOUBLE AS transaction_weekday,
- (dense_rank() OVER (ORDER BY l_returnflag)-1)::DOUBLE AS l_returnflag, (dense_rank() OVER (ORDER BY l_linestatus)-1)::DOUBLE AS l_linestatus FROM lineitem, q""")
+ (dense_rank() OVER (ORDER BY l_returnflag)-1)::DOUBLE AS l_returnflag, (dense_rank() OVER (ORDER BY l_linestatus)-1)::DOUBLE AS l_linestatus FROM li, q""")
 def f24(spark, d):
     li = lines(spark, d)
-    x = rules(li).transform(li, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
-    return x.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r("l_extendedprice_log").alias("l_extendedprice_log"), "l_extendedprice_bin", "l_extendedprice_is_high",
+    x = rules(li).transform(li, ["line_id"])
+    return x.select("line_id", "l_linenumber", r("l_extendedprice_log").alias("l_extendedprice_log"), "l_extendedprice_bin", "l_extendedprice_is_high",
                     "l_extendedprice_is_low", "transaction_month", "transaction_weekday", "l_returnflag", "l_linestatus")
 
 
@@ -47,12 +47,12 @@ FLAGS = {"polynomial": 0.9, "interaction": 0.9, "binning": 0.9, "log_transform":
  SELECT event_id, round(value*value,4) AS value_squared, round(value*value*value/1e3,4) AS value_cubed_k, round(value*k,4) AS value_x_k, round(value*hour(ts),4) AS value_x_hour,
  greatest(0, len(list_filter(e, lambda x: x < value)) - 1)::DOUBLE AS value_bin, round(value/(k+1e-6),2) AS value_div_k, round(sin(2*pi()*hour(ts)/24),4) AS hour_sin, round(cos(2*pi()*(isodow(ts)-1)/7),4)+0.0 AS weekday_cos,
  (isodow(ts)>=6)::INT::DOUBLE AS is_weekend, (hour(ts)>=22 OR hour(ts)<=6)::INT::DOUBLE AS is_night, (hour(ts) BETWEEN 9 AND 17)::INT::DOUBLE AS is_business_hours,
- (count(*) OVER (PARTITION BY user_id))::DOUBLE AS user_id_tx_count, round(avg(value) OVER (PARTITION BY user_id),4) AS user_id_avg_amount FROM ev, q""")
+ (count(*) OVER (PARTITION BY user_id))::DOUBLE AS user_id_tx_count, round(avg(value) OVER (PARTITION BY user_id),8) AS user_id_avg_amount FROM ev, q""")
 def f23(spark, d):
     e = events(spark, d).withColumns({"hour": F.hour("ts"), "weekday": F.weekday("ts")}).select("event_id", "user_id", "value", "k", "hour", "weekday")
     f = engineering.fit_flags(e.drop("event_id"), FLAGS, ["value", "k"], ["hour", "weekday"], "user_id")
     x = f.transform(e, ["event_id"])
-    dig = {"value_div_k": 2}
+    dig = {"value_div_k": 2, "user_id_avg_amount": 8}
     return x.select("event_id", r(F.col("value_cubed") / 1e3).alias("value_cubed_k"), (r("weekday_cos") + 0.0).alias("weekday_cos"), *[r(c, dig.get(c, 4)).alias(c) for c in (
         "value_squared", "value_x_k", "value_x_hour", "value_bin", "value_div_k", "hour_sin", "is_weekend", "is_night", "is_business_hours", "user_id_tx_count", "user_id_avg_amount")])
 
