@@ -21,9 +21,9 @@ BINS = 1024
 
 @dataclass
 class _Target:
-    """The ``k``-th smallest (from 0) of ``value`` among its non-null rows."""
+    """The ``k``-th smallest (from 0) of column ``value`` among its non-null rows."""
 
-    value: Column
+    value: str
     k: int
     lo: float = 0.0
     hi: float = 0.0
@@ -31,78 +31,103 @@ class _Target:
     inside: int = 0
     answer: float | None = None
 
+    @property
+    def interval(self) -> tuple:
+        return self.value, self.lo, self.hi
+
 
 def order_statistics(df: DataFrame, wanted: list[tuple[Column, int]],
                      row_limit: int = ROW_LIMIT, rows: int | None = None) -> list:
     """k-th smallest values; each wanted item is (numeric column, k from 0).
 
     ``rows``, when the caller knows it, bounds the non-null values of every item.
-
-    Every pass is one map-side-combined histogram between the current bounds,
-    so the driver sees at most ``BINS`` counts per item.
+    Every pass is one map-side-combined histogram per open interval, so the
+    driver sees at most ``BINS`` counts for each of them.
     """
     if not wanted:
         return []
-    targets = [_Target(v, k) for v, k in wanted]
+    columns: dict[str, tuple[str, Column]] = {}
+    targets = []
+    for v, k in wanted:
+        name, _ = columns.setdefault(str(v), (f"v{len(columns)}", v))
+        targets.append(_Target(name, k))
+    vals = df.select(*[c.alias(n) for n, c in columns.values()])
     if rows is not None and rows <= row_limit:
-        row = df.agg(*[F.sort_array(F.collect_list(t.value))[t.k].alias(f"t{i}") for i, t in enumerate(targets)]).first()
-        return list(row)
-    ends = df.agg(*[F.struct(F.min(t.value).alias("lo"), F.max(t.value).alias("hi"),
-                             F.count(t.value).alias("n")).alias(f"t{i}")
-                    for i, t in enumerate(targets)]).first()
-    for i, t in enumerate(targets):
-        t.lo, t.hi, t.inside = ends[i]["lo"], ends[i]["hi"], ends[i]["n"]
+        row = vals.agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in vals.columns])
+        return list(row.select(*[F.col(t.value)[t.k] for t in targets]).first())
+    ends = vals.agg(*[F.struct(F.min(n).alias("lo"), F.max(n).alias("hi"), F.count(n).alias("n")).alias(n)
+                      for n in vals.columns]).first()
+    for t in targets:
+        t.lo, t.hi, t.inside = ends[t.value]["lo"], ends[t.value]["hi"], ends[t.value]["n"]
         if t.inside == 0 or not 0 <= t.k < t.inside:
             raise ValueError(f"rank {t.k} is outside the {t.inside} values")
     while True:
         for t in targets:
             if t.answer is None and t.lo == t.hi:
                 t.answer = t.lo
-        pending = [(i, t) for i, t in enumerate(targets) if t.answer is None]
+        pending = [t for t in targets if t.answer is None]
         if not pending:
             return [t.answer for t in targets]
-        small = [(i, t) for i, t in pending if t.inside <= row_limit]
-        if small:
-            _finish(df, small)
-        wide = [(i, t) for i, t in pending if t.inside > row_limit]
-        if wide:
-            _narrow(df, wide)
+        small = [t for t in pending if t.inside <= row_limit]
+        _finish(vals, small)
+        _narrow(vals, [t for t in pending if t.inside > row_limit])
+
+
+def _intervals(items: list[_Target]) -> dict[tuple, list[_Target]]:
+    out: dict[tuple, list[_Target]] = {}
+    for t in items:
+        out.setdefault(t.interval, []).append(t)
+    return out
+
 
+def _within(key: tuple) -> Column:
+    value, lo, hi = key
+    return F.col(value).between(F.lit(lo), F.lit(hi))
 
-def _between(t: _Target) -> Column:
-    return (t.value >= F.lit(t.lo)) & (t.value <= F.lit(t.hi))
+
+def _any(keys) -> Column:
+    out = F.lit(False)
+    for k in keys:
+        out = out | _within(k)
+    return out
 
 
-def _finish(df: DataFrame, items) -> None:
-    """The interval holds at most the row limit: sort it and read the rank."""
-    row = df.agg(*[
-        F.sort_array(F.collect_list(F.when(_between(t), t.value)))[t.k - t.below].alias(f"t{i}")
-        for i, t in items]).first()
-    for i, t in items:
-        t.answer = row[f"t{i}"]
+def _finish(vals: DataFrame, items: list[_Target]) -> None:
+    """The intervals hold at most the row limit each: sort them and read the ranks."""
+    groups = _intervals(items)
+    if not groups:
+        return
+    row = vals.where(_any(groups)).agg(*[F.sort_array(F.collect_list(F.when(_within(k), F.col(k[0])))).alias(f"g{i}")
+                                         for i, k in enumerate(groups)])
+    picks = [(t, F.col(f"g{i}")[t.k - t.below]) for i, ts in enumerate(groups.values()) for t in ts]
+    for (t, _), answer in zip(picks, row.select(*[c for _, c in picks]).first()):
+        t.answer = answer
 
 
-def _narrow(df: DataFrame, items) -> None:
+def _narrow(vals: DataFrame, items: list[_Target]) -> None:
+    groups = _intervals(items)
+    if not groups:
+        return
     cells = []
-    for i, t in items:
-        width = (t.hi - t.lo) / BINS
-        cell = F.least(F.lit(BINS - 1), F.floor((t.value - F.lit(t.lo)) / F.lit(width)).cast("int"))
-        cells.append(F.when(_between(t), F.struct(
-            F.lit(i).alias("target"), cell.alias("cell"), t.value.alias("v"))))
+    for i, (value, lo, hi) in enumerate(groups):
+        v = F.col(value)
+        cell = F.least(F.lit(BINS - 1), F.floor((v - F.lit(lo)) / F.lit((hi - lo) / BINS)).cast("int"))
+        cells.append(F.when(_within((value, lo, hi)), F.struct(F.lit(i).alias("g"), cell.alias("cell"), v.alias("v"))))
     hist: dict[int, list] = {}
-    rows = (df.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
-            .groupBy("c.target", "c.cell")
-            .agg(F.count("*").alias("n"), F.min("c.v").alias("lo"), F.max("c.v").alias("hi"))
+    rows = (vals.where(_any(groups)).select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
+            .groupBy("c.g", "c.cell").agg(F.count("*").alias("n"), F.min("c.v").alias("lo"), F.max("c.v").alias("hi"))
             .collect())
     for r in rows:
-        hist.setdefault(r["target"], []).append(r)
-    for i, t in items:
-        before = t.below
-        for r in sorted(hist[i], key=lambda r: r["cell"]):
-            if t.k < before + r["n"]:
-                t.lo, t.hi, t.below, t.inside = r["lo"], r["hi"], before, r["n"]
-                break
-            before += r["n"]
+        hist.setdefault(r["g"], []).append(r)
+    for i, ts in enumerate(groups.values()):
+        bins = sorted(hist[i], key=lambda r: r["cell"])
+        for t in ts:
+            before = t.below
+            for r in bins:
+                if t.k < before + r["n"]:
+                    t.lo, t.hi, t.below, t.inside = r["lo"], r["hi"], before, r["n"]
+                    break
+                before += r["n"]
 
 
 def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],

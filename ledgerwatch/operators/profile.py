@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,29 +44,50 @@ def melt(row: DataFrame, fields: dict[str, dict[str, Column]]) -> DataFrame:
     return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
+def melt_numbers(df: DataFrame, cols: list[str], *others: Column) -> DataFrame:
+    """(name, x, ...): one row per row and numeric column.
+
+    Aggregating this by name keeps the generated code small however wide the table
+    is, and map-side combining leaves one row per column and task to shuffle.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])
+    return df.select(*others, F.explode(cells).alias("c")).select(*[o for o in df.select(*others).columns], "c.name", "c.x")
+
+
+def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(name, n_unique) per column.
+
+    The exact form counts each column on its own: a columnar scan reads the same
+    bytes as one pass over all columns, and no row is expanded per column.
+    """
+    if not exact:
+        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns])
+        return melt(row, {c: {"n_unique": F.col(c)} for c in df.columns})
+    parts = [df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.lit(c).alias("name"), F.count("*").alias("n_unique")) for c in df.columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
     """name, position, dtype, n_rows, n_unique, missing, missing_pct, mean, std, min, max.
 
-    Distinct counts are exact up to ``EXACT_COLUMNS`` columns (the exact form
-    expands every row per column) and sketched beyond, unless told otherwise.
+    Distinct counts are exact up to ``EXACT_COLUMNS`` columns and sketched beyond,
+    unless told otherwise.
     """
     exact = len(df.columns) <= EXACT_COLUMNS if exact is None else exact
-    uniq = F.count_distinct if exact else F.approx_count_distinct
-    nums = set(numeric_columns(df))
-    aggs, fields = [F.count("*").alias("n_rows")], {}
-    for i, f in enumerate(df.schema):
-        c = F.col(f.name)
-        aggs += [F.count(c).alias(f"n_{i}"), uniq(c).alias(f"u_{i}")]
-        if f.name in nums:
-            aggs += [F.avg(c).alias(f"a_{i}"), F.stddev_samp(c).alias(f"s_{i}"),
-                     F.min(c).cast("double").alias(f"lo_{i}"), F.max(c).cast("double").alias(f"hi_{i}")]
-        num = lambda p: F.col(f"{p}_{i}") if f.name in nums else F.lit(None).cast("double")  # noqa: E731,B023
-        fields[f.name] = {
-            "position": F.lit(i), "dtype": F.lit(kind(f.dataType)), "n_rows": F.col("n_rows"),
-            "n_unique": F.col(f"u_{i}"), "missing": F.col("n_rows") - F.col(f"n_{i}"),
-            "missing_pct": (F.col("n_rows") - F.col(f"n_{i}")) / F.col("n_rows") * 100,
-            "mean": num("a"), "std": num("s"), "min": num("lo"), "max": num("hi")}
-    return melt(df.agg(*aggs), fields)
+    nums = numeric_columns(df)
+    counts = melt(df.agg(F.count("*").alias("n_rows"), *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(df.columns)]),
+                  {f.name: {"position": F.lit(i), "dtype": F.lit(kind(f.dataType)), "n_rows": F.col("n_rows"), "present": F.col(f"n_{i}")}
+                   for i, f in enumerate(df.schema)})
+    out = counts.join(F.broadcast(distinct_counts(df, exact)), "name")
+    if nums:
+        stats = melt_numbers(df, nums).groupBy("name").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
+                                                           F.min("x").alias("min"), F.max("x").alias("max"))
+        out = out.join(F.broadcast(stats), "name", "left")
+    else:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("mean", "std", "min", "max")})
+    gone = F.col("n_rows") - F.col("present")
+    return out.select("name", "position", "dtype", "n_rows", "n_unique", gone.alias("missing"), (gone / F.col("n_rows") * 100).alias("missing_pct"),
+                      "mean", "std", "min", "max")
 
 
 def sample_values(df: DataFrame, cols: list[str], n: int = 5) -> DataFrame:
@@ -103,9 +127,9 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 def target_correlations(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     """|r| with the label per numeric column; a constant column gives NULL."""
-    row = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])
-    value = lambda c: F.when(~F.isnan(F.col(c)), F.abs(F.col(c)))
-    return melt(row, {c: {"position": F.lit(i), "correlation": value(c)} for i, c in enumerate(cols)})
+    r = melt_numbers(df, cols, F.col(label).cast("double").alias("_y")).groupBy("name").agg(F.corr("x", "_y").alias("r"))
+    place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("name")).cast("int") - 1
+    return r.select("name", place.alias("position"), F.when(~F.isnan("r"), F.abs("r")).alias("correlation"))
 
 
 def moments(df: DataFrame, cols: list[str], corrected: bool = False) -> DataFrame:
@@ -114,19 +138,14 @@ def moments(df: DataFrame, cols: list[str], corrected: bool = False) -> DataFram
     Population skewness and kurtosis by default; ``corrected`` gives the
     sample-size-corrected forms.
     """
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append(F.struct(F.count(x).cast("double").alias("n"), F.var_samp(x).alias("v"), F.stddev_samp(x).alias("s"),
-                             F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2")).alias(c))
-    fields = {}
-    for c in cols:
-        n, g1, g2 = F.col(f"`{c}`.n"), F.col(f"`{c}`.g1"), F.col(f"`{c}`.g2")
-        if corrected:
-            g1, g2 = (g1 * F.sqrt(n * (n - 1)) / (n - 2),
-                      (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
-        fields[c] = {"n": n, "variance": F.col(f"`{c}`.v"), "std": F.col(f"`{c}`.s"), "skewness": g1, "kurtosis": g2}
-    return melt(df.agg(*aggs), fields)
+    out = melt_numbers(df, cols).groupBy("name").agg(
+        F.count("x").cast("double").alias("n"), F.var_samp("x").alias("variance"), F.stddev_samp("x").alias("std"),
+        F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"))
+    if not corrected:
+        return out
+    n = F.col("n")
+    return out.withColumns({"skewness": F.col("skewness") * F.sqrt(n * (n - 1)) / (n - 2),
+                            "kurtosis": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("kurtosis") + 6)})
 
 
 def spread(df: DataFrame, col: str, prefix: str, parts=("max", "min", "mean")) -> list[Column]:
@@ -201,16 +220,22 @@ def categorical_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(a, b, r) for a before b; constant columns are left out by NULL r.
+    """(a, b, r) for a before b; a constant column gives NULL.
 
-    One aggregate pass computes all pairs of the schema's columns.
+    Without missing values all pairs come from one distributed cross-product matrix of
+    the columns; with missing values each pair uses the rows where both are present.
     """
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    row = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                      F.when(~F.isnan(F.col(f"r{i}")), F.col(f"r{i}")).alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    nums = [F.col(c).cast("double").alias(c) for c in cols]
+    gaps = df.agg(sum((F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in cols), F.lit(0)).alias("n")).first()["n"]
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if gaps == 0:
+        v = VectorAssembler(inputCols=cols, outputCol="v").transform(df.select(*nums)).select("v")
+        m = Correlation.corr(v, "v").first()[0].toArray()
+        rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else float(m[i, j])) for i, j in pairs]
+        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    cells = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(cols[i]).alias("x"), F.col(cols[j]).alias("y")) for i, j in pairs])
+    out = df.select(*nums).select(F.explode(cells).alias("c")).groupBy("c.a", "c.b").agg(F.corr("c.x", "c.y").alias("r"))
+    return out.select("a", "b", F.when(~F.isnan("r"), F.col("r")).alias("r"))
 
 
 def rate_by(df: DataFrame, by: str | Column, label: str, name: str) -> DataFrame:
