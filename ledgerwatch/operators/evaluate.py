@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ledgerwatch.operators.ordering import order_statistics, running_totals
 
 
+HASH_TOP = 2 ** 52 - 1
+
+
 def split_hash(key: str, seed: int = 42) -> Column:
     """Repeatable pseudo-random whole number of a row key, below 2^52."""
     text = F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))
@@ -36,7 +39,7 @@ def stratified_split(df: DataFrame, label: str, key: str, fractions: list[float]
             if k > 0:
                 place.append((c, i, len(wanted)))
                 wanted.append((F.when(F.col(label) == F.lit(c), F.col("_h")), k - 1))
-    cuts = order_statistics(hashed, wanted, rows=max(counts.values(), default=0))
+    cuts = order_statistics(hashed, wanted, known=[(0, HASH_TOP, counts[c]) for c, _, _ in place])
     fold = F.lit(len(fractions) - 1)
     for c, i, at in sorted(place, key=lambda x: -x[1]):
         fold = F.when((F.col(label) == F.lit(c)) & (F.col("_h") <= F.lit(cuts[at])), F.lit(i)).otherwise(fold)

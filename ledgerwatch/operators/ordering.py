@@ -37,10 +37,11 @@ class _Target:
 
 
 def order_statistics(df: DataFrame, wanted: list[tuple[Column, int]],
-                     row_limit: int = ROW_LIMIT, rows: int | None = None) -> list:
+                     row_limit: int = ROW_LIMIT, known: list[tuple] | None = None) -> list:
     """k-th smallest values; each wanted item is (numeric column, k from 0).
 
-    ``rows``, when the caller knows it, bounds the non-null values of every item.
+    ``known`` gives (lower bound, upper bound, non-null count) per item when the
+    caller has them, which saves the pass that measures them.
     Every pass is one map-side-combined histogram per open interval, so the
     driver sees at most ``BINS`` counts for each of them.
     """
@@ -52,13 +53,11 @@ def order_statistics(df: DataFrame, wanted: list[tuple[Column, int]],
         name, _ = columns.setdefault(str(v), (f"v{len(columns)}", v))
         targets.append(_Target(name, k))
     vals = df.select(*[c.alias(n) for n, c in columns.values()])
-    if rows is not None and rows <= row_limit:
-        row = vals.agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in vals.columns])
-        return list(row.select(*[F.col(t.value)[t.k] for t in targets]).first())
-    ends = vals.agg(*[F.struct(F.min(n).alias("lo"), F.max(n).alias("hi"), F.count(n).alias("n")).alias(n)
-                      for n in vals.columns]).first()
-    for t in targets:
-        t.lo, t.hi, t.inside = ends[t.value]["lo"], ends[t.value]["hi"], ends[t.value]["n"]
+    if known is None:
+        ends = vals.agg(*[F.struct(F.min(n), F.max(n), F.count(n)).alias(n) for n in vals.columns]).first()
+        known = [tuple(ends[t.value]) for t in targets]
+    for t, (lo, hi, n) in zip(targets, known):
+        t.lo, t.hi, t.inside = lo, hi, n
         if t.inside == 0 or not 0 <= t.k < t.inside:
             raise ValueError(f"rank {t.k} is outside the {t.inside} values")
     while True:
