@@ -2,7 +2,8 @@
 
 Every function returns Columns built from built-in expressions; fitted numbers
 (bin edges, quantiles, means) are passed in, so scoring never refits them.
-A flag on a missing value is 0, never NULL.
+A flag on a missing value is 0, never NULL; a zero denominator gives NULL, which the
+final fill treats like any other gap.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def cyclic(x: str | Column, period: int, name: str) -> dict[str, Column]:
 
 
 def ratio(a, b, eps: float = 1e-6) -> Column:
-    return _c(a).cast("double") / (_c(b).cast("double") + F.lit(eps))
+    return F.try_divide(_c(a).cast("double"), _c(b).cast("double") + F.lit(eps))
 
 
 def product(a, b, scale: float = 1.0) -> Column:
@@ -164,10 +165,10 @@ def balance_use(amount, balance) -> dict[str, Column]:
 
 def balance_change(before, after, claim=None) -> dict[str, Column]:
     b, a = _c(before).cast("double"), _c(after).cast("double")
-    out = {"balance_change": a - b, "balance_change_pct": (a - b) / (b + 1) * 100}
+    out = {"balance_change": a - b, "balance_change_pct": F.try_divide(a - b, b + 1) * 100}
     if claim is not None:
-        out["balance_after_claim_ratio"] = a / (_c(claim) + 1)
-        out["claim_to_balance_ratio"] = _c(claim) / (b + 1)
+        out["balance_after_claim_ratio"] = F.try_divide(a, _c(claim) + 1)
+        out["claim_to_balance_ratio"] = F.try_divide(_c(claim), b + 1)
     return out
 
 
@@ -177,7 +178,7 @@ def credit_risk(debt_ratio, delinquencies, income_k, loan, debt_q25: float, debt
             "is_low_debt": below(debt_ratio, debt_q25), "has_delinquency": above(delinquencies, 0),
             "delinquency_log": F.log1p(_c(delinquencies)), "income_log": F.log1p(_c(income_k)),
             "is_low_income": below(income_k, income_q25),
-            "loan_to_income_ratio": _c(loan) / (_c(income_k) * 1000 + 1)}
+            "loan_to_income_ratio": F.try_divide(_c(loan), _c(income_k) * 1000 + 1)}
 
 
 def customer_profile(age, tenure_days, velocity, distance, velocity_q90: float, distance_q90: float,
@@ -202,7 +203,7 @@ def merchant_profile(risk, cashback, amount, risk_q25: float, risk_q75: float) -
     return {"merchant_risk_log": F.log1p(_c(risk)), "is_high_risk_merchant": above(risk, risk_q75),
             "is_low_risk_merchant": below(risk, risk_q25), "cashback_log": F.log1p(_c(cashback)),
             "has_cashback": above(cashback, 0),
-            "cashback_to_amount_ratio": _c(cashback) / (_c(amount) + 1)}
+            "cashback_to_amount_ratio": F.try_divide(_c(cashback), _c(amount) + 1)}
 
 
 def noisy(x, std: float, key: str | Column, seed: int = 42) -> Column:

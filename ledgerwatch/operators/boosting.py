@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ledgerwatch.functions import features as ft
 from ledgerwatch.operators import engineering, evaluate
 from ledgerwatch.operators.columns import align
-from ledgerwatch.session import spread
+from ledgerwatch.session import is_small, spread
 
 # Default parameters and the tree parameter each one sets here.
 # L1/L2 penalties have no counterpart in these trees and are not offered.
@@ -73,12 +73,16 @@ class FraudModel:
 
 
 def train(df: DataFrame, label: str, key: str, features: engineering.FittedFeatures | None = None, params: dict | None = None,
-          seed: int = 42, test: float = 0.2, validation: float = 0.15, use: list[str] | None = None, measure: bool = True) -> FraudModel:
+          seed: int = 42, test: float = 0.2, validation: float = 0.15, use: list[str] | None = None, measure: bool = True,
+          roles: dict[str, list[str]] | None = None) -> FraudModel:
     """Split 80/20 per class, hold out part of the training rows for early stopping, fit
     features on training rows only, then measure on the test rows."""
-    split = evaluate.stratified_split(spread(df), label, key, [test, (1 - test) * validation, (1 - test) * (1 - validation)], seed, "_fold")
+    small = is_small(df)
+    base = spread(df).persist() if small else df  # small inputs are read several times below
+    split = evaluate.stratified_split(base, label, key, [test, (1 - test) * validation, (1 - test) * (1 - validation)], seed, "_fold")
+    split = split.persist() if small else split
     fit_rows = split.where("_fold > 0").drop("_fold")
-    features = engineering.fit_rules(fit_rows.drop(key), label) if features is None else features
+    features = engineering.fit_rules(fit_rows.drop(key), label, roles) if features is None else features
     columns = use or features.outputs
     ready = align(features.transform(split, [key, label, "_fold"]), columns, [key, label, "_fold"])
     ready = evaluate.add_class_weight(ready.withColumn("label", F.col(label).cast("double")), label, train=F.col("_fold") > 0)
@@ -97,6 +101,9 @@ def train(df: DataFrame, label: str, key: str, features: engineering.FittedFeatu
         scored.unpersist()
         model.performance = {**c, "train_f1": a["f1"], "test_f1": c["f1"], "test_auc": m["roc_auc"], "avg_precision": m["average_precision"],
                              "n_features": len(columns), "n_trees": trees.getNumTrees}
+    if small:
+        base.unpersist()
+        split.unpersist()
     return model
 
 

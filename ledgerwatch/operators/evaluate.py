@@ -85,8 +85,8 @@ def ranking_metrics(df: DataFrame, label: str, score: str) -> DataFrame:
          .agg(F.sum((F.col(label) == 1).cast("bigint")).alias("pos"), F.sum((F.col(label) == 0).cast("bigint")).alias("neg")))
     run = running_totals(g, [F.desc("s")], {"tp": F.col("pos"), "fp": F.col("neg")})
     return run.agg(
-        (F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)) / F.sum("pos") / F.sum("neg")).alias("roc_auc"),
-        (F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))) / F.sum("pos")).alias("average_precision"))
+        F.try_divide(F.try_divide(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)), F.sum("pos")), F.sum("neg")).alias("roc_auc"),
+        F.try_divide(F.sum(F.try_divide(F.col("pos") * F.col("tp"), F.col("tp") + F.col("fp"))), F.sum("pos")).alias("average_precision"))
 
 
 def at_top_k(df: DataFrame, label: str, score: str, key: str) -> DataFrame:
@@ -159,5 +159,5 @@ def regression_errors(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataF
     for k, (y, p) in pairs.items():
         e = F.col(y) - F.col(p)
         aggs += [F.avg(F.abs(e)).alias(f"mae_{k}"), F.avg(e * e).alias(f"mse_{k}"), F.var_pop(y).alias(f"var_{k}")]
-        fields[k] = {"mae": F.col(f"mae_{k}"), "rmse": F.sqrt(f"mse_{k}"), "r2": 1 - F.col(f"mse_{k}") / F.col(f"var_{k}")}
+        fields[k] = {"mae": F.col(f"mae_{k}"), "rmse": F.sqrt(f"mse_{k}"), "r2": 1 - F.try_divide(f"mse_{k}", f"var_{k}")}
     return melt(df.agg(*aggs), fields)

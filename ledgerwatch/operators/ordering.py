@@ -84,11 +84,14 @@ def _within(key: tuple) -> Column:
     return F.col(value).between(F.lit(lo), F.lit(hi))
 
 
-def _any(keys) -> Column:
-    out = F.lit(False)
-    for k in keys:
-        out = out | _within(k)
-    return out
+def _members(vals: DataFrame, groups: dict[tuple, list[_Target]], extra=None) -> DataFrame:
+    """(g, v, ...): the values inside each open interval.
+
+    Exploding instead of filtering keeps an expensive value expression evaluated once.
+    """
+    cells = [F.when(_within(k), F.struct(F.lit(i).alias("g"), F.col(k[0]).alias("v"), *([] if extra is None else [extra(*k)])))
+             for i, k in enumerate(groups)]
+    return vals.select(F.explode(F.array_compact(F.array(*cells))).alias("c")).select("c.*")
 
 
 def _finish(vals: DataFrame, items: list[_Target]) -> None:
@@ -96,27 +99,26 @@ def _finish(vals: DataFrame, items: list[_Target]) -> None:
     groups = _intervals(items)
     if not groups:
         return
-    row = vals.where(_any(groups)).agg(*[F.sort_array(F.collect_list(F.when(_within(k), F.col(k[0])))).alias(f"g{i}")
-                                         for i, k in enumerate(groups)])
-    picks = [(t, F.col(f"g{i}")[t.k - t.below]) for i, ts in enumerate(groups.values()) for t in ts]
-    for (t, _), answer in zip(picks, row.select(*[c for _, c in picks]).first()):
-        t.answer = answer
+    ranks = F.array(*[F.array(*[F.lit(t.k - t.below) for t in ts]) for ts in groups.values()])
+    got = (_members(vals, groups).groupBy("g").agg(F.sort_array(F.collect_list("v")).alias("s"))
+           .select("g", F.transform(ranks[F.col("g")], lambda k: F.get("s", k)).alias("a")).collect())
+    answers = {r["g"]: r["a"] for r in got}
+    for i, ts in enumerate(groups.values()):
+        for t, a in zip(ts, answers[i]):
+            t.answer = a
 
 
 def _narrow(vals: DataFrame, items: list[_Target]) -> None:
     groups = _intervals(items)
     if not groups:
         return
-    cells = []
-    for i, (value, lo, hi) in enumerate(groups):
-        v = F.col(value)
-        cell = F.least(F.lit(BINS - 1), F.floor((v - F.lit(lo)) / F.lit((hi - lo) / BINS)).cast("int"))
-        cells.append(F.when(_within((value, lo, hi)), F.struct(F.lit(i).alias("g"), cell.alias("cell"), v.alias("v"))))
+
+    def cell(value, lo, hi):
+        return F.least(F.lit(BINS - 1), F.floor((F.col(value) - F.lit(lo)) / F.lit((hi - lo) / BINS)).cast("int")).alias("cell")
+
     hist: dict[int, list] = {}
-    rows = (vals.where(_any(groups)).select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
-            .groupBy("c.g", "c.cell").agg(F.count("*").alias("n"), F.min("c.v").alias("lo"), F.max("c.v").alias("hi"))
-            .collect())
-    for r in rows:
+    for r in (_members(vals, groups, cell).groupBy("g", "cell")
+              .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()):
         hist.setdefault(r["g"], []).append(r)
     for i, ts in enumerate(groups.values()):
         bins = sorted(hist[i], key=lambda r: r["cell"])
@@ -134,7 +136,8 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
     """Linear-interpolation quantiles per column, as plain numbers on the driver."""
     cols = list(probs)
     value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in cols}
-    counts = df.agg(*[F.count(value[c]).alias(c) for c in cols]).first()
+    ends = df.agg(*[F.struct(F.min(value[c]), F.max(value[c]), F.count(value[c])).alias(c) for c in cols]).first()
+    counts = {c: ends[c][2] for c in cols}
     out: dict[str, list] = {c: [None] * len(probs[c]) for c in cols}
     direct = [c for c in cols if 0 < counts[c] <= row_limit]
     if direct:
@@ -142,7 +145,7 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
                        for c in direct]).first()
         for c in direct:
             out[c] = list(row[c])
-    wanted, place = [], []
+    wanted, place, known = [], [], []
     for c in cols:
         if counts[c] > row_limit:
             for j, p in enumerate(probs[c]):
@@ -152,8 +155,9 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
                 wanted.append((value[c], lo))
                 if hi > lo:
                     wanted.append((value[c], hi))
+                known += [tuple(ends[c])] * (len(wanted) - len(known))
     if wanted:
-        got = order_statistics(df, wanted, row_limit)
+        got = order_statistics(df, wanted, row_limit, known)
         for c, j, at, part, two in place:
             out[c][j] = got[at] + (got[at + 1] - got[at]) * part if two else got[at]
     return out

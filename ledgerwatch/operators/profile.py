@@ -38,6 +38,12 @@ def kind(t: T.DataType) -> str:
     return "boolean" if isinstance(t, T.BooleanType) else "other"
 
 
+def safe_corr(x: str, y: str) -> Column:
+    """Pearson r over rows where both are present; NULL when either is constant."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def melt(row: DataFrame, fields: dict[str, dict[str, Column]]) -> DataFrame:
     """One-row aggregate to one row per key of ``fields``."""
     cells = [F.struct(F.lit(k).alias("name"), *[c.alias(n) for n, c in v.items()]) for k, v in fields.items()]
@@ -86,7 +92,7 @@ def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("mean", "std", "min", "max")})
     gone = F.col("n_rows") - F.col("present")
-    return out.select("name", "position", "dtype", "n_rows", "n_unique", gone.alias("missing"), (gone / F.col("n_rows") * 100).alias("missing_pct"),
+    return out.select("name", "position", "dtype", "n_rows", "n_unique", gone.alias("missing"), (F.try_divide(gone, F.col("n_rows")) * 100).alias("missing_pct"),
                       "mean", "std", "min", "max")
 
 
@@ -113,8 +119,8 @@ def missing_and_duplicates(df: DataFrame) -> DataFrame:
     miss = df.agg(F.count("*").alias("n"), sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0)).alias("m"))
     kinds = df.groupBy(*df.columns).agg(F.count("*").alias("c")).agg(F.count("*").alias("d"))
     return miss.join(F.broadcast(kinds)).select(
-        F.col("n").alias("n_rows"), (F.col("m") / (F.col("n") * len(df.columns))).alias("missing_rate"),
-        (1 - F.col("d") / F.col("n")).alias("duplicate_rate"))
+        F.col("n").alias("n_rows"), F.try_divide(F.col("m"), F.col("n") * len(df.columns)).alias("missing_rate"),
+        (1 - F.try_divide("d", "n")).alias("duplicate_rate"))
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -127,9 +133,9 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
 
 def target_correlations(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     """|r| with the label per numeric column; a constant column gives NULL."""
-    r = melt_numbers(df, cols, F.col(label).cast("double").alias("_y")).groupBy("name").agg(F.corr("x", "_y").alias("r"))
+    r = melt_numbers(df, cols, F.col(label).cast("double").alias("_y")).groupBy("name").agg(safe_corr("x", "_y").alias("r"))
     place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("name")).cast("int") - 1
-    return r.select("name", place.alias("position"), F.when(~F.isnan("r"), F.abs("r")).alias("correlation"))
+    return r.select("name", place.alias("position"), F.abs("r").alias("correlation"))
 
 
 def moments(df: DataFrame, cols: list[str], corrected: bool = False) -> DataFrame:
@@ -144,8 +150,8 @@ def moments(df: DataFrame, cols: list[str], corrected: bool = False) -> DataFram
     if not corrected:
         return out
     n = F.col("n")
-    return out.withColumns({"skewness": F.col("skewness") * F.sqrt(n * (n - 1)) / (n - 2),
-                            "kurtosis": (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("kurtosis") + 6)})
+    return out.withColumns({"skewness": F.col("skewness") * F.try_divide(F.sqrt(n * (n - 1)), n - 2),
+                            "kurtosis": F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("kurtosis") + 6)})
 
 
 def spread(df: DataFrame, col: str, prefix: str, parts=("max", "min", "mean")) -> list[Column]:
@@ -181,7 +187,7 @@ def amount_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
         n, p = F.col(f"{c}.n"), c
         fields[c] = {"mean": F.col(f"{p}.mean"), "median": F.lit(q[c][1]), "std": F.col(f"{p}.std"),
                      "min": F.col(f"{p}.min"), "max": F.col(f"{p}.max"), "q25": F.lit(q[c][0]), "q75": F.lit(q[c][2]),
-                     "skewness": F.col(f"{p}.g1") * F.sqrt(n * (n - 1)) / (n - 2),
+                     "skewness": F.col(f"{p}.g1") * F.try_divide(F.sqrt(n * (n - 1)), n - 2),
                      "has_zeros": F.col(f"{p}.zeros"), "has_negatives": F.col(f"{p}.negatives")}
     return melt(df.agg(*aggs), fields)
 
@@ -234,8 +240,8 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
         rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else float(m[i, j])) for i, j in pairs]
         return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
     cells = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(cols[i]).alias("x"), F.col(cols[j]).alias("y")) for i, j in pairs])
-    out = df.select(*nums).select(F.explode(cells).alias("c")).groupBy("c.a", "c.b").agg(F.corr("c.x", "c.y").alias("r"))
-    return out.select("a", "b", F.when(~F.isnan("r"), F.col("r")).alias("r"))
+    out = df.select(*nums).select(F.explode(cells).alias("c")).groupBy("c.a", "c.b").agg(safe_corr("c.x", "c.y").alias("r"))
+    return out
 
 
 def rate_by(df: DataFrame, by: str | Column, label: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions import features as ft
 from ledgerwatch.operators.ordering import exact_quantiles
+from ledgerwatch.operators.profile import safe_corr
 
 
 def prediction_report(scored: DataFrame, p: str = "fraud_probability") -> DataFrame:
@@ -25,10 +26,10 @@ def prediction_report(scored: DataFrame, p: str = "fraud_probability") -> DataFr
     if "is_anomaly" in scored.columns:
         aggs += [F.count_if(F.col("is_anomaly") == 1).alias("n_anomaly"),
                  F.count_if(hit & (F.col("is_anomaly") == 1)).alias("fraud_and_anomaly"),
-                 F.corr(F.col("fraud_prediction").cast("double"), F.col("is_anomaly").cast("double")).alias("corr_anomaly")]
+                 safe_corr("fraud_prediction", "is_anomaly").alias("corr_anomaly")]
     out = scored.agg(*aggs)
-    rate = F.col("n_fraud") / F.col("n_total")
-    conf = (F.col("high_conf_fraud") + F.col("high_conf_legit")) / F.col("n_total")
+    rate = F.try_divide("n_fraud", "n_total")
+    conf = F.try_divide(F.col("high_conf_fraud") + F.col("high_conf_legit"), F.col("n_total"))
     advice = {"advise_investigation": rate > 0.1, "advise_retraining": conf < 0.5}
     if "prediction_stability" in scored.columns:
         advice["advise_more_models"] = F.col("mean_stability") < 0.7
@@ -43,7 +44,7 @@ def summary_metrics(scored: DataFrame) -> DataFrame:
     """The summary sheet: (metric, value) rows."""
     row = scored.agg(F.count("*").cast("double").alias("total_transactions"),
                      F.count_if(F.col("fraud_prediction") == 1).cast("double").alias("frauds_detected"),
-                     (F.count_if(F.col("fraud_prediction") == 1) / F.count("*")).alias("fraud_rate"),
+                     F.try_divide(F.count_if(F.col("fraud_prediction") == 1), F.count("*")).alias("fraud_rate"),
                      F.avg("fraud_probability").alias("mean_probability"), F.max("fraud_probability").alias("max_probability"),
                      F.count_if(F.col("risk_level") == "HIGH").cast("double").alias("high_risk"),
                      F.count_if(F.col("risk_level") == "MEDIUM").cast("double").alias("medium_risk"),
@@ -66,7 +67,7 @@ def unlabelled_summary(scored: DataFrame) -> DataFrame:
     c = F.col("fraud_probability_calibrated")
     hit = F.count_if(F.col("fraud_prediction") == 1)
     return scored.agg(
-        F.count("*").alias("total_transactions"), hit.alias("frauds_detected"), (hit / F.count("*") * 100).alias("fraud_rate"),
+        F.count("*").alias("total_transactions"), hit.alias("frauds_detected"), (F.try_divide(hit, F.count("*")) * 100).alias("fraud_rate"),
         F.count_if(c >= 0.7).alias("high_risk"), F.count_if((c >= 0.5) & (c < 0.7)).alias("medium_risk"),
         F.count_if(c < 0.5).alias("low_risk"), F.count_if(F.col("anomaly_score") > 0.5).alias("anomalies_detected"),
         (1 - F.avg("prediction_variance")).alias("prediction_stability"))

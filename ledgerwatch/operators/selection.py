@@ -29,7 +29,7 @@ def with_cumulative(imp: DataFrame) -> DataFrame:
     total = F.sum("importance").over(Window.partitionBy("dataset"))
     out = (imp.withColumn("importance_normalized", F.when(total > 0, F.col("importance") / total).otherwise(0.0))
            .withColumns({"importance_percentage": F.col("importance_normalized") * 100,
-                         "importance_cumulative": F.sum("importance").over(w) / total * 100}))
+                         "importance_cumulative": F.try_divide(F.sum("importance").over(w), total) * 100}))
     return out
 
 
@@ -102,8 +102,8 @@ def importance_statistics(imp: DataFrame) -> DataFrame:
     return r.groupBy("dataset").agg(
         F.count("*").alias("n_features"), F.sum(x).alias("total"), F.max(x).alias("top"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"),
         (-F.sum(F.when(x > 0, x * F.log(x + 1e-10)))).alias("entropy"),
-        (F.sum(F.when(F.col("rank") <= 5, x)) / F.sum(x)).alias("top5_share"), (F.sum(F.when(F.col("rank") <= 10, x)) / F.sum(x)).alias("top10_share"),
-        F.greatest(F.lit(0.0), F.sum(F.col("_up") * x) * 2 / (F.count("*") * F.sum(x)) - (F.count("*") + 1) / F.count("*")).alias("gini")
+        F.try_divide(F.sum(F.when(F.col("rank") <= 5, x)), F.sum(x)).alias("top5_share"), F.try_divide(F.sum(F.when(F.col("rank") <= 10, x)), F.sum(x)).alias("top10_share"),
+        F.greatest(F.lit(0.0), F.try_divide(F.sum(F.col("_up") * x) * 2, F.count("*") * F.sum(x)) - (F.count("*") + 1) / F.count("*")).alias("gini")
     ).join(dominant(imp), "dataset")
 
 
@@ -142,7 +142,7 @@ def anova_f(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
         aggs += [F.sum(f"s_{x}").alias(f"S_{x}"), F.sum(f"q_{x}").alias(f"Q_{x}"), F.sum(F.col(f"s_{x}") * F.col(f"s_{x}") / F.col("n")).alias(f"B_{x}")]
         between = F.col(f"B_{x}") - F.col(f"S_{x}") * F.col(f"S_{x}") / F.col("n")
         within = F.col(f"Q_{x}") - F.col(f"B_{x}")
-        fields[x] = {"f_score": (between / (F.col("k") - 1)) / (within / (F.col("n") - F.col("k")))}
+        fields[x] = {"f_score": F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k")))}
     return pf.melt(g.agg(*aggs), fields)
 
 

@@ -41,11 +41,15 @@ def spread(df: DataFrame) -> DataFrame:
     Only inputs below 4 MB per core by the planner's size are shuffled; larger ones
     already have enough splits and keep their partitioning.
     """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if is_small(df) else df
+
+
+def is_small(df: DataFrame) -> bool:
+    """Below 4 MB per core by the planner's size estimate."""
     if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
+        return False
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    return size < df.sparkSession.sparkContext.defaultParallelism * SPLIT_BYTES
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
