@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import SPACE, fresh
+from ledgerwatch.llm.common import SPACE, fresh, settled
 
 
 def normalised(text: Column | str) -> Column:
@@ -44,16 +44,22 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", has
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of the table."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("t"))
     bits = (hash_bits or content_hash)(F.col("t"))
-    met = groups(rows, bits)
+    met = settled(groups(rows, bits))
     named = rows.select("id", bits.alias("h"), F.sha2("t", 256).alias("sha"))
     joined = named.join(met, "h")
     plain = joined.filter("not collided").select("id", "keep", "n", "sha")
+    if met.filter("collided").isEmpty():
+        return _named(plain)
     # collided hashes only: group by the bytes themselves
     bad = rows.select("id", "t", bits.alias("h")).join(met.filter("collided").select("h"), "h", "left_semi")
     own = bad.groupBy("t").agg(F.count("*").alias("n"),
                                F.min(F.struct(F.col("id").isNull().alias("none"), "id"))["id"].alias("keep"))
     exact = bad.join(own, "t").select("id", "keep", "n", F.sha2("t", 256).alias("sha"))
-    return plain.unionByName(exact).select(
+    return _named(plain.unionByName(exact))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("id").alias("doc_id"), F.col("keep").alias("keep_id"), F.col("n").cast("bigint").alias("group_size"),
         F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.col("sha").alias("text_sha256"))
 
