@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from ledgerwatch.session import cut_lineage
 
 SPACE = r"[\x20\x09-\x0D]+"
 MASK64 = (1 << 64) - 1
-#: Words whose hash a Python worker remembers before it starts anew (about 100 MB).
-WORD_CACHE = 600_000
+#: Words whose hash a Python worker remembers before it starts anew (below 100 MB).
+WORD_CACHE = 400_000
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -83,7 +84,7 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 4096, text: str =
     """Cuts batches so that their texts stay below `size` bytes unless one row is larger."""
     for b in batches:
         column = b.column(b.schema.get_field_index(text))
-        lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0))
+        lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0))
         start, total = 0, 0
         for i, n in enumerate(lengths):
             if i > start and (total + n > size or i - start >= rows):

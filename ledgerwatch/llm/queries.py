@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwatch.llm import exact_dedup, sharding
+from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, sharding, toxicity, url_rules
+from ledgerwatch.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,3 +37,39 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 FROM n JOIN g USING (t)""")
 def op8_exact_dedup(spark, d):
     return exact_dedup.resolve(read(spark, d, "documents"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, d):
+    docs = read(spark, d, "documents")
+    part = remainder("doc_id", 4)
+    profiles = language_id.train(docs.filter(part != 2))
+    marked = docs.select("doc_id", "text", (part == 2).alias("held_out"))
+    return language_id.predict(marked, profiles, keep=["doc_id", "held_out"])
+
+
+URL_RULES = [url_rules.Rule("net", "/", url_rules.BLOCK), url_rules.Rule("example.net", "/en/", url_rules.ALLOW),
+             url_rules.Rule("example.com", "/de/", url_rules.BLOCK), url_rules.Rule("org", "/fr/", url_rules.ALLOW)]
+
+
+@query("op5_url_rules")
+def op5_url_rules(spark, d):
+    return url_rules.judge(read(spark, d, "pages"), URL_RULES)
+
+
+def vocabulary() -> tuple[dict[bytes, int], str]:
+    """Ranks and pattern of the public tokenizer that the queries use."""
+    import public_tokenizers
+    return byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+@query("op6_byte_bpe")
+def op6_byte_bpe(spark, d):
+    return byte_bpe.digests(read(spark, d, "documents"), *vocabulary())
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, d):
+    docs = read(spark, d, "documents")
+    model = toxicity.train(toxicity.labelled(docs, read(spark, d, "labels")))
+    return toxicity.predict(docs, model)
