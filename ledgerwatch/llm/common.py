@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,3 +130,23 @@ def components(nodes: DataFrame, edges: DataFrame, every: int = 2) -> DataFrame:
             break
     return (nodes.join(label.select(F.col("a").alias("node"), "c"), "node", "left")
             .select("node", F.coalesce("c", "node").alias("component")))
+
+
+#: Narrow sides up to so many rows are sent to every executor (16 to 32 bytes a row).
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a settled narrow side for broadcast if its counted rows stay below the limit."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Parquet table in the shared checkpoint folder, for results too wide or long for a checkpoint."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        return settled(df)
+    path = f"{folder}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

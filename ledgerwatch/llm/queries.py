@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, sharding, toxicity, url_rules
+from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, ngram_jaccard, sharding, toxicity, url_rules
 from ledgerwatch.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op7_toxicity(spark, d):
     docs = read(spark, d, "documents")
     model = toxicity.train(toxicity.labelled(docs, read(spark, d, "labels")))
     return toxicity.predict(docs, model)
+
+
+@query("op2_ngram_jaccard")
+def op2_ngram_jaccard(spark, d):
+    return ngram_jaccard.classes(read(spark, d, "documents"))
