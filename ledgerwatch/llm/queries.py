@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, ngram_jaccard, sharding, toxicity, url_rules
+from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, ngram_jaccard, sharding, suffix_tree, template_leaks, toxicity, url_rules
 from ledgerwatch.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,16 @@ def op7_toxicity(spark, d):
 @query("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark, d):
     return ngram_jaccard.classes(read(spark, d, "documents"))
+
+
+@query("op1_template_leaks")
+def op1_template_leaks(spark, d):
+    return template_leaks.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+@query("op9_suffix_tree")
+def op9_suffix_tree(spark, d):
+    docs = read(spark, d, "documents")
+    tree, counts = suffix_tree.train(docs.filter(remainder("doc_id", 5) != 1))
+    scored = suffix_tree.score(docs, tree, counts)
+    return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
