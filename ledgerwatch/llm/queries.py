@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, ngram_jaccard, sharding, suffix_tree, template_leaks, toxicity, url_rules
+from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, ngram_jaccard, personal_data, sharding, suffix_tree, template_leaks, toxicity, url_rules
 from ledgerwatch.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op9_suffix_tree(spark, d):
     tree, counts = suffix_tree.train(docs.filter(remainder("doc_id", 5) != 1))
     scored = suffix_tree.score(docs, tree, counts)
     return scored.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark, d):
+    return personal_data.report(read(spark, d, "documents"))
