@@ -35,7 +35,7 @@ EXPRESSIONS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 #: A character that every match of the kind holds.
 SIGNS = {"email": "@", "ip": ".", "phone": "+"}
-BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 DIGITS = 4
 ROUNDS = 3
 SUPPORT = 3.0
