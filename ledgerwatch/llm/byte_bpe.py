@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows
+from ledgerwatch.llm.common import arrow_rows, gather
 
 VOCABULARY_BYTES = 32 << 20
 LONG = 1024
@@ -212,13 +212,6 @@ class Encoder:
         return ids, per
 
 
-def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """flat[start[0]:start[0]+count[0]], flat[start[1]:...], ... in a row."""
-    total = int(count.sum())
-    first = np.cumsum(count) - count
-    return flat[np.repeat(start - first, count) + np.arange(total)]
-
-
 _made: dict[tuple, Encoder] = {}
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows, fresh
+from ledgerwatch.llm.common import arrow_rows, fresh, gather
 
 RANKS = 400
 GRAM = 3
@@ -83,6 +83,14 @@ def train(rows: DataFrame, ranks: int = RANKS) -> dict[str, list[str]]:
     return found
 
 
+def _appended(array: np.ndarray, used: int, values) -> np.ndarray:
+    """The array with values from position `used` on, grown by doubling."""
+    while used + len(values) > len(array):
+        array = np.concatenate([array, np.zeros(max(1024, len(array)), array.dtype)])
+    array[used:used + len(values)] = values
+    return array
+
+
 class Scorer:
     """Nearest profile of a text; remembers the n-grams of words up to a bound."""
 
@@ -92,7 +100,8 @@ class Scorer:
 
     def reset(self) -> None:
         self.ids: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
+        self.words: dict[str, int] = {}
+        self.flat, self.size, self.start, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
         own = sorted({g for p in self.profiles.values() for g in p})
         self.ids.update((g, k) for k, g in enumerate(own))
         self.places = np.full((len(self.langs), len(own)), self.ranks, dtype=np.int64)
@@ -100,7 +109,8 @@ class Scorer:
             for r, g in enumerate(self.profiles[lang]):
                 self.places[k, self.ids[g]] = r
         self.known = len(own)
-        self.codes = [self.code(g) for g in own]
+        self.codes = np.zeros(max(1024, 2 * len(own)), dtype=np.int64)
+        self.codes[:len(own)] = [self.code(g) for g in own]
 
     @staticmethod
     def code(gram: str) -> int:
@@ -110,18 +120,25 @@ class Scorer:
             out = out << 21 | ord(c)
         return out
 
-    def of_word(self, word: str) -> np.ndarray:
-        got = self.words.get(word)
-        if got is None:
-            found = []
-            for g in grams(word):
+    def learn(self, new: list[str]) -> None:
+        """Adds words: their n-grams lie one word after the other in `flat`."""
+        found, size = [], []
+        for word in new:
+            self.words[word] = len(self.words)
+            own = grams(word)
+            for g in own:
                 k = self.ids.get(g)
                 if k is None:
                     k = self.ids[g] = len(self.ids)
-                    self.codes.append(self.code(g))
+                    if k == len(self.codes):
+                        self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+                    self.codes[k] = self.code(g)
                 found.append(k)
-            got = self.words[word] = np.array(found, dtype=np.int64)
-        return got
+            size.append(len(own))
+        self.flat = _appended(self.flat, self.used, found)
+        self.size = _appended(self.size, len(self.words) - len(new), size)
+        self.start = _appended(self.start, len(self.words) - len(new), self.used + np.cumsum(size) - size)
+        self.used += len(found)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
@@ -131,15 +148,19 @@ class Scorer:
         counts = Counter(LETTERS.findall(text.lower()))
         if not counts:
             return UNKNOWN, 0.0
-        lists = [self.of_word(w) for w in counts]
-        each = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), [len(x) for x in lists])
-        total = np.bincount(np.concatenate(lists), weights=each)
+        at = [self.words.get(w) for w in counts]
+        if None in at:
+            self.learn([w for w, k in zip(counts, at, strict=True) if k is None])
+            at = [self.words[w] for w in counts]
+        at = np.array(at)
+        size = self.size[at]
+        each = np.repeat(np.fromiter(counts.values(), dtype=np.int64, count=len(counts)), size)
+        total = np.bincount(gather(self.flat, self.start[at], size), weights=each)
         seen = np.flatnonzero(total)
         if len(seen) > self.ranks:  # those at the last place or above it; ties are ordered below
             cut = np.partition(total[seen], len(seen) - self.ranks)[len(seen) - self.ranks]
             seen = seen[total[seen] >= cut]
-        code = np.array([self.codes[k] for k in seen])
-        top = seen[np.lexsort((code, -total[seen]))][:self.ranks]
+        top = seen[np.lexsort((self.codes[seen], -total[seen]))][:self.ranks]
         place = np.full((len(self.langs), len(top)), self.ranks, dtype=np.int64)
         own = top < self.known
         place[:, own] = self.places[:, top[own]]
@@ -150,8 +171,8 @@ class Scorer:
 
 def predict(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None,
             lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """The columns of `keep` (default: all) with predicted language and score; no shuffle."""
-    keep = docs.columns if keep is None else keep
+    """The columns of `keep` (default: all) with predicted language and score, which replace columns of their names; no shuffle."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in (lang_name, score_name)]
     text = fresh(docs, "text")
     frame = docs.select(*keep, F.col(text_col).alias(text))
     schema = frame.drop(text).schema.add(lang_name, "string").add(score_name, "double")
