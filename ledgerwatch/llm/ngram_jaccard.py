@@ -13,7 +13,9 @@ linked pair shares more buckets than both halves together, none is lost. Within
 compared with its smallest member only (the hub); members of one component need no further comparison, so
 a group of near copies costs as many comparisons as it has members, never all pairs.
 
-Candidates are verified on the words of both texts. Links are not listed beyond what connects the
+Candidates of probed buckets are compared blockwise where the bucket lies (at most BLOCK probing documents in a
+task, further ones in further blocks) by a histogram of SKETCH cells, whose distance is a lower bound of the
+difference of the sets; pairs above H never leave the task. The others are verified, nearest first, on the words of both texts. Links are not listed beyond what connects the
 components; the result is one row per document with its class.
 
 Defined cases: null texts and texts without words have an empty set and link with nothing; with fewer words than n
@@ -39,6 +41,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 SMALL = 128
 RATIO = 1.6
 SEEN_SETS = 500_000
+SKETCH = 256
+BLOCK = 2000
+NEAREST_ROUNDS = 3
 
 
 def largest_partner(n: int) -> int:
@@ -138,19 +143,20 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, sets in _hashed(batches):
-        size, low, high, band, spare = [], [], [], [], []
+        size, low, high, band, spare, sketch = [], [], [], [], [], []
         for h in sets:
             o = Outline(h)
             a, c = o.identity()
             size.append(o.n)
+            sketch.append(np.minimum(np.bincount((o.value >> np.uint64(40)).astype(np.int64) % SKETCH, minlength=SKETCH), 255).astype(np.uint8).tobytes())
             low.append(a)
             high.append(c)
             band.append(band_of(o.n) if o.n else 0)
             # half the slack of the own and of the next band; none where neighbourhoods are used
             spare.append([0 if plan(k)[1] else max(0, (o.weight(k) - o.need(k)) // 2) for k in o.bands()] if o.n else [])
         arrays = [b.column(0), pa.array(size, pa.int64()), pa.array(signed(np.array(low, np.uint64))),
-                  pa.array(signed(np.array(high, np.uint64))), pa.array(band, pa.int32()), pa.array(spare, pa.list_(pa.int32()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "low", "high", "band", "spare"])
+                  pa.array(signed(np.array(high, np.uint64))), pa.array(band, pa.int32()), pa.array(spare, pa.list_(pa.int32())), pa.array(sketch, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n", "low", "high", "band", "spare", "sketch"])
 
 
 def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +178,65 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked(a: str | None, b: str | None) -> bool:
-    """Exact test on the words themselves."""
-    x, y = ({tuple(w[k:k + WORDS]) for k in range(max(1, len(w) - WORDS + 1))} if w else set() for w in (words(a), words(b)))
-    both = len(x & y)
-    return bool(x and y) and DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
+    """Exact test on the words themselves: words are numbered, an n-gram is its number in base of the words."""
+    w, known = (words(a), words(b)), {}
+    if not w[0] or not w[1]:
+        return False
+    ids = [np.array([known.setdefault(x, len(known)) for x in side], dtype=np.uint64) for side in w]
+    if min(map(len, w)) >= WORDS and len(known) ** WORDS < 1 << 64:
+        x, y = (np.unique(_numbers(side, len(known))) for side in ids)
+        nx, ny, both = len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))
+    else:
+        x, y = ({tuple(side[k:k + WORDS]) for k in range(max(1, len(side) - WORDS + 1))} for side in w)
+        nx, ny, both = len(x), len(y), len(x & y)
+    return DENOMINATOR * both >= NUMERATOR * (nx + ny - both)
+
+
+def _numbers(ids: np.ndarray, base: int) -> np.ndarray:
+    n = len(ids) - WORDS + 1
+    out = np.zeros(n, dtype=np.uint64)
+    for k in range(WORDS):
+        out = out * np.uint64(base) + ids[k:k + n]
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (sig, block, side, doc, n, component, sketch) in order, probing documents (side 0) first in
+    their block; yields (a, b, d) of pairs in different classes that the histograms do not exclude."""
+    key, probes = None, []
+    for whole in batches:
+        for b in (whole.slice(k, 4096) for k in range(0, whole.num_rows, 4096)):
+            sig, block, side, doc, n, cls = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            cells = np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint8).reshape(-1, SKETCH)
+            cut = np.concatenate([[0], np.flatnonzero((np.diff(sig) != 0) | (np.diff(block) != 0) | (np.diff(side) != 0)) + 1, [len(sig)]])
+            found = []
+            for at, end in zip(cut[:-1], cut[1:], strict=True):
+                here = (sig[at], block[at])
+                if here != key:
+                    key, probes = here, []
+                part = (doc[at:end], n[at:end], cls[at:end], cells[at:end])
+                if side[at] == 0:
+                    probes.append(part)
+                elif probes:
+                    found += _compared([np.concatenate(x) for x in zip(*probes, strict=True)], part)
+            if found:
+                x, y, d = (np.concatenate(z) for z in zip(*found, strict=True))
+                kind = b.column(3).type
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), kind), pa.array(np.maximum(x, y), kind), pa.array(d, pa.int32())], names=["a", "b", "d"])
+
+
+def _compared(probes, members) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    out = []
+    doc, n, cls, cells = members
+    for k in range(len(probes[0])):
+        small, large = np.minimum(n, probes[1][k]), np.maximum(n, probes[1][k])
+        at = np.flatnonzero((cls != probes[2][k]) & (NUMERATOR * large <= DENOMINATOR * small))
+        if len(at):
+            away = np.abs(cells[at].astype(np.int16) - probes[3][k].astype(np.int16)).sum(axis=1, dtype=np.int32)
+            ok = away <= (n[at] + probes[1][k]) * (DENOMINATOR - NUMERATOR) // (DENOMINATOR + NUMERATOR)
+            if ok.any():
+                out.append((np.full(int(ok.sum()), probes[0][k]), doc[at[ok]], away[ok]))
+    return out
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +274,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, n_shingles, component_id) for every row."""
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc"]
-    known = written(rows.mapInArrow(_describe, f"doc {kind}, n bigint, low bigint, high bigint, band int, spare array<int>"))
+    known = written(rows.mapInArrow(_describe, f"doc {kind}, n bigint, low bigint, high bigint, band int, spare array<int>, sketch binary"))
     real = known.filter("doc is not null and n > 0")
     equal = real.groupBy("n", "low", "high").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).filter("c > 1")
     same = real.join(equal, ["n", "low", "high"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
@@ -235,15 +296,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     label = _merged(label, verified(texts, apart))
 
     # later: documents that still meet other classes in more buckets than they may leave unprobed
-    one = real.groupBy("doc").agg(F.min("n").alias("n"), F.min("band").alias("band"), F.min(F.get("spare", F.lit(0))).alias("own"),
+    one = real.groupBy("doc").agg(F.min("band").alias("band"), F.min(F.get("spare", F.lit(0))).alias("own"),
                                   F.min(F.coalesce(F.get("spare", F.lit(1)), F.lit(0))).alias("next"))
-    allowed = one.select("doc", "n", F.explode(F.array(
+    allowed = one.select("doc", F.explode(F.array(
         F.struct((F.col("band") % 2 != 0).alias("odd"), F.col("own").alias("spare")),
-        F.struct((F.col("band") % 2 == 0).alias("odd"), F.col("next").alias("spare")))).alias("x")).select("doc", "n", "x.*")
+        F.struct((F.col("band") % 2 == 0).alias("odd"), F.col("next").alias("spare")))).alias("x")).select("doc", "x.*")
     loud = _with_labels(met, label).filter("ca <> cb").groupBy("doc", "odd").agg(F.sum("k").alias("loud"))
     open_ = settled(loud.join(allowed, ["doc", "odd"]).filter("loud > spare"))
     if not open_.isEmpty():
-        label = _merged(label, verified(texts, _probed(shared, open_, one, label)))
+        near = written(_probed(shared, open_, real, label))
+        for turn in range(NEAREST_ROUNDS + 1):
+            left = _with_labels(near.withColumnsRenamed({"a": "doc", "b": "hub"}), label).filter("ca <> cb").select(F.col("doc").alias("a"), F.col("hub").alias("b"), "d")
+            if turn < NEAREST_ROUNDS:  # the nearest candidate of each document joins most classes; the last round takes all that is left
+                left = left.groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b"))
+            left = settled(left.select("a", "b"))
+            if left.isEmpty():
+                break
+            label = _merged(label, verified(texts, left))
     out = known.join(label.withColumnRenamed("node", "doc"), "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
@@ -257,6 +326,8 @@ def _with_labels(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after the links (a, b): components of the classes that they join."""
+    if links.isEmpty():
+        return label
     met = _with_labels(links.select(F.col("a").alias("doc"), F.col("b").alias("hub")), label)
     joined = settled(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
     found = components(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct(), joined)
@@ -264,20 +335,23 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
                    .select("node", F.coalesce("to", "component").alias("component")))
 
 
-def _probed(shared: DataFrame, open_: DataFrame, one: DataFrame, label: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of open documents from the buckets that they have to probe, cheapest first."""
+def _probed(shared: DataFrame, open_: DataFrame, real: DataFrame, label: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b, d) of open documents from the buckets that they have to probe, cheapest first."""
     mine = shared.withColumn("odd", F.col("sig") % 2 != 0).join(bounded(open_), ["doc", "odd"])
     mine = _with_labels(mine, label).filter("ca <> cb")
     order = F.row_number().over(Window.partitionBy("doc", "odd").orderBy("c", "sig"))
-    probes = settled(mine.withColumn("r", order).filter(F.col("r") <= F.col("loud") - F.col("spare"))
-                     .select("sig", F.col("doc").alias("a"), "hub", F.col("n").alias("na"), "ca"))
-    members = shared.select("sig", F.col("doc").alias("b")).join(bounded(probes), "sig").select("a", "b", "na", "ca")
-    pairs = members.union(probes.select("a", F.col("hub").alias("b"), "na", "ca")).distinct()
-    size = one.select(F.col("doc").alias("b"), F.col("n").alias("nb"))
-    other = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    near = (NUMERATOR * F.greatest("na", "nb") <= DENOMINATOR * F.least("na", "nb")) & (F.col("ca") != F.col("cb"))
-    return (pairs.join(size, "b").join(other, "b").filter(near)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    probes = settled(mine.withColumn("r", order).filter(F.col("r") <= F.col("loud") - F.col("spare")).select("sig", "doc", "hub"))
+    sigs = settled(probes.groupBy("sig").agg(F.first("hub").alias("hub"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    members = (shared.select("sig", "doc").join(bounded(sigs.select("sig", "blocks")), "sig")
+               .union(sigs.select("sig", F.col("hub").alias("doc"), "blocks")).select("sig", each, F.lit(1).alias("side"), "doc"))
+    asking = (probes.join(bounded(sigs.select("sig", "blocks")), "sig")
+              .select("sig", F.pmod(F.hash("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "doc"))
+    facts = real.select("doc", "n", "sketch").distinct().join(label.withColumnRenamed("node", "doc"), "doc")
+    rows = members.union(asking).join(facts, "doc").select("sig", "block", "side", "doc", "n", "component", "sketch")
+    kind = dict(shared.dtypes)["doc"]
+    met = rows.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").mapInArrow(_near, f"a {kind}, b {kind}, d int")
+    return met.groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
