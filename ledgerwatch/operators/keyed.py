@@ -1,8 +1,10 @@
 """Per-key computations that stay correct and parallel when one key holds a
 large share of all rows.
 
-Keys above a checked row count are split into time chunks; each chunk is one
-window partition and only small per-chunk summaries travel between chunks.
+Keys above a checked row count are cut into chunks of equally many rows (range
+partitions of key and time); each chunk is one window partition and only small
+per-chunk summaries travel between chunks.  NULL is a key like any other, and rows
+without time come before all others of their key.
 """
 
 from __future__ import annotations
@@ -10,6 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerwatch.session import cut_lineage
+
+#: Stands for a missing time: before every real one, far enough from the end of the type for any span.
+NO_TIME = -(1 << 61)
 HOT_ROWS = 1_000_000
 BROADCAST_KEYS = 100_000
 
@@ -18,6 +24,16 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def instant(ts: str) -> Column:
+    """The time as a number to order by, never NULL."""
+    return F.coalesce(micros(ts), F.lit(NO_TIME))
+
+
+def whole_key(key: str) -> Column:
+    """The key as a value that is never NULL, so that joins keep rows without key."""
+    return F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("value"))
+
+
 def attach_group_stats(df: DataFrame, key: str, aggs: dict[str, Column]) -> DataFrame:
     """Group totals on every row: map-side combined aggregate joined back.
 
@@ -28,30 +44,24 @@ def attach_group_stats(df: DataFrame, key: str, aggs: dict[str, Column]) -> Data
     return df.join(stats, key, "left")
 
 
-def split_hot(df: DataFrame, key: str, t: str, hot_rows: int):
-    """(normal rows, hot rows with a ``_chunk`` column or None).
-
-    Chunk width comes from the densest hot key so that a chunk of evenly
-    spread rows has about ``hot_rows`` of them; it only affects parallelism.
-    """
-    per_key = (df.groupBy(key).agg(F.count("*").alias("_n"), F.min(t).alias("_a"), F.max(t).alias("_z"))
-               .where(F.col("_n") > hot_rows))
-    s = per_key.agg(F.count("*").alias("keys"), F.max("_n").alias("n"),
-                    F.min("_a").alias("a"), F.max("_z").alias("z")).first()
+def split_hot(df: DataFrame, hot_rows: int):
+    """(rows of other keys, rows of hot keys or None, number of chunks) by the column ``_key``."""
+    per_key = df.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
+    s = per_key.agg(F.count("*").alias("keys"), F.sum("_n").alias("n")).first()
     if s["keys"] == 0:
-        return df, None, None
-    width = max(1, (s["z"] - s["a"]) // max(1, 2 * s["n"] // hot_rows))
-    keys = per_key.select(key)
+        return df, None, 0
+    keys = per_key.select("_key")
     if s["keys"] <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
-    normal = df.join(keys, key, "left_anti")
-    hot = df.join(keys, key, "left_semi")
-    return normal, hot, width
+    return df.join(keys, "_key", "left_anti"), df.join(keys, "_key", "left_semi"), max(2, -(-2 * s["n"] // hot_rows))
 
 
-def _chunk(t: str | Column, width: int) -> Column:
-    c = F.col(t) if isinstance(t, str) else t
-    return F.floor(c / F.lit(width)).cast("bigint")
+def chunked(df: DataFrame, t: str, chunks: int) -> DataFrame:
+    """Adds ``_chunk``: ranges of (key, time) with about equally many rows; equal times stay together.
+
+    Range bounds are sampled, so the rows are checkpointed once to keep them.
+    """
+    return cut_lineage(df.repartitionByRange(chunks, "_key", t).withColumn("_chunk", F.spark_partition_id()))
 
 
 def rolling_totals(df: DataFrame, key: str, ts: str, span_micros: int,
@@ -61,56 +71,56 @@ def rolling_totals(df: DataFrame, key: str, ts: str, span_micros: int,
     Measures must be integral or decimal, so that the difference of two
     running totals (hot keys) equals the direct window sum.
     """
-    base = df.withColumns({"_t": micros(ts), **{f"_m_{k}": m for k, m in measures.items()}})
-    normal, hot, width = split_hot(base, key, "_t", hot_rows)
-    drop = ["_t", *[f"_m_{k}" for k in measures]]
-    w = Window.partitionBy(key).orderBy("_t").rangeBetween(-span_micros, 0)
+    base = df.withColumns({"_key": whole_key(key), "_t": instant(ts), **{f"_m_{k}": m for k, m in measures.items()}})
+    normal, hot, chunks = split_hot(base, hot_rows)
+    drop = ["_key", "_t", *[f"_m_{k}" for k in measures]]
+    w = Window.partitionBy("_key").orderBy("_t").rangeBetween(-span_micros, 0)
     out = normal.withColumns({k: F.sum(f"_m_{k}").over(w) for k in measures}).drop(*drop)
     if hot is None:
         return out
     # one row per (key, instant), then one probe per row at the window start
-    pre = hot.groupBy(key, "_t").agg(*[F.sum(f"_m_{k}").alias(f"_m_{k}") for k in measures])
+    pre = hot.groupBy("_key", "_t").agg(*[F.sum(f"_m_{k}").alias(f"_m_{k}") for k in measures])
     sums = [F.col(f"_m_{k}") for k in measures]
-    here = pre.select(key, "_t", F.col("_t").alias("_p"), F.lit(1).alias("_kind"), *sums)
-    start = pre.select(key, "_t", (F.col("_t") - span_micros).alias("_p"), F.lit(0).alias("_kind"),
+    here = pre.select("_key", "_t", F.col("_t").alias("_p"), F.lit(1).alias("_kind"), *sums)
+    start = pre.select("_key", "_t", (F.col("_t") - span_micros).alias("_p"), F.lit(0).alias("_kind"),
                        *[(F.col(f"_m_{k}") * 0).cast(dict(pre.dtypes)[f"_m_{k}"]).alias(f"_m_{k}")
                          for k in measures])
-    both = here.unionByName(start).withColumn("_chunk", _chunk("_p", width))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (both.groupBy(key, "_chunk").agg(*[F.sum(f"_m_{k}").alias(f"_s_{k}") for k in measures])
-               .select(key, "_chunk", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
+    both = chunked(here.unionByName(start), "_p", chunks)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (both.groupBy("_key", "_chunk").agg(*[F.sum(f"_m_{k}").alias(f"_s_{k}") for k in measures])
+               .select("_key", "_chunk", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_o_{k}")
                                         for k in measures]))
-    inside = (Window.partitionBy(key, "_chunk").orderBy("_p", "_kind")
+    inside = (Window.partitionBy("_key", "_chunk").orderBy("_p", "_kind")
               .rowsBetween(Window.unboundedPreceding, 0))
     diff = (both.withColumns({f"_r_{k}": F.sum(f"_m_{k}").over(inside) for k in measures})
-            .join(offsets, [key, "_chunk"])
-            .groupBy(key, "_t")
+            .join(offsets, ["_key", "_chunk"])
+            .groupBy("_key", "_t")
             .agg(*[F.sum((F.col(f"_r_{k}") + F.col(f"_o_{k}")) * F.when(F.col("_kind") == 1, 1).otherwise(-1))
                    .alias(k) for k in measures]))
-    split = hot.join(diff, [key, "_t"]).drop(*drop)
+    split = hot.join(diff, ["_key", "_t"]).drop(*drop)
     return out.unionByName(split.select(out.columns))
 
 
 def prior_totals(df: DataFrame, key: str, ts: str, tie: str, measures: dict[str, Column],
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Totals over all earlier rows of the same key (order ts, tie), NULL on the first."""
-    base = df.withColumns({"_t": micros(ts), **{f"_m_{k}": m for k, m in measures.items()}})
-    normal, hot, width = split_hot(base, key, "_t", hot_rows)
-    drop = ["_t", *[f"_m_{k}" for k in measures]]
-    w = Window.partitionBy(key).orderBy("_t", tie).rowsBetween(Window.unboundedPreceding, -1)
+    base = df.withColumns({"_key": whole_key(key), "_t": instant(ts), **{f"_m_{k}": m for k, m in measures.items()}})
+    normal, hot, chunks = split_hot(base, hot_rows)
+    drop = ["_key", "_t", *[f"_m_{k}" for k in measures]]
+    w = Window.partitionBy("_key").orderBy("_t", tie).rowsBetween(Window.unboundedPreceding, -1)
     out = normal.withColumns({k: F.sum(f"_m_{k}").over(w) for k in measures}).drop(*drop)
     if hot is None:
         return out
-    hot = hot.withColumn("_chunk", _chunk("_t", width))
-    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (hot.groupBy(key, "_chunk").agg(*[F.sum(f"_m_{k}").alias(f"_s_{k}") for k in measures])
-               .select(key, "_chunk", *[F.sum(f"_s_{k}").over(before).alias(f"_o_{k}") for k in measures]))
-    inside = (Window.partitionBy(key, "_chunk").orderBy("_t", tie)
+    hot = chunked(hot, "_t", chunks)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (hot.groupBy("_key", "_chunk").agg(*[F.sum(f"_m_{k}").alias(f"_s_{k}") for k in measures])
+               .select("_key", "_chunk", *[F.sum(f"_s_{k}").over(before).alias(f"_o_{k}") for k in measures]))
+    inside = (Window.partitionBy("_key", "_chunk").orderBy("_t", tie)
               .rowsBetween(Window.unboundedPreceding, -1))
     total = {k: F.when(F.col(f"_r_{k}").isNull() & F.col(f"_o_{k}").isNull(), None).otherwise(
         F.coalesce(F.col(f"_r_{k}"), F.lit(0)) + F.coalesce(F.col(f"_o_{k}"), F.lit(0))) for k in measures}
     split = (hot.withColumns({f"_r_{k}": F.sum(f"_m_{k}").over(inside) for k in measures})
-             .join(offsets, [key, "_chunk"])
+             .join(offsets, ["_key", "_chunk"])
              .withColumns(total))
     return out.unionByName(split.select(out.columns))
 
@@ -118,17 +128,17 @@ def prior_totals(df: DataFrame, key: str, ts: str, tie: str, measures: dict[str,
 def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: Column, name: str,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
     """The value on the preceding row of the same key (order ts, tie)."""
-    base = df.withColumns({"_t": micros(ts), "_v": value})
-    normal, hot, width = split_hot(base, key, "_t", hot_rows)
-    out = normal.withColumn(name, F.lag("_v").over(Window.partitionBy(key).orderBy("_t", tie))).drop("_t", "_v")
+    base = df.withColumns({"_key": whole_key(key), "_t": instant(ts), "_v": value})
+    normal, hot, chunks = split_hot(base, hot_rows)
+    out = normal.withColumn(name, F.lag("_v").over(Window.partitionBy("_key").orderBy("_t", tie))).drop("_key", "_t", "_v")
     if hot is None:
         return out
-    hot = hot.withColumn("_chunk", _chunk("_t", width))
-    last = (hot.groupBy(key, "_chunk").agg(F.max_by("_v", F.struct("_t", tie)).alias("_last"))
-            .select(key, "_chunk", F.lag("_last").over(Window.partitionBy(key).orderBy("_chunk")).alias("_prev")))
-    inside = Window.partitionBy(key, "_chunk").orderBy("_t", tie)
+    hot = chunked(hot, "_t", chunks)
+    last = (hot.groupBy("_key", "_chunk").agg(F.max_by("_v", F.struct("_t", tie)).alias("_last"))
+            .select("_key", "_chunk", F.lag("_last").over(Window.partitionBy("_key").orderBy("_chunk")).alias("_prev")))
+    inside = Window.partitionBy("_key", "_chunk").orderBy("_t", tie)
     split = (hot.withColumns({"_in": F.lag("_v").over(inside), "_i": F.row_number().over(inside)})
-             .join(last, [key, "_chunk"])
+             .join(last, ["_key", "_chunk"])
              .withColumn(name, F.when(F.col("_i") == 1, F.col("_prev")).otherwise(F.col("_in"))))
     return out.unionByName(split.select(out.columns))
 
@@ -158,38 +168,38 @@ def rolling_at_most_two(df: DataFrame, key: str, ts: str, tie: str, value: str,
     It holds exactly when the third most recently seen distinct value is older
     than the window start, so three remembered values replace a collected set.
     """
-    base = df.withColumn("_t", micros(ts))
-    normal, hot, width = split_hot(base, key, "_t", hot_rows)
+    base = df.withColumns({"_key": whole_key(key), "_t": instant(ts)})
+    normal, hot, chunks = split_hot(base, hot_rows)
     peers = lambda *part: (Window.partitionBy(*part).orderBy("_t")
                            .rangeBetween(Window.unboundedPreceding, 0))
-    ok = lambda c: F.coalesce(c < F.col("_t") - span_micros, F.lit(True))
-    helper = ["_t", "_s2", "_s3", "_c"]
-    out = (_recent_three(normal, [key], ["_t", tie], "_t", value)
-           .withColumn("_c", F.max("_s3.t").over(peers(key)))
+    ok = lambda c: F.coalesce(c < F.col("_t") - span_micros, F.lit(True)) | (F.col("_t") == NO_TIME)
+    helper = ["_key", "_t", "_s2", "_s3", "_c"]
+    out = (_recent_three(normal, ["_key"], ["_t", tie], "_t", value)
+           .withColumn("_c", F.max("_s3.t").over(peers("_key")))
            .withColumn(name, ok(F.col("_c"))).drop(*helper))
     if hot is None:
         return out
-    hot = hot.withColumn("_chunk", _chunk("_t", width))
+    hot = chunked(hot, "_t", chunks)
     # the three latest distinct values of each chunk, and from them of all chunks before
-    latest = hot.groupBy(key, "_chunk", value).agg(F.max(F.struct("_t", tie)).alias("_at"))
-    top = Window.partitionBy(key, "_chunk").orderBy(F.desc("_at"))
+    latest = hot.groupBy("_key", "_chunk", value).agg(F.max(F.struct("_t", tie)).alias("_at"))
+    top = Window.partitionBy("_key", "_chunk").orderBy(F.desc("_at"))
     summary = (latest.withColumn("_i", F.row_number().over(top)).where("_i <= 3")
-               .select(key, "_chunk", value, F.col("_at._t").alias("_t"), F.col(f"_at.{tie}").alias("_tie")))
-    state = (_recent_three(summary, [key], ["_t", "_tie"], "_t", value)
-             .groupBy(key, "_chunk")
+               .select("_key", "_chunk", value, F.col("_at._t").alias("_t"), F.col(f"_at.{tie}").alias("_tie")))
+    state = (_recent_three(summary, ["_key"], ["_t", "_tie"], "_t", value)
+             .groupBy("_key", "_chunk")
              .agg(F.max_by(F.struct(F.struct(F.col("_t").alias("t"), F.col(value).alias("v")).alias("s1"),
                                     "_s2", "_s3"), F.struct("_t", "_tie")).alias("_st"))
-             .withColumn("_st", F.lag("_st").over(Window.partitionBy(key).orderBy("_chunk")))
+             .withColumn("_st", F.lag("_st").over(Window.partitionBy("_key").orderBy("_chunk")))
              .where("_st is not null"))
-    seeds = (state.select(key, "_chunk", F.posexplode(F.array("_st._s3", "_st._s2", "_st.s1")).alias("_seed", "_x"))
+    seeds = (state.select("_key", "_chunk", F.posexplode(F.array("_st._s3", "_st._s2", "_st.s1")).alias("_seed", "_x"))
              .where("_x is not null")
-             .select(key, "_chunk", "_seed", F.col("_x.t").alias("_t"), F.col("_x.v").alias(value)))
+             .select("_key", "_chunk", "_seed", F.col("_x.t").alias("_t"), F.col("_x.v").alias(value)))
     rows = hot.withColumn("_seed", F.lit(None).cast("int"))
     mixed = rows.unionByName(seeds, allowMissingColumns=True)
     # seeds carry older instants; NULL tie sorts first and _seed keeps their own order
     order = ["_t", F.col("_seed").asc_nulls_last(), tie]
-    split = (_recent_three(mixed, [key, "_chunk"], order, "_t", value)
-             .withColumn("_c", F.max("_s3.t").over(peers(key, "_chunk")))
+    split = (_recent_three(mixed, ["_key", "_chunk"], order, "_t", value)
+             .withColumn("_c", F.max("_s3.t").over(peers("_key", "_chunk")))
              .where("_seed is null")
              .withColumn(name, ok(F.col("_c"))))
     return out.unionByName(split.select(out.columns))

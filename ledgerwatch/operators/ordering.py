@@ -114,7 +114,14 @@ def _narrow(vals: DataFrame, items: list[_Target]) -> None:
         return
 
     def cell(value, lo, hi):
-        return F.least(F.lit(BINS - 1), F.floor((F.col(value) - F.lit(lo)) / F.lit((hi - lo) / BINS)).cast("int")).alias("cell")
+        v, width = F.col(value), (hi - lo) / BINS
+        if math.isinf(hi - lo):  # infinite ends are cells of their own; too wide an interval is cut at zero
+            n = F.when(v == -math.inf, 0).when(v == math.inf, 3).when(v < 0, 1).otherwise(2)
+        elif width == 0:  # neighbouring numbers
+            n = F.when(v == F.lit(lo), 0).otherwise(1)
+        else:
+            n = F.least(F.lit(BINS - 1), F.floor((v - F.lit(lo)) / F.lit(width)).cast("int"))
+        return n.cast("int").alias("cell")
 
     hist: dict[int, list] = {}
     for r in (_members(vals, groups, cell).groupBy("g", "cell")
@@ -126,6 +133,8 @@ def _narrow(vals: DataFrame, items: list[_Target]) -> None:
             before = t.below
             for r in bins:
                 if t.k < before + r["n"]:
+                    if len(bins) == 1 and (t.lo, t.hi) == (r["lo"], r["hi"]):
+                        raise RuntimeError(f"the interval {t.lo} to {t.hi} does not shrink")
                     t.lo, t.hi, t.below, t.inside = r["lo"], r["hi"], before, r["n"]
                     break
                 before += r["n"]
@@ -159,7 +168,7 @@ def exact_quantiles(df: DataFrame, probs: dict[str, list[float]],
     if wanted:
         got = order_statistics(df, wanted, row_limit, known)
         for c, j, at, part, two in place:
-            out[c][j] = got[at] + (got[at + 1] - got[at]) * part if two else got[at]
+            out[c][j] = got[at] + (got[at + 1] - got[at]) * part if two and got[at] != got[at + 1] else got[at]
     return out
 
 

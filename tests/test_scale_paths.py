@@ -67,6 +67,47 @@ def test_hot_keys_previous_and_prior(hot, limit):
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """NULL keys, NULL times, a burst within a second, one far outlier, equal times."""
+    random.seed(11)
+    stamp = lambda k: f"2024-01-02 00:00:00.{k % 997:06d}"
+    data = [(k, 1, stamp(k), float(k % 70)) for k in range(300)] + [(300, 1, "2031-01-01 00:00:00", 9.0)]
+    data += [(400 + k, None if k % 2 else 2, None if k % 5 == 0 else f"2024-01-{1 + k % 20:02d} 0{k % 9}:00:00", float(k % 70)) for k in range(120)]
+    random.shuffle(data)
+    return spark.createDataFrame([(i, u, t, v, "error" if i % 3 else "ok", f"d{i % 4}") for i, u, t, v in data],
+                                 "event_id long, user_id long, t string, value double, event_type string, dest string").withColumn("ts", F.to_timestamp("t")).drop("t")
+
+
+@pytest.mark.parametrize("limit", [5, 100])
+def test_hot_keys_with_missing_keys_and_times(odd, limit):
+    for fn in (lambda h: patterns.smurfing(odd, "user_id", "ts", "value", 5, 60, 5, 3, h), lambda h: patterns.high_velocity(odd, "user_id", "ts", 6, 4, h),
+               lambda h: patterns.burst(odd, "user_id", "ts", F.col("event_type") == "error", 7, 5, h),
+               lambda h: patterns.dormant_wakeup(odd, "user_id", "ts", "event_id", "value", 1, 5, h),
+               lambda h: patterns.unusual_amount(odd, "user_id", "ts", "event_id", "value", 2, h),
+               lambda h: patterns.beneficiary_concentration(odd, "user_id", "ts", "event_id", "dest", 3, 3, h)):
+        a, b = fn(limit), fn(keyed.HOT_ROWS)
+        assert a.columns == b.columns and b.count() == odd.count()
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_chunks_of_a_burst_are_even(odd):
+    base = odd.withColumns({"_key": keyed.whole_key("user_id"), "_t": keyed.instant("ts")})
+    _, hot, chunks = keyed.split_hot(base, 100)
+    sizes = [r["count"] for r in keyed.chunked(hot, "_t", chunks).where("user_id = 1").groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 301 and max(sizes) <= 200
+
+
+def test_order_statistics_with_infinite_ends(spark):
+    inf = float("inf")
+    data = [-inf] * 30 + [inf] * 30 + [float(k) for k in range(-200, 200)] + [1e308, -1e308, 5e-324, 0.0]
+    df = spark.createDataFrame([(x,) for x in data], "v double")
+    probs = {"v": [0.0, 0.01, 0.05, 0.3, 0.5, 0.77, 0.95, 1.0]}
+    assert ordering.exact_quantiles(df, probs, row_limit=7) == ordering.exact_quantiles(df, probs)
+    want = [(F.col("v"), k) for k in (0, 29, 30, 31, 231, 232, 233, 430, 432, 433, 463)]
+    assert ordering.order_statistics(df, want, row_limit=3) == [sorted(data)[k] for _, k in want]
+
+
 @pytest.mark.parametrize("limit", [5, 40, keyed.HOT_ROWS])
 @pytest.mark.parametrize("days", [1, 3, 21])
 def test_concentration_against_brute_force(hot, limit, days):
