@@ -23,6 +23,9 @@ from ledgerwatch.session import is_small, spread
 DEFAULTS = {"max_depth": 6, "learning_rate": 0.1, "n_estimators": 300, "subsample": 0.8, "colsample_bytree": 0.8,
             "gamma": 0.3, "min_child_weight": 5}
 
+#: Partitions of the training rows; a model depends on this number, not on those of its input.
+FIT_PARTITIONS = 32
+
 
 def classifier(params: dict | None = None, seed: int = 42, validation: str | None = None) -> GBTClassifier:
     """Row weights already scale the impurity, so gamma becomes a small minimum gain."""
@@ -77,6 +80,7 @@ def train(df: DataFrame, label: str, key: str, features: engineering.FittedFeatu
           roles: dict[str, list[str]] | None = None) -> FraudModel:
     """Split 80/20 per class, hold out part of the training rows for early stopping, fit
     features on training rows only, then measure on the test rows."""
+    df = df.where(F.col(label).isNotNull())
     small = is_small(df)
     base = spread(df).persist() if small else df  # small inputs are read several times below
     split = evaluate.stratified_split(base, label, key, [test, (1 - test) * validation, (1 - test) * (1 - validation)], seed, "_fold")
@@ -87,7 +91,9 @@ def train(df: DataFrame, label: str, key: str, features: engineering.FittedFeatu
     ready = align(features.transform(split, [key, label, "_fold"]), columns, [key, label, "_fold"])
     ready = evaluate.add_class_weight(ready.withColumn("label", F.col(label).cast("double")), label, train=F.col("_fold") > 0)
     v = VectorAssembler(inputCols=columns, outputCol="features").transform(ready)
-    rows = v.where("_fold > 0").select("features", "label", "weight", (F.col("_fold") == 1).alias("is_validation")).persist()
+    # row sampling of the trees follows partitions and their order: both are fixed by the key
+    rows = (v.where("_fold > 0").repartition(FIT_PARTITIONS, evaluate.split_hash(key, seed)).sortWithinPartitions(evaluate.split_hash(key, seed), key)
+            .select("features", "label", "weight", (F.col("_fold") == 1).alias("is_validation")).persist())
     trees = classifier(params, seed, "is_validation").fit(rows)
     rows.unpersist()
     model = FraudModel(features, trees, columns)

@@ -113,7 +113,7 @@ class FittedFeatures:
 
 def column_roles(df: DataFrame) -> dict[str, list[str]]:
     """role -> columns, in schema order; one profile pass for the uniqueness."""
-    p = column_profile(df, exact=False).withColumn("grp", nm.semantic_group(nm.normalized(F.col("name"))))
+    p = column_profile(df).withColumn("grp", nm.semantic_group(nm.normalized(F.col("name"))))
     role = nm.column_role(F.col("name"), F.col("grp"), F.col("n_unique") / F.col("n_rows"), F.col("dtype") == "string",
                           F.col("dtype").isin("integer", "float"))
     out: dict[str, list[str]] = {}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators.ordering import order_statistics, running_totals
 
 
+#: Classes whose cuts are fitted one by one; further, smaller ones are ranked.
+NAMED_CLASSES = 1000
 HASH_TOP = 2 ** 52 - 1
 
 
@@ -21,14 +23,14 @@ def stratified_split(df: DataFrame, label: str, key: str, fractions: list[float]
                      name: str = "fold") -> DataFrame:
     """Adds ``fold``: 0 for the first fraction of each class, 1 for the second, ...
 
-    Exact per class and independent of partitioning: the cut of a class is an
-    order statistic of the row hash, so no class is ever sorted in one task.
+    Exact per class and independent of partitioning: the cut of a class is an order
+    statistic of the row hash, so no large class is ever sorted in one task.  Only the
+    ``NAMED_CLASSES`` largest classes are cut this way; a class beyond them holds less
+    than that share of the rows and is ranked by a window.  A NULL label has no fold.
     """
     h = split_hash(key, seed)
-    counts = {x[label]: x["n"] for x in df.where(F.col(label).isNotNull()).groupBy(label)
-              .agg(F.count("*").alias("n")).limit(1001).collect()}
-    if len(counts) > 1000:
-        raise ValueError(f"{label} has more than 1000 classes; stratify on a coarser label")
+    per_class = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    counts = {x[label]: x["n"] for x in per_class.orderBy(F.desc("n"), label).limit(NAMED_CLASSES).collect()}
     hashed = df.withColumn("_h", h)
     wanted, place = [], []
     for c, n in counts.items():
@@ -43,7 +45,17 @@ def stratified_split(df: DataFrame, label: str, key: str, fractions: list[float]
     fold = F.lit(len(fractions) - 1)
     for c, i, at in sorted(place, key=lambda x: -x[1]):
         fold = F.when((F.col(label) == F.lit(c)) & (F.col("_h") <= F.lit(cuts[at])), F.lit(i)).otherwise(fold)
-    return hashed.withColumn(name, fold).drop("_h")
+    if len(counts) < NAMED_CLASSES:
+        return hashed.withColumn(name, F.when(F.col(label).isNotNull(), fold)).drop("_h")
+    large = F.coalesce(F.col(label).isin(list(counts)), F.lit(True))
+    big = hashed.where(large).withColumn(name, F.when(F.col(label).isNotNull(), fold))
+    part = Window.partitionBy(label)
+    small = hashed.where(~large).withColumns({"_r": F.rank().over(part.orderBy("_h")), "_n": F.count("*").over(part)})
+    own, share = F.lit(len(fractions) - 1), sum(fractions[:-1])
+    for i in range(len(fractions) - 2, -1, -1):
+        own = F.when(F.col("_r") <= F.floor(F.lit(share) * F.col("_n") + 0.5), F.lit(i)).otherwise(own)
+        share -= fractions[i]
+    return big.unionByName(small.withColumn(name, own).drop("_r", "_n")).drop("_h")
 
 
 def stratified_sample(df: DataFrame, label: str, key: str, fraction: float = 0.35, seed: int = 42) -> DataFrame:

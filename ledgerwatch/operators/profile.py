@@ -13,8 +13,6 @@ from pyspark.sql import types as T
 
 from ledgerwatch.operators.ordering import exact_quantiles
 
-EXACT_COLUMNS = 30
-
 
 def is_numeric(t: T.DataType) -> bool:
     return isinstance(t, T.NumericType)
@@ -38,6 +36,17 @@ def kind(t: T.DataType) -> str:
     return "boolean" if isinstance(t, T.BooleanType) else "other"
 
 
+def clean_number(c: str | Column) -> Column:
+    """The number as a double; NaN is missing like NULL."""
+    return F.nanvl((F.col(c) if isinstance(c, str) else c).cast("double"), F.lit(None))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """The table with NULL for every NaN."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+
+
 def safe_corr(x: str, y: str) -> Column:
     """Pearson r over rows where both are present; NULL when either is constant."""
     a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
@@ -56,7 +65,7 @@ def melt_numbers(df: DataFrame, cols: list[str], *others: Column) -> DataFrame:
     Aggregating this by name keeps the generated code small however wide the table
     is, and map-side combining leaves one row per column and task to shuffle.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in cols])
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), clean_number(c).alias("x")) for c in cols])
     return df.select(*others, F.explode(cells).alias("c")).select(*[o for o in df.select(*others).columns], "c.name", "c.x")
 
 
@@ -73,13 +82,12 @@ def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def column_profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
+def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """name, position, dtype, n_rows, n_unique, missing, missing_pct, mean, std, min, max.
 
-    Distinct counts are exact up to ``EXACT_COLUMNS`` columns and sketched beyond,
-    unless told otherwise.
+    NaN counts as missing.  Distinct counts are exact unless a sketch is asked for.
     """
-    exact = len(df.columns) <= EXACT_COLUMNS if exact is None else exact
+    df = without_nan(df)
     nums = numeric_columns(df)
     counts = melt(df.agg(F.count("*").alias("n_rows"), *[F.count(F.col(c)).alias(f"n_{i}") for i, c in enumerate(df.columns)]),
                   {f.name: {"position": F.lit(i), "dtype": F.lit(kind(f.dataType)), "n_rows": F.col("n_rows"), "present": F.col(f"n_{i}")}
@@ -231,8 +239,8 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     Without missing values all pairs come from one distributed cross-product matrix of
     the columns; with missing values each pair uses the rows where both are present.
     """
-    nums = [F.col(c).cast("double").alias(c) for c in cols]
-    gaps = df.agg(sum((F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))) for c in cols), F.lit(0)).alias("n")).first()["n"]
+    nums = [clean_number(c).alias(c) for c in cols]
+    gaps = df.agg(sum((F.count_if(clean_number(c).isNull()) for c in cols), F.lit(0)).alias("n")).first()["n"]
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
     if gaps == 0:
         v = VectorAssembler(inputCols=cols, outputCol="v").transform(df.select(*nums)).select("v")

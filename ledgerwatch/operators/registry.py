@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerwatch.operators import keyed
+
 
 def active_models(registry: DataFrame, domain: str | None = None, min_auc: float | None = 0.90) -> DataFrame:
     out = registry.where("is_active")
@@ -38,22 +40,17 @@ def recent(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
 def usage(log: DataFrame, key: str, ts: str, tie: str, score: str) -> DataFrame:
     """Exponential average 0.7 old + 0.3 new in time order, usage count, last use.
 
-    The average is a weighted sum: position from the end fixes the weight, and
-    weights below 1e-18 of the total cannot change a double, so the newest 128
-    scores per key decide it; older ones only enter the count.
+    The average is a weighted sum: a score with k later ones weighs 0.3 * 0.7^k, the first
+    one 0.7^k.  Positions come from totals over earlier rows, which stay parallel when one
+    key has most of the log.
     """
-    newest = F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("i"), F.col(score).alias("s"))
-    from pyspark.sql import Window
-    part = Window.partitionBy(key, "_p").orderBy(F.desc("x"))
-    rows = (log.where(F.col(score).isNotNull()).select(key, newest.alias("x"))
-            .withColumn("_p", F.pmod(F.xxhash64("x"), F.lit(32)))
-            .withColumn("_i", F.row_number().over(part)).where("_i <= 128"))
-    last = (rows.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("x")))).where("_i <= 128")
-            .groupBy(key).agg(F.sort_array(F.collect_list("x")).alias("xs")))
-    avg = F.aggregate("xs", F.lit(None).cast("double"),
-                      lambda a, x: F.coalesce(a * 0.7 + x["s"] * 0.3, x["s"]))
+    scored = log.where(F.col(score).isNotNull()).select(key, ts, tie, score)
+    placed = keyed.prior_totals(scored, key, ts, tie, {"_before": F.lit(1).cast("bigint")})
+    placed = keyed.attach_group_stats(placed.withColumn("_before", F.coalesce("_before", F.lit(0))), key, {"_n": F.count("*")})
+    weight = F.pow(F.lit(0.7), F.col("_n") - 1 - F.col("_before")) * F.when(F.col("_before") == 0, 1.0).otherwise(0.3)
+    last = placed.groupBy(key).agg(F.sum(weight * F.col(score)).alias("avg_similarity_score"))
     count = log.groupBy(key).agg(F.count("*").alias("usage_count"), F.max(ts).alias("last_used_at"))
-    return count.join(last, key, "left").withColumn("avg_similarity_score", avg).drop("xs")
+    return count.join(last, key, "left")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
