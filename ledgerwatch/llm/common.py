@@ -76,8 +76,8 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     n = max(1, len(h) - size + 1)
     out = np.full(n, min(size, len(h)), dtype=np.uint64)
     for k in range(min(size, len(h))):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + n])
-    return out
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[k:k + n]
+    return mix(out)
 
 
 def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:

@@ -90,6 +90,7 @@ class Outline:
         self.place = place[order] >> np.uint64(32)
         self.value = mix(h[order] + np.uint64(0x14057B7EF767814F))
         self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value, dtype=np.uint64)])
+        self.cuts: dict[int, tuple] = {}
 
     def identity(self) -> tuple[int, int]:
         """128 bits of the set."""
@@ -104,10 +105,12 @@ class Outline:
         return largest_difference(self.n + min(edges()[band + 1] - 1, largest_partner(self.n))) + 1
 
     def segments(self, band: int):
-        count, _ = plan(band)
-        seg = (self.place * np.uint64(count)) >> np.uint64(32)
-        start = np.concatenate([[0], np.flatnonzero(np.diff(seg)) + 1])
-        return count, seg, start, np.append(start[1:], self.n)
+        if band not in self.cuts:
+            count, _ = plan(band)
+            seg = (self.place * np.uint64(count)) >> np.uint64(32)
+            start = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
+            self.cuts[band] = count, seg, start, np.append(start[1:], self.n)
+        return self.cuts[band]
 
     def weight(self, band: int) -> int:
         _, _, start, end = self.segments(band)
@@ -167,8 +170,9 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen.clear()
         for k, h in enumerate(sets):
             o = Outline(h)
-            if o.n and o.identity() not in seen:  # equal sets are one class already
-                seen.add(o.identity())
+            same = o.identity()
+            if o.n and same not in seen:  # equal sets are one class already
+                seen.add(same)
                 found += [(k, o.signatures(band)) for band in o.bands()]
         if found:
             docs = np.repeat(ids[[k for k, _ in found]], [len(s) for _, s in found])
