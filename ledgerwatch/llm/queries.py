@@ -75,7 +75,15 @@ def op7_toxicity(spark, d):
     return toxicity.predict(docs, model)
 
 
-@query("op2_ngram_jaccard")
+@query("op2_ngram_jaccard", r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+ g AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+   ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM w),
+ e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
+ l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id
+   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+ r AS (SELECT doc_id AS a, doc_id AS b FROM g UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT g.doc_id, len(s)::BIGINT AS n_shingles, c.component_id FROM g JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON g.doc_id = c.a""")
 def op2_ngram_jaccard(spark, d):
     return ngram_jaccard.classes(read(spark, d, "documents"))
 
