@@ -140,7 +140,7 @@ def components(nodes: DataFrame, edges: DataFrame, every: int = 2) -> DataFrame:
 
 
 #: Narrow sides up to so many rows are sent to every executor (16 to 32 bytes a row).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 
 def bounded(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

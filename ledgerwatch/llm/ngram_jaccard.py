@@ -43,7 +43,7 @@ RATIO = 1.6
 SEEN_SETS = 500_000
 SKETCH = 256
 BLOCK = 2000
-NEAREST_ROUNDS = 3
+NEAREST_ROUNDS = 2
 
 
 def largest_partner(n: int) -> int:
@@ -270,7 +270,8 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = settled(pairs.select(F.col("a").alias("doc"), "a", "b", F.lit(0).alias("side"))
                    .union(pairs.select(F.col("b").alias("doc"), "a", "b", F.lit(1).alias("side"))))
     kind = dict(docs.dtypes)["doc"]
-    met = docs.join(bounded(ends), "doc").select("a", "b", "side", "text")
+    ids = settled(ends.select("doc").distinct())
+    met = docs.join(bounded(ids), "doc", "left_semi").join(ends, "doc").select("a", "b", "side", "text")
     return settled(met.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_verify, f"a {kind}, b {kind}"))
 
 
@@ -281,7 +282,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = written(rows.mapInArrow(_describe, f"doc {kind}, n bigint, low bigint, high bigint, band int, spare array<int>, sketch binary"))
     real = known.filter("doc is not null and n > 0")
     equal = real.groupBy("n", "low", "high").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).filter("c > 1")
-    same = real.join(equal, ["n", "low", "high"]).select(F.col("doc").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+    # equal sets are one class from the start; an id with several sets joins their classes
+    firsts = real.join(equal, ["n", "low", "high"], "left").select(F.col("doc").alias("node"), F.coalesce("rep", "doc").alias("rep"))
 
     # the index: buckets of more than one document, each member beside the bucket's smallest
     texts = rows.filter("doc is not null")
@@ -293,7 +295,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     met = settled(shared.groupBy("doc", "hub", (F.col("sig") % 2 != 0).alias("odd")).agg(F.count("*").alias("k")))
 
     # first round: everybody against the hub that it meets most often
-    label = settled(components(real.select(F.col("doc").alias("node")).distinct(), same))
+    label = settled(firsts.groupBy("node").agg(F.min("rep").alias("component"), F.max("rep").alias("other")))
+    several = label.filter("component <> other").select("node", "component")
+    label = _relabelled(label.select("node", "component"), firsts.join(several, "node").select(F.col("component").alias("a"), F.col("rep").alias("b")))
     sized = met.groupBy("doc", "hub").agg(F.sum("k").alias("k"))
     best = sized.groupBy("doc").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"), "hub"))["hub"].alias("hub"))
     apart = _with_labels(best, label).filter("ca <> cb").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
@@ -333,7 +337,14 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return label
     met = _with_labels(links.select(F.col("a").alias("doc"), F.col("b").alias("hub")), label)
-    joined = settled(met.select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a <> b").distinct())
+    return _relabelled(label, met.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+
+def _relabelled(label: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Labels after the classes (a, b) of every pair became one."""
+    joined = settled(pairs.filter("a <> b").distinct())
+    if joined.isEmpty():
+        return label
     found = components(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct(), joined)
     return settled(label.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
                    .select("node", F.coalesce("to", "component").alias("component")))
