@@ -1,17 +1,19 @@
 """Language-model scoring by a probabilistic suffix tree over words.
 
 Symbols are words and one end per text. Level 1 holds the contexts of one word, level k those of k words. A
-context is a candidate if its training count reaches STATE of all tokens; it becomes a state if its
+context is a candidate if it occurs LEAST times in training; it becomes a state if its
 next-symbol distribution diverges from that of its suffix by DIVERGENCE (mean log10 ratio) or if a longer state needs it as
-suffix. A state keeps the next symbols whose joint count reaches ENTRY of all tokens, discounted by DISCOUNT; the
+suffix. A state keeps the next symbols that follow it LEAST times, discounted by DISCOUNT; the
 mass left goes to its suffix's distribution in proportion, the root being the add-half unigram model with
 one unknown word, so every state's distribution sums to one. A token is scored in the longest state that
-ends before it.
+ends before it. LEAST is a count, not a share: the model of a text does not depend on the size of the corpus around it,
+and states and entries grow with the corpus.
 
-All counts are Spark aggregations over the whole training text. States and entries are bounded by 1/STATE and
-1/ENTRY per level, whatever the corpus, and are broadcast; words below HEAD of all tokens (the vocabulary
-that grows) are counted and looked up by shuffle: a document sends one row per rare word it has. Rows of
-a task are combined before every shuffle.
+All counts are Spark aggregations over the whole training text. Up to ARRAY_TOKENS training tokens (so at most half as
+many entries a level) the tree is arrays that are broadcast. Beyond, contexts and entries are Spark tables keyed by
+64 bits of hash: divergence is a grouped aggregate, every distinct gram of the scored texts (symbol and the words before
+it) gets its scores by joins once, the most frequent grams (at most HOT) are broadcast with their scores, and a
+document sends one row per other gram it has. Rows of a task are combined before every shuffle.
 
 Defined cases: null and empty texts consist of the end only; words are told apart by 64 bits of hash; without
 training rows every count is 0; rows that repeat id and text repeat their scores; a null id is
@@ -28,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import WordHashes, arrow_rows, signed, words, written
+from ledgerwatch.llm.common import WordHashes, arrow_rows, mix, signed, words, written
 
 DEPTH = 2
-HEAD = 2e-6
-ENTRY = 2e-6
-STATE = 1e-5
+LEAST = 2
+#: Training tokens up to which the tree is held as arrays.
+ARRAY_TOKENS = 1_000_000
+#: Grams that are broadcast with their scores (25 bytes each).
+HOT = 1_000_000
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
 END = np.uint64(0x9D5C3B1F7A2E4680)
@@ -55,12 +59,14 @@ class Level:
 
 @dataclass
 class Tree:
-    """head: sorted hashes of the frequent words with their counts; levels of contexts."""
+    """head: sorted hashes of the words seen LEAST times with their counts; levels of contexts. A tree of tables has
+    no head and, for every level, its states (ctx, log_rest) and their entries (ctx, sym, log_p)."""
     head: np.ndarray
     count: np.ndarray
     tokens: int
     distinct: int
     levels: list[Level] = field(default_factory=list)
+    tables: list[tuple[DataFrame, DataFrame]] | None = None
 
     def root(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
@@ -144,15 +150,19 @@ def train(rows: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     counts = written(_table(rows, lambda s: s))
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     tokens, distinct = int(whole["n"]), int(whole["v"])
-    head, n = _collect(counts.filter(F.col("n") >= max(2.0, HEAD * tokens)))
+    if tokens > ARRAY_TOKENS:
+        tree = Tree(np.zeros(0, np.uint64), np.zeros(0, np.int64), tokens, distinct)
+        tree.tables = _tables(rows, counts, tree, depth)
+        return tree, counts
+    head, n = _collect(counts.filter(F.col("n") >= LEAST))
     tree = Tree(head, n, tokens, distinct)
     for k in range(depth):
         if k == 0:
-            use = np.flatnonzero((n >= max(2.0, STATE * tokens)) & (head != END))
+            use = np.flatnonzero((n >= LEAST) & (head != END))
             level = Level(use.astype(np.uint64), n[use], np.full(len(use), -1))
         else:
             below = tree.levels[-1]
-            use = np.flatnonzero((below.numbers >= max(2.0, STATE * tokens)) & (tree.head[(below.entries & np.uint64(0xFFFFFFFF)).astype(np.int64)] != END))
+            use = np.flatnonzero((below.numbers >= LEAST) & (tree.head[(below.entries & np.uint64(0xFFFFFFFF)).astype(np.int64)] != END))
             keys = below.entries[use]
             older, last = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64(0xFFFFFFFF)
             up = find(below.keys, last) if k == 1 else find(below.keys, joint(below.suffix[older], last))
@@ -167,7 +177,7 @@ def train(rows: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
             ok = np.flatnonzero((ctx[:-1] >= 0) & (ids[1:] >= 0))
             return joint(ctx[ok], ids[ok + 1])
 
-        level.entries, level.numbers = _collect(_table(rows, following).filter(F.col("n") >= max(2.0, ENTRY * tokens)))
+        level.entries, level.numbers = _collect(_table(rows, following).filter(F.col("n") >= LEAST))
         _judge(tree, k)
     needed = np.zeros(0, bool)
     for k in range(depth - 1, -1, -1):  # suffixes of states are states
@@ -179,6 +189,142 @@ def train(rows: DataFrame, depth: int = DEPTH) -> tuple[Tree, DataFrame]:
     return tree, counts
 
 
+def _laid(texts: list[str | None], of_word: WordHashes, depth: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """(grams, [symbol, contexts of 1 to `depth` words before it], row, symbols of each row) of texts laid end to end. The
+    place of a context that a text's first symbols do not have holds the gram itself."""
+    each = [symbols(t, of_word) for t in texts]
+    length = np.array([len(x) for x in each], dtype=np.int64)
+    s = np.concatenate(each)
+    place = np.arange(len(s)) - np.repeat(np.cumsum(length) - length, length)
+    ctx, have, g = [], [], s.copy()
+    for k in range(1, depth + 1):
+        older = np.concatenate([np.zeros(min(k, len(s)), np.uint64), s[:-k]])
+        ctx.append(older if k == 1 else mix(ctx[-1] * np.uint64(0x9E3779B97F4A7C15) + older))
+        have.append(place >= k)
+        g = mix(g * np.uint64(0xD1342543DE82EF95) + np.where(have[-1], ctx[-1], np.uint64(0)))
+    return g, [s, *(np.where(h, c, g) for h, c in zip(have, ctx, strict=True))], np.repeat(np.arange(len(texts)), length), length
+
+
+def _gram_rows(depth: int) -> object:
+    """(g, sym, c1, ..., n) of the grams, combined per task up to a bound."""
+    def merged(parts):
+        g, at, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(g)).astype(np.int64)
+        return (g, n, *(np.concatenate([p[k] for p in parts])[at] for k in range(2, depth + 3)))
+
+    def rows(part):
+        for k in range(0, len(part[0]), 100_000):
+            g, n, *rest = (x[k:k + 100_000] for x in part)
+            yield pa.RecordBatch.from_arrays([*(pa.array(signed(x)) for x in (g, *rest)), pa.array(n)], names=["g", "sym", *(f"c{j + 1}" for j in range(depth)), "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_word, parts, held = WordHashes(), [], 0
+        for b in arrow_rows(batches, rows=2048, size=4 << 20):
+            g, columns, _, _ = _laid(b.column(0).to_pylist(), of_word, depth)
+            g, at, n = np.unique(g, return_index=True, return_counts=True)
+            parts.append((g, n, *(c[at] for c in columns)))
+            held += len(g)
+            if held > HELD:
+                parts = [merged(parts)]
+                held = len(parts[0][0])
+                if held > HELD // 2:
+                    yield from rows(parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield from rows(merged(parts))
+    return run
+
+
+def _grams(rows: DataFrame, depth: int) -> DataFrame:
+    """(g, sym, c1, ..., n): every distinct gram of the texts with its count."""
+    names = ["sym", *(f"c{k}" for k in range(1, depth + 1))]
+    found = rows.select("text").mapInArrow(_gram_rows(depth), ", ".join(f"{c} bigint" for c in ["g", *names, "n"]))
+    return written(found.groupBy("g").agg(*(F.first(c).alias(c) for c in names), F.sum("n").alias("n")))
+
+
+def _unit(tree: Tree, n: Column) -> Column:
+    return F.log10((n + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
+
+
+def _tables(rows: DataFrame, counts: DataFrame, tree: Tree, depth: int) -> list[tuple[DataFrame, DataFrame]]:
+    """States and entries of every level; a longer entry's suffix is an entry of the level below, as it occurs as often."""
+    grams, found, below = _grams(rows, depth), [], None
+    for k in range(1, depth + 1):
+        suffix = F.lit(0).cast("bigint") if k == 1 else F.col(f"c{k - 1}")
+        all_ = written(grams.filter(F.col(f"c{k}") != F.col("g")).groupBy(F.col(f"c{k}").alias("ctx"), suffix.alias("suf"), "sym").agg(F.sum("n").alias("n")))
+        size = all_.groupBy("ctx").agg(F.sum("n").alias("count")).filter(F.col("count") >= LEAST)
+        kept = all_.filter(F.col("n") >= LEAST).join(size, "ctx").select("ctx", "suf", "sym", F.log10((F.col("n") - DISCOUNT) / F.col("count")).alias("log_p"))
+        lower = (counts.select(F.col("k").alias("sym"), _unit(tree, F.col("n")).alias("up")) if k == 1 else
+                 below.select(F.col("ctx").alias("suf"), "sym", F.col("log_p").alias("up")))
+        kept = written(kept.join(lower, ["sym"] if k == 1 else ["suf", "sym"]))
+        p, up = F.pow(F.lit(10.0), "log_p"), F.pow(F.lit(10.0), "up")
+        judged = kept.groupBy("ctx", "suf").agg(F.sum(p).alias("mine"), F.sum(up).alias("theirs"), F.sum(p * (F.col("log_p") - F.col("up"))).alias("gain"))
+        rest = F.greatest(1 - F.col("mine"), F.lit(1e-12))
+        judged = judged.withColumn("log_rest", F.log10(rest) - F.log10(F.greatest(1 - F.col("theirs"), F.lit(1e-12))))
+        found.append((written(judged.select("ctx", "suf", "log_rest", (F.col("gain") + rest * F.col("log_rest") >= DIVERGENCE).alias("state"))), kept))
+        below = kept
+    out, needed = [], None
+    for judged, kept in reversed(found):  # suffixes of states are states
+        states = judged.filter("state")
+        if needed is not None:
+            states = judged.join(needed, "ctx", "left").filter(F.col("state") | F.col("needed").isNotNull())
+        states = written(states.select("ctx", "suf", "log_rest"))
+        needed = states.select(F.col("suf").alias("ctx"), F.lit(True).alias("needed")).distinct()
+        out.append((states.select("ctx", "log_rest"), written(kept.join(states.select("ctx"), "ctx", "left_semi").select("ctx", "sym", "log_p"))))
+    return out[::-1]
+
+
+def _values(grams: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+    """(g, n, known, base, best): scores of every distinct gram."""
+    x = grams.join(counts.select(F.col("k").alias("sym"), F.col("n").alias("seen")), "sym", "left")
+    x = x.withColumns({"known": F.col("seen").isNotNull(), "base": _unit(tree, F.coalesce("seen", F.lit(0)))}).drop("seen").withColumns({"best": F.col("base"), "u": F.col("base")})
+    for k, (states, entries) in enumerate(tree.tables, 1):
+        x = x.join(states.withColumnRenamed("ctx", f"c{k}"), f"c{k}", "left").join(entries.withColumnRenamed("ctx", f"c{k}"), [f"c{k}", "sym"], "left")
+        x = x.withColumn("u", F.coalesce("log_p", F.col("log_rest") + F.col("u")))
+        x = x.withColumn("best", F.when(F.col("log_rest").isNotNull(), F.col("u")).otherwise(F.col("best"))).drop("log_p", "log_rest")
+    return written(x.select("g", "n", "known", "base", "best"))
+
+
+def _hottest(values: DataFrame) -> DataFrame:
+    """The most frequent grams, at most HOT: those above the lowest count whose grams and all of higher counts are so few."""
+    level = F.floor(F.log2("n") * 4).cast("int")
+    total, least = 0, None
+    for r in sorted(values.groupBy(level.alias("l")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["l"]):
+        total += r["c"]
+        if total > HOT:
+            break
+        least = r["l"]
+    return values.limit(0) if least is None else values.filter(level >= least)
+
+
+def _scored_grams(shared, depth: int) -> object:
+    """One summary row per text and one row per gram that is not broadcast: (id, th, w, rare, n, base, score, tokens, known)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, known, base, best = shared.value
+        of_word = WordHashes()
+        for b in arrow_rows(batches, rows=1024, size=4 << 20):
+            g, _, row, length = _laid(b.column(2).to_pylist(), of_word, depth)
+            at = find(hot, g)
+            have, size = at >= 0, len(length)
+            inside, where = at[have], row[have]
+            sums = [np.bincount(where, weights=v[inside], minlength=size) if len(hot) else np.zeros(size) for v in (base, best, known)]
+            order = np.lexsort((g[~have], row[~have]))
+            r, w = row[~have][order], g[~have][order]
+            first = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])) if len(r) else np.zeros(0, np.int64)
+            n = np.diff(np.append(first, len(r)))
+            own = mix(np.arange(size, dtype=np.uint64) + g[np.cumsum(length) - length])
+            whole, zero = np.concatenate([np.arange(size), r[first]]), np.zeros(len(first))
+            take = pa.array(whole)
+            out = pa.RecordBatch.from_arrays(
+                [b.column(0).take(take), b.column(1).take(take), pa.array(signed(np.concatenate([own, w[first]]))), pa.array(np.arange(len(whole)) >= size),
+                 pa.array(np.concatenate([np.zeros(size, np.int64), n])), pa.array(np.concatenate([sums[0], zero])), pa.array(np.concatenate([sums[1], zero])),
+                 pa.array(np.concatenate([length, zero.astype(np.int64)])), pa.array(np.concatenate([sums[2].astype(np.int64), zero.astype(np.int64)]))],
+                names=["id", "th", "w", "rare", "n", "base", "score", "tokens", "known"])
+            for k in range(0, out.num_rows, 100_000):
+                yield out.slice(k, 100_000)
+    return run
+
+
 def probability(tree: Tree, k: int, ctx: np.ndarray, sym: np.ndarray) -> np.ndarray:
     """log10 P(symbol | context of level k), -1 for the root; symbols are in the head."""
     if k < 0:
@@ -262,16 +408,26 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    parts = rows.mapInArrow(_scored(shared), f"id {kind}, th bigint, w bigint, rare boolean, n bigint, base double, score double, tokens bigint, known bigint")
-    met = parts.join(counts.select(F.col("k").alias("w"), F.col("n").alias("c")), "w", "left")
-    c = F.coalesce("c", F.lit(0))
-    unit: Column = F.log10((c + 0.5) / F.lit(tree.tokens + 0.5 * (tree.distinct + 1)))
-    extra = F.when(F.col("rare"), F.col("n") * unit).otherwise(0.0)
-    seen = F.when(F.col("rare") & F.col("c").isNotNull(), F.col("n")).otherwise(0)
+    schema = f"id {kind}, th bigint, w bigint, rare boolean, n bigint, base double, score double, tokens bigint, known bigint"
+    spread = docs.sparkSession.sparkContext.broadcast
+    if tree.tables is None:
+        parts = rows.mapInArrow(_scored(spread(tree)), schema)
+        unit = _unit(tree, F.col("n"))
+        values = counts.select(F.col("k").alias("w"), F.lit(True).alias("seen"), unit.alias("one"), unit.alias("best"))
+    else:
+        depth = len(tree.tables)
+        grams = _values(_grams(rows, depth), tree, counts)
+        hot = _hottest(grams).toPandas().sort_values("g", key=lambda g: g.to_numpy(np.int64).view(np.uint64))
+        parts = rows.mapInArrow(_scored_grams(spread((hot["g"].to_numpy(np.int64).view(np.uint64), *(hot[c].to_numpy(float) for c in ("known", "base", "best")))), depth), schema)
+        values = grams.select(F.col("g").alias("w"), F.col("known").alias("seen"), F.col("base").alias("one"), "best")
+    met = parts.join(values, "w", "left")
+    none = _unit(tree, F.lit(0))
+    extra = F.when(F.col("rare"), F.col("n") * F.coalesce("one", none)).otherwise(0.0)
+    more = F.when(F.col("rare"), F.col("n") * F.coalesce("best", none)).otherwise(0.0)
+    seen = F.when(F.col("rare") & F.coalesce("seen", F.lit(False)), F.col("n")).otherwise(0)
     per = met.groupBy("id", "th").agg(
         F.sum("tokens").alias("tokens"), F.sum(F.col("known") + seen).alias("known"), F.sum(F.col("base") + extra).alias("base"),
-        F.sum(F.col("score") + extra).alias("score"), F.sum((~F.col("rare")).cast("bigint")).alias("copies"))
+        F.sum(F.col("score") + more).alias("score"), F.sum((~F.col("rare")).cast("bigint")).alias("copies"))
     each = per.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))  # rows that repeat id and text
     k = F.col("copies")
     return each.select(F.col("id").alias("doc_id"), F.expr("tokens div copies").alias("n_tokens"), F.expr("known div copies").alias("n_known"),

@@ -50,6 +50,35 @@ def test_suffix_tree_distributions_and_scores(spark, sf):
     assert bare.tokens == 0 and suffix_tree.score(cases.frame(spark).limit(0), bare, none).count() == 0
 
 
+def test_suffix_tree_of_tables_equals_arrays(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(400)
+    docs = docs.unionByName(cases.frame(spark).select(*docs.columns)) if set(docs.columns) <= set(cases.frame(spark).columns) else docs
+    train = docs.filter("doc_id is null or doc_id % 5 <> 1")
+
+    def scores():
+        got = suffix_tree.score(docs, *suffix_tree.train(train)).collect()
+        return sorted((r["doc_id"] or -1, r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5)) for r in got)
+
+    want = scores()
+    monkeypatch.setattr(suffix_tree, "ARRAY_TOKENS", 0)
+    for hot in (0, 3000):
+        monkeypatch.setattr(suffix_tree, "HOT", hot)
+        assert scores() == want
+    assert any(abs(r[3] - r[4]) > 1 for r in want)
+
+
+def test_suffix_tree_keeps_contexts_in_a_larger_corpus(spark):
+    """A phrase seen five times keeps its context among 1.2 million other tokens."""
+    phrase = "zeta quux leads to omega"
+    few = [(k, phrase) for k in range(5)]
+    filler = spark.range(100, 12_100).selectExpr("id as doc_id", "array_join(transform(sequence(1, 100), x -> concat('w', pmod(hash(id, x), 40))), ' ') as text")
+    docs = spark.createDataFrame(few, "doc_id long, text string").unionByName(filler)
+    tree, counts = suffix_tree.train(docs)
+    assert tree.tokens > 1_000_000
+    got = suffix_tree.score(docs.filter("doc_id = 0"), tree, counts).first()
+    assert got["score"] > got["base_score"] + 10
+
+
 def test_toxicity_on_held_out_labels(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
