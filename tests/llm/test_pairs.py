@@ -110,6 +110,17 @@ def test_leaks_verbatim_and_reparameterised(spark):
     assert template_leaks.leaks(docs.limit(0), bench).count() == 0 and template_leaks.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_short_dense_and_first_words_of_items_leak(spark):
+    bench = [(1, "What is the capital of France?"), (2, "Anna has three apples and eats one of them."), (3, "What is 12 + 30?"), (4, "Peter Paul Mary Hans Otto 5 7 9 11 Karl"),
+             (5, "日本の首都はどこですか"), (6, "Yes")]
+    docs = [(1, "Question: What is the capital of France? Answer below"), (2, "It rains. Ben has three apples and eats one of them. So"), (3, "solve: what is 12 + 30 now"),
+            (4, "see Peter Paul Mary Hans Otto 5 7 9 11 Karl there"), (5, "質問、日本の首都はどこですかと聞いた"), (6, "yesterday it was well"), (7, "what is 12 + 31"), (8, "oh yes yes"),
+            (9, "Peter Paul Mary Hans Otto 5 7 9 12 Karl"), (10, "so what is the capital of France today")]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in template_leaks.leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {(1, 1): "verbatim", (2, 2): "reparameterised", (3, 3): "verbatim", (4, 4): "verbatim", (5, 5): "verbatim", (8, 6): "verbatim", (10, 1): "verbatim"}
+
+
 def test_leaks_by_shuffle_equal_leaks_by_broadcast(spark, sf, monkeypatch):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     one = sorted(map(tuple, template_leaks.leaks(docs, bench).collect()))
