@@ -1,10 +1,9 @@
 """Severity of toxicity by cumulative-link (proportional odds) regression on sparse word features.
 
 P(grade <= k) = sigmoid(threshold_k - w.x): one weight vector shared by all ordered thresholds. Features are
-the words whose document frequencies differ most between toxic and other labelled documents (counted over
-all labelled rows, log-odds with a prior divided by its deviation); their value is log(1 + count). The fit
-uses at most SAMPLE labelled rows, those with the smallest hash of their id, each reduced to its selected words,
-so what reaches the driver is bounded by parameters. Scoring covers every row and whole text, without a shuffle.
+all words of the fitted rows that LEAST labelled documents hold (counted over all labelled rows), however many they are;
+their value is log(1 + count). The fit uses at most SAMPLE labelled rows, those with the smallest hash of their id,
+so what reaches the driver is bounded by the words of so many rows; words of other rows only have no weight. Scoring covers every row and whole text, without a shuffle.
 
 The labels know toxic and quality only; grade 0 is not toxic, 1 toxic, 2 toxic and of low quality. The
 result carries the expected grade, and `toxic` where P(grade >= 1) reaches one half.
@@ -26,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows
+from ledgerwatch.llm.common import arrow_rows, settled
 
-FEATURES = 1000
+LEAST = 2
 SAMPLE = 20_000
 GRADES = 3
 BROADCAST_ROWS = 1_000_000
@@ -52,18 +51,17 @@ def split(text: str | None) -> list[str]:
 
 
 def _document_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: dict[str, list[int]] = {}
+    counts: Counter[str] = Counter()
 
     def flush():
-        rows = [(w, a, b) for w, (a, b) in counts.items()]
+        rows = list(counts.items())
         counts.clear()
         for k in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k:k + 50_000], strict=True)], names=["word", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k:k + 50_000], strict=True)], names=["word", "n"])
 
     for b in arrow_rows(batches):
-        for g, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for w in set(split(text)):
-                counts.setdefault(w, [0, 0])[g > 0] += 1
+        for text in b.column(0).to_pylist():
+            counts.update(set(split(text)))
         if len(counts) > HELD:
             yield from flush()
     yield from flush()
@@ -112,29 +110,27 @@ def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, featur
     return z[:features], z[features] + np.concatenate([[0.0], np.cumsum(gaps)])
 
 
-def train(labelled: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -> Model:
+def train(labelled: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> Model:
     """Model from rows (id, text, grade)."""
     rows = labelled.select("id", "text", "grade").filter("grade is not null and id is not null")
-    counted = rows.select("grade", "text").mapInArrow(_document_frequencies, "word string, clean bigint, toxic bigint").groupBy("word").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = rows.agg(F.sum((F.col("grade") == 0).cast("bigint")).alias("c"), F.sum((F.col("grade") > 0).cast("bigint")).alias("t")).first()
     if not total["c"] or not total["t"]:
         level = rows.agg(F.max("grade")).first()[0] or 0
         return Model(thresholds=np.array([30.0 if k >= level else -30.0 for k in range(GRADES - 1)]))
-    odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(float(n)) - F.col(c) + 0.5))
-    z = (odds("toxic", total["t"]) - odds("clean", total["c"])) / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    words = [r["word"] for r in counted.select("word", F.abs(z).alias("z")).orderBy(F.desc("z"), "word").limit(features).collect()]
-    index = {w: k for k, w in enumerate(words)}
+    # only hashes below a cut that about a fifth more rows than needed pass: no task sends its whole top to the driver
+    cut = min(int(min(1.0, 1.2 * sample / (total["c"] + total["t"])) * 2.0**64) - (1 << 63), (1 << 63) - 1)
+    chosen = settled(rows.select(F.xxhash64("id").alias("h"), F.col("grade").cast("int").alias("grade"), "text").filter(F.col("h") <= cut).orderBy("h", "grade").limit(sample))
+    counted = lambda df: df.select("text").mapInArrow(_document_frequencies, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = sorted(r["word"] for r in counted(rows).filter(F.col("n") >= least).join(counted(chosen).select("word"), "word", "left_semi").select("word").collect())
+    shared = rows.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for b in arrow_rows(batches):
             lists = [[x for w, n in Counter(w for w in split(t) if w in index).items() for x in (index[w], n)] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["h", "grade", "x"])
 
-    # only hashes below a cut that about a fifth more rows than needed pass: no task sends its whole top to the driver
-    cut = min(int(min(1.0, 1.2 * sample / (total["c"] + total["t"])) * 2.0**64) - (1 << 63), (1 << 63) - 1)
-    narrow = rows.select(F.xxhash64("id").alias("h"), F.col("grade").cast("int").alias("grade"), "text").filter(F.col("h") <= cut)
-    kept = narrow.mapInArrow(reduced, "h bigint, grade int, x array<int>").orderBy("h", "grade").limit(sample).toPandas()
+    kept = chosen.mapInArrow(reduced, "h bigint, grade int, x array<int>").toPandas()
     pairs = [np.asarray(x, dtype=np.int64).reshape(-1, 2) for x in kept["x"]]
     row = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
     flat = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
@@ -142,9 +138,8 @@ def train(labelled: DataFrame, features: int = FEATURES, sample: int = SAMPLE) -
     return Model(words, weights, cuts)
 
 
-def expected(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def expected(model: Model, texts: list[str | None], index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(expected grade, P(grade >= 1)) of texts."""
-    index = {w: k for k, w in enumerate(model.words)}
     row, col, val = vectors(texts, index)
     eta = np.bincount(row, weights=val * model.weights[col], minlength=len(texts)) if len(row) else np.zeros(len(texts))
     above = 1.0 - sigmoid(model.thresholds[None, :] - eta[:, None])
@@ -155,10 +150,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(doc_id, expected_severity, p_toxic, toxic) of every row."""
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(narrow.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast((model, {w: k for k, w in enumerate(model.words)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model_, index = shared.value
         for b in arrow_rows(batches):
-            severity, p = expected(model, b.column(1).to_pylist())
+            severity, p = expected(model_, b.column(1).to_pylist(), index)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(severity), pa.array(p), pa.array(p >= 0.5)],
                                              names=["doc_id", "expected_severity", "p_toxic", "toxic"])
 

@@ -94,6 +94,14 @@ def test_toxicity_on_held_out_labels(spark, sf):
     assert toxicity.predict(docs.limit(0), model).count() == 0
 
 
+def test_rare_toxic_word_has_a_weight_beside_many_common_ones(spark):
+    rows = [(k, " ".join(f"c{(k * 7 + 13 * j) % 1300}" for j in range(90)) + " here there", 1) for k in range(800)]
+    rows += [(1000 + k, "here there " + f"n{k % 50}", 0) for k in range(800)] + [(3000 + k, f"slur here there n{k}", 1) for k in range(40)]
+    model = toxicity.train(spark.createDataFrame(rows, "id long, text string, grade int"))
+    a, b = toxicity.predict(spark.createDataFrame([(1, "slur here there n1"), (2, "here there n1")], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert a["p_toxic"] > 0.5 > b["p_toxic"] and len(model.words) > 1000
+
+
 def test_toxicity_fit_recovers_ordered_grades():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 2, (3000, 6)).astype(float)
