@@ -178,9 +178,10 @@ def fit_rules(df: DataFrame, target: str | None = None, roles: dict[str, list[st
 
 
 def fit_flags(df: DataFrame, flags: dict[str, float], amounts: list[str], times: list[str] | None = None,
-              customer: str | None = None, cats: list[str] | None = None) -> FittedFeatures:
+              customer: str | None = None, cats: list[str] | None = None, binned: int | None = None) -> FittedFeatures:
     """Flag-driven engineering: five techniques by score, plus ratio, cyclic and calendar
-    features that are always made.  Without amounts the first three numbers take part."""
+    features that are always made.  Without amounts the first three numbers take part.
+    `binned` limits the amounts that are binned to the first so many."""
     cats = cats or []
     numeric = [f.name for f in df.schema if is_numeric(f.dataType)]
     amounts = amounts or numeric[:3]
@@ -206,7 +207,7 @@ def fit_flags(df: DataFrame, flags: dict[str, float], amounts: list[str], times:
             if q[c][0] is not None and q[c][0] > 0:
                 add(f"{c}_log", "log_raw", a=c)
     if "binning" in on:
-        for c in amounts[:2]:
+        for c in amounts[:binned]:
             add(f"{c}_bin", "quantile_bin", a=c, edges=q[c])
     if len(amounts) >= 2:
         add(f"{amounts[0]}_div_{amounts[1]}", "ratio", a=amounts[0], b=amounts[1], eps=1e-6)

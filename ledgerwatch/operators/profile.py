@@ -182,9 +182,9 @@ def meta_features(df: DataFrame, label: str) -> DataFrame:
                       *[c for c in one.columns if c.split("_")[0] in ("correlation", "variance", "skewness", "kurtosis")])
 
 
-def amount_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distribution record of up to three amount columns."""
-    cols = cols[:3]
+def amount_patterns(df: DataFrame, cols: list[str], limit: int | None = None) -> DataFrame:
+    """Distribution record of the amount columns, of the first `limit` only if given."""
+    cols = cols[:limit]
     q = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in cols})
     aggs, fields = [], {}
     for c in cols:
@@ -218,9 +218,9 @@ def top_values(counts: DataFrame, k: int) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_p", "_i")
 
 
-def categorical_patterns(df: DataFrame, cols: list[str]) -> DataFrame:
-    """n_unique, mode, mode share, five most frequent values, high-cardinality flag."""
-    cols = cols[:5]
+def categorical_patterns(df: DataFrame, cols: list[str], limit: int | None = None) -> DataFrame:
+    """n_unique, mode, mode share, five most frequent values, high-cardinality flag; of the first `limit` columns only if given."""
+    cols = cols[:limit]
     counts = value_counts(df, cols)
     n = df.agg(F.count("*").alias("n_rows"))
     stats = counts.groupBy("name").agg(F.count("*").alias("n_unique"), F.sum("n").alias("present"))

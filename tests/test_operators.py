@@ -229,3 +229,12 @@ def test_readers(spark, sf, tmp_path):
 def test_every_query_has_columns_and_sql_names_match_keys(spark):
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert len(queries.QUERIES) > 150
+
+
+def test_column_limits_are_off_by_default(spark):
+    df = spark.createDataFrame([(float(k), float(k % 7), float(k % 5), float(k % 3), str(k % 2)) for k in range(50)], "a double, b double, c double, d double, s string")
+    df = df.withColumns({f"s{k}": F.col("s") for k in range(6)})
+    assert {r["name"] for r in profile.amount_patterns(df, ["a", "b", "c", "d"]).collect()} == {"a", "b", "c", "d"}
+    assert {r["name"] for r in profile.categorical_patterns(df, [f"s{k}" for k in range(6)]).collect()} == {f"s{k}" for k in range(6)}
+    made = {s["name"] for s in engineering.fit_flags(df, {"binning": 1.0}, ["a", "b", "c"]).steps}
+    assert {"a_bin", "b_bin", "c_bin"} <= made
