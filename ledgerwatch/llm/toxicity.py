@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,7 @@ SAMPLE = 20_000
 GRADES = 3
 BROADCAST_ROWS = 1_000_000
 HELD = 200_000
+PART = 500_000
 
 
 @dataclass
@@ -90,17 +92,22 @@ def fit(y: np.ndarray, row: np.ndarray, col: np.ndarray, val: np.ndarray, featur
     z = np.concatenate([np.zeros(features), cut[:1], np.log(np.maximum(np.diff(cut), 1e-3))])
     m, v = np.zeros_like(z), np.zeros_like(z)
     n = len(y)
+    parts = [slice(k, k + PART) for k in range(0, len(row), PART)]  # no temporary array of all values
     for t in range(1, rounds + 1):
         w, gaps = z[:features], np.exp(np.clip(z[features + 1:], -10, 5))
         cuts = z[features] + np.concatenate([[0.0], np.cumsum(gaps)])
-        eta = np.bincount(row, weights=val * w[col], minlength=n)
+        eta = np.zeros(n)
+        for b in parts:
+            eta += np.bincount(row[b], weights=val[b] * w[col[b]], minlength=n)
         edge = np.concatenate([[-np.inf], cuts, [np.inf]])
         hi, lo = edge[y + 1] - eta, edge[y] - eta
         p_hi, p_lo = np.where(np.isinf(hi), 1.0, sigmoid(np.where(np.isinf(hi), 0, hi))), np.where(np.isinf(lo), 0.0, sigmoid(np.where(np.isinf(lo), 0, lo)))
         p = np.maximum(p_hi - p_lo, 1e-12)
         d_hi, d_lo = p_hi * (1 - p_hi) / p, p_lo * (1 - p_lo) / p
         g_eta = d_hi - d_lo  # derivative of -log p by eta
-        g_w = np.bincount(col, weights=val * g_eta[row], minlength=features) / n + penalty * w
+        g_w = penalty * w
+        for b in parts:
+            g_w += np.bincount(col[b], weights=val[b] * g_eta[row[b]], minlength=features) / n
         g_cut = (np.bincount(y, weights=-d_hi, minlength=grades)[:-1] + np.bincount(y, weights=d_lo, minlength=grades)[1:]) / n
         tail = np.cumsum(g_cut[::-1])[::-1]
         g = np.concatenate([g_w, tail[:1], tail[1:] * gaps])
@@ -119,7 +126,7 @@ def train(labelled: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> Mode
         return Model(thresholds=np.array([30.0 if k >= level else -30.0 for k in range(GRADES - 1)]))
     # only hashes below a cut that about a fifth more rows than needed pass: no task sends its whole top to the driver
     cut = min(int(min(1.0, 1.2 * sample / (total["c"] + total["t"])) * 2.0**64) - (1 << 63), (1 << 63) - 1)
-    chosen = settled(rows.select(F.xxhash64("id").alias("h"), F.col("grade").cast("int").alias("grade"), "text").filter(F.col("h") <= cut).orderBy("h", "grade").limit(sample))
+    chosen = settled(rows.select(F.xxhash64("id").alias("h"), F.col("grade").cast("int").alias("grade"), "text").filter(F.col("h") <= cut).orderBy("h", "grade").limit(sample).repartition(16, "h"))
     counted = lambda df: df.select("text").mapInArrow(_document_frequencies, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     words = sorted(r["word"] for r in counted(rows).filter(F.col("n") >= least).join(counted(chosen).select("word"), "word", "left_semi").select("word").collect())
     shared = rows.sparkSession.sparkContext.broadcast({w: k for k, w in enumerate(words)})
@@ -130,11 +137,11 @@ def train(labelled: DataFrame, least: int = LEAST, sample: int = SAMPLE) -> Mode
             lists = [[x for w, n in Counter(w for w in split(t) if w in index).items() for x in (index[w], n)] for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["h", "grade", "x"])
 
-    kept = chosen.mapInArrow(reduced, "h bigint, grade int, x array<int>").toPandas()
-    pairs = [np.asarray(x, dtype=np.int64).reshape(-1, 2) for x in kept["x"]]
-    row = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs])
-    flat = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
-    weights, cuts = fit(kept["grade"].to_numpy().astype(np.int64), row, flat[:, 0], np.log1p(flat[:, 1].astype(float)), len(words))
+    kept = chosen.mapInArrow(reduced, "h bigint, grade int, x array<int>").select("grade", "x").toArrow().combine_chunks()
+    y, x = kept.column("grade").to_numpy().astype(np.int64), kept.column("x")
+    row = np.repeat(np.arange(len(y), dtype=np.int32), pc.list_value_length(x).to_numpy() // 2)
+    flat = pc.list_flatten(x).to_numpy().reshape(-1, 2)
+    weights, cuts = fit(y, row, flat[:, 0], np.log1p(flat[:, 1].astype(np.float32)), len(words))
     return Model(words, weights, cuts)
 
 
