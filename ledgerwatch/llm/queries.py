@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerwatch.llm import byte_bpe, exact_dedup, language_id, ngram_jaccard, personal_data, sharding, suffix_tree, template_leaks, toxicity, url_rules
+from ledgerwatch.llm import byte_bpe, codebooks, exact_dedup, language_id, ngram_jaccard, personal_data, sharding, substrings, suffix_tree, template_leaks, toxicity, url_rules, whitening
 from ledgerwatch.llm.common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,18 @@ def op9_suffix_tree(spark, d):
 @query("op10_personal_data")
 def op10_personal_data(spark, d):
     return personal_data.report(read(spark, d, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark, d):
+    return whitening.whiten(read(spark, d, "embeddings"))
+
+
+@query("op12_codebooks")
+def op12_codebooks(spark, d):
+    return codebooks.codes(read(spark, d, "embeddings"))
+
+
+@query("op13_substring_dedup")
+def op13_substring_dedup(spark, d):
+    return substrings.report(read(spark, d, "documents"))
