@@ -220,6 +220,89 @@ def diverse_configs(grid: DataFrame, params: list[str], score: str, key: str, th
             .select(*grid.columns, "pick"))
 
 
+#: Distances are compared at this many decimals, so equal distances tie whatever the summation order.
+DISTANCE_DIGITS = 9
+
+
+def candidate_pool(grid: DataFrame, score: str, key: str, threshold: float, k: int, fallback: int,
+                   group: str = "dataset") -> DataFrame:
+    """Rows of each data set that take part in its choice: those scoring at least `threshold`, or,
+    where fewer than k do, the `fallback` best (score descending, then key). The count per data set is
+    a grouped sum (combined before the shuffle); the best rows come from a ranking window whose limit
+    Spark applies inside every task before the shuffle, so a data set with a third of all rows never
+    reaches one task whole."""
+    s = F.col(score)
+    counts = grid.groupBy(group).agg(F.count_if(s >= threshold).alias("_n_good"))
+    enough = grid.join(counts.where(F.col("_n_good") >= k), group, "left_semi").where(s >= threshold)
+    few = grid.join(counts.where(F.col("_n_good") < k), group, "left_semi")
+    best = (few.withColumn("_rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(score), F.col(key))))
+            .where(F.col("_rank") <= fallback).drop("_rank"))
+    return enough.unionByName(best)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def diverse_per_dataset(grid: DataFrame, params: list[str], score: str, key: str, threshold: float = 0.95, k: int = 15,
+                        fallback: int = 50, group: str = "dataset") -> DataFrame:
+    """Farthest-first choice of k configurations in every data set at once.
+
+    Pool: `candidate_pool`. Parameters are standardised per data set (population deviation; a
+    constant parameter is divided by one; a null parameter counts as its mean). The first pick of a
+    data set is its best score (smaller key on ties); each later pick is the pool row farthest from
+    its nearest earlier pick (distance at DISTANCE_DIGITS decimals, smaller key on ties), never a row
+    picked before. Every round is one pass over the settled pool, joined to the picks so far of each
+    data set (at most k per data set, held as one array), and one grouped minimum per data set; no
+    row reaches the driver. A data set whose pool holds fewer than k rows gets them all; an empty
+    grid gives no rows.
+
+    Returns (group, pick, key, score, params..., distance): `distance` is the distance to the nearest
+    earlier pick when the row was picked (null for the first).
+    """
+    pool = candidate_pool(grid, score, key, threshold, k, fallback, group)
+    stats = pool.groupBy(group).agg(*[F.avg(F.col(p).cast("double")).alias(f"_m_{p}") for p in params],
+                                    *[F.stddev_pop(F.col(p).cast("double")).alias(f"_s_{p}") for p in params])
+    z = [F.coalesce((F.col(p).cast("double") - F.col(f"_m_{p}")) / F.when(F.col(f"_s_{p}") > 0, F.col(f"_s_{p}")).otherwise(1.0),
+                    F.lit(0.0)) for p in params]
+    pool = cut_lineage(pool.join(stats, group).select(group, key, score, *params, F.array(*z).alias("_z")))
+    first = (pool.groupBy(group).agg(F.min(F.struct(-F.col(score).cast("double"), F.col(key), F.col("_z"))).alias("_x"))
+             .select(group, F.lit(1).alias("pick"), F.col("_x")[key].alias(key), F.col("_x._z").alias("_z"),
+                     F.lit(None).cast("double").alias("distance")))
+    rounds = [cut_lineage(first)]  # each round's picks, settled; their union stays a shallow plan
+    for r in range(2, k + 1):
+        picks = _union(rounds)
+        centres = picks.groupBy(group).agg(F.collect_list("_z").alias("_c"), F.collect_list(key).alias("_taken"))
+        zc = F.col("_z")
+        near = F.aggregate("_c", F.lit(float("inf")),
+                           lambda acc, c: F.least(acc, F.sqrt(F.aggregate(F.zip_with(zc, c, lambda a, b: (a - b) * (a - b)),
+                                                                          F.lit(0.0), lambda t, v: t + v))))
+        rest = pool.join(centres, group).where(~F.array_contains("_taken", F.col(key))).withColumn("_d", near)
+        nxt = cut_lineage(rest.groupBy(group).agg(F.min(F.struct(-F.round("_d", DISTANCE_DIGITS), F.col(key), F.col("_z"), F.col("_d"))).alias("_x"))
+                          .select(group, F.lit(r).alias("pick"), F.col("_x")[key].alias(key), F.col("_x._z").alias("_z"), F.col("_x._d").alias("distance")))
+        if nxt.isEmpty():
+            break
+        rounds.append(nxt)
+    picks = _union(rounds)
+    return (picks.drop("_z").join(pool.drop("_z"), [group, key])
+            .select(group, "pick", key, score, *params, "distance"))
+
+
+def diversity_per_dataset(chosen: DataFrame, params: list[str], group: str = "dataset") -> DataFrame:
+    """Per data set: mean distance between its chosen configurations in raw parameters (0.0 below two)
+    and the population deviation of every parameter; at most k rows per data set are gathered."""
+    vec = F.array(*[F.col(p).cast("double") for p in params])
+    a = chosen.groupBy(group).agg(F.collect_list(vec).alias("_all"), *[F.stddev_pop(F.col(p).cast("double")).alias(f"std_{p}") for p in params])
+    dist = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    total = F.aggregate("_all", F.lit(0.0), lambda s, x: s + F.aggregate("_all", F.lit(0.0), lambda t, y: t + dist(x, y)))
+    n = F.size("_all")
+    return a.select(group, n.alias("n_chosen"), F.when(n > 1, total / (n * (n - 1))).otherwise(0.0).alias("avg_distance"),
+                    *[f"std_{p}" for p in params])
+
+
 def diversity_report(chosen: DataFrame, params: list[str]) -> DataFrame:
     """Mean pairwise distance of the chosen few (at most some tens by construction) and
     the deviation of every parameter."""

@@ -333,14 +333,50 @@ def k2(spark, d):
 PARAMS = ["max_depth", "learning_rate", "subsample", "gamma", "n_estimators"]
 
 
-@query("k10_diverse_configs")
+def diverse_sql(params: list[str], score: str, threshold: float, k: int = 15, fallback: int = 50) -> str:
+    """CTEs of the farthest-first choice by unrolled rounds; the last one, `ch`, holds the picks."""
+    zs = ", ".join(f"coalesce(({p}::DOUBLE - m{i}) / CASE WHEN s{i} > 0 THEN s{i} ELSE 1 END, 0) AS z{i}" for i, p in enumerate(params))
+    dist = lambda a, b: "sqrt(" + " + ".join(f"({a}.z{i} - {b}.z{i}) * ({a}.z{i} - {b}.z{i})" for i in range(len(params))) + ")"
+    zcols = ", ".join(f"z{i}" for i in range(len(params)))
+    out = [f"""c AS (SELECT dataset, count(*) FILTER (WHERE {score} >= {threshold}) AS n_good FROM gr GROUP BY 1),
+ pool AS (SELECT gr.* FROM gr JOIN c USING (dataset) WHERE n_good >= {k} AND {score} >= {threshold}
+   UNION ALL SELECT * EXCLUDE (n_good, rk) FROM (SELECT gr.*, n_good, row_number() OVER (PARTITION BY dataset ORDER BY {score} DESC, config_id) AS rk
+   FROM gr JOIN c USING (dataset) WHERE n_good < {k}) WHERE rk <= {fallback}),
+ st AS (SELECT dataset, {", ".join(f"avg({p}::DOUBLE) AS m{i}, stddev_pop({p}::DOUBLE) AS s{i}" for i, p in enumerate(params))} FROM pool GROUP BY 1),
+ z AS (SELECT pool.dataset, config_id, {score}, {zs} FROM pool JOIN st USING (dataset)),
+ p1 AS (SELECT DISTINCT ON (dataset) dataset, config_id, {zcols}, NULL::DOUBLE AS distance, 1 AS pick FROM z ORDER BY dataset, {score} DESC, config_id),
+ s1 AS (SELECT z.*, {dist("z", "p")} AS d, z.config_id = p.config_id AS taken FROM z JOIN p1 p USING (dataset))"""]
+    for r in range(2, k + 1):
+        out.append(f"""p{r} AS (SELECT DISTINCT ON (dataset) dataset, config_id, {zcols}, d AS distance, {r} AS pick FROM s{r - 1} WHERE NOT taken ORDER BY dataset, round(d, 9) DESC, config_id)""")
+        if r < k:
+            out.append(f"""s{r} AS (SELECT s.dataset, s.config_id, s.{score}, {", ".join(f"s.z{i}" for i in range(len(params)))}, least(s.d, {dist("s", "p")}) AS d,
+   s.taken OR s.config_id = p.config_id AS taken FROM s{r - 1} s JOIN p{r} p USING (dataset))""")
+    picks = " UNION ALL ".join(f"SELECT dataset, config_id, pick, distance FROM p{r}" for r in range(1, k + 1))
+    out.append(f"ch AS (SELECT pool.*, pick, distance FROM ({picks}) JOIN pool USING (dataset, config_id))")
+    return ",\n ".join(out)
+
+
+DIVERSE = diverse_sql(PARAMS, "mean_test_roc_auc", 0.8)
+
+
+@query("k10_diverse_configs", f"""WITH {GR},\n {DIVERSE}
+SELECT dataset, pick, config_id, {", ".join(PARAMS)}, round(distance, 6) AS distance FROM ch""")
 def k10(spark, d):
-    return sl.diverse_configs(grid_table(spark, d), PARAMS, "mean_test_roc_auc", "config_id", 0.8).select("pick", "config_id", *PARAMS)
+    """Fifteen spread configurations of every data set (brand) by farthest-first rounds."""
+    return (sl.diverse_per_dataset(grid_table(spark, d), PARAMS, "mean_test_roc_auc", "config_id", 0.8)
+            .select("dataset", "pick", "config_id", *PARAMS, r("distance", 6).alias("distance")))
 
 
-@query("k11_diversity_report")
+@query("k11_diversity_report", f"""WITH {GR},\n {DIVERSE},
+ pr AS (SELECT a.dataset, avg(sqrt({" + ".join(f"(a.{p} - b.{p}) * (a.{p} - b.{p})" for p in PARAMS)})) AS avg_distance
+   FROM ch a JOIN ch b ON a.dataset = b.dataset AND a.config_id < b.config_id GROUP BY 1)
+SELECT dataset, count(*) AS n_chosen, round(coalesce(any_value(pr.avg_distance), 0), 6) AS avg_distance,
+ {", ".join(f"round(stddev_pop({p}::DOUBLE), 6) AS std_{p}" for p in PARAMS)} FROM ch LEFT JOIN pr USING (dataset) GROUP BY dataset""")
 def k11(spark, d):
-    return sl.diversity_report(sl.diverse_configs(grid_table(spark, d), PARAMS, "mean_test_roc_auc", "config_id", 0.8), PARAMS)
+    """Spread of every data set's chosen configurations."""
+    chosen = sl.diverse_per_dataset(grid_table(spark, d), PARAMS, "mean_test_roc_auc", "config_id", 0.8)
+    rep = sl.diversity_per_dataset(chosen, PARAMS)
+    return rep.select("dataset", big("n_chosen").alias("n_chosen"), r("avg_distance", 6).alias("avg_distance"), *[r(f"std_{p}", 6).alias(f"std_{p}") for p in PARAMS])
 
 
 @query("a28_grid_statistics", f"""WITH {GR} SELECT dataset, count(*) AS n_configs, round(max(mean_test_f1),6) AS best, round(min(mean_test_f1),6) AS worst, round(max(mean_test_f1)-min(mean_test_f1),6) AS score_range, round(avg(mean_test_f1),6) AS mean,

@@ -238,3 +238,40 @@ def test_column_limits_are_off_by_default(spark):
     assert {r["name"] for r in profile.categorical_patterns(df, [f"s{k}" for k in range(6)]).collect()} == {f"s{k}" for k in range(6)}
     made = {s["name"] for s in engineering.fit_flags(df, {"binning": 1.0}, ["a", "b", "c"]).steps}
     assert {"a_bin", "b_bin", "c_bin"} <= made
+
+
+def brute_diverse(rows, k, threshold, fallback):
+    """Farthest-first choice per data set in plain Python: rows are (dataset, key, score, a, b)."""
+    out = []
+    for ds in sorted({r[0] for r in rows}):
+        mine = [r for r in rows if r[0] == ds]
+        good = [r for r in mine if r[2] >= threshold]
+        pool = good if len(good) >= k else sorted(mine, key=lambda r: (-r[2], r[1]))[:fallback]
+        x = np.array([[r[3], r[4]] for r in pool], float)
+        sd = x.std(0)
+        z = (x - x.mean(0)) / np.where(sd > 0, sd, 1.0)
+        first = min(range(len(pool)), key=lambda i: (-pool[i][2], pool[i][1]))
+        chosen, dist = [first], [None]
+        while len(chosen) < min(k, len(pool)):
+            d = [min(np.sqrt(((z[i] - z[j]) ** 2).sum()) for j in chosen) for i in range(len(pool))]
+            nxt = min((i for i in range(len(pool)) if i not in chosen), key=lambda i: (-round(d[i], 9), pool[i][1]))
+            chosen.append(nxt)
+            dist.append(d[nxt])
+        out += [(ds, p + 1, pool[i][1], dd) for p, (i, dd) in enumerate(zip(chosen, dist))]
+    return out
+
+
+def test_diverse_per_dataset_equals_brute_force_with_a_hot_and_a_small_data_set(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", i, float(rng.choice([0.7, 0.85, 0.9, 0.99])), float(rng.integers(0, 5)), float(rng.integers(0, 3))) for i in range(600)]
+    rows += [("small", 1000 + i, 0.5, float(i), 1.0) for i in range(4)]  # fewer than k rows, constant b
+    rows += [("few_good", 2000 + i, 0.95 if i < 3 else 0.1 * (i % 7), float(i % 4), float(i % 2)) for i in range(80)]
+    grid = spark.createDataFrame(rows, "dataset string, id long, s double, a double, b double")
+    got = selection.diverse_per_dataset(grid, ["a", "b"], "s", "id", threshold=0.8, k=6, fallback=20)
+    got = sorted((r["dataset"], r["pick"], r["id"], r["distance"]) for r in got.collect())
+    want = sorted(brute_diverse(rows, 6, 0.8, 20))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert all((g[3] is None and w[3] is None) or abs(g[3] - w[3]) < 1e-9 for g, w in zip(got, want))
+    rep = {r["dataset"]: r for r in selection.diversity_per_dataset(selection.diverse_per_dataset(grid, ["a", "b"], "s", "id", 0.8, 6, 20), ["a", "b"]).collect()}
+    assert rep["small"]["n_chosen"] == 4 and rep["hot"]["n_chosen"] == 6
+    assert selection.diverse_per_dataset(grid.limit(0), ["a", "b"], "s", "id", 0.8, 6).count() == 0
