@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows, bounded, mix, written
+from ledgerwatch.llm.common import arrow_rows, mix, written
 
 WIDTH = 13
 #: Level of the symbols whose documents Spark looks up (0: words).
@@ -248,7 +248,9 @@ def removed_starts(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     first = blocks.groupBy("sym").agg(F.min("doc").alias("lo"), F.max("doc").alias("top")).filter("lo < top").select("sym", "lo")
     marks = (blocks.join(first, "sym").groupBy("doc", "th")
              .agg(F.collect_list(F.struct("block", "lo")).alias("marks")))
-    with_marks = docs.join(bounded(marks), ["doc", "th"], "left")
+    # marks are lists that grow with a document's repeats: a shuffle join (adaptive execution broadcasts it
+    # only when its measured size is small)
+    with_marks = docs.join(marks, ["doc", "th"], "left")
     cand = written(with_marks.mapInArrow(_windows(level, width, "doc", "text", "marks"),
                                          "h1 long, h2 long, doc long, th long, pos int, target boolean"))
     smallest = cand.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
@@ -259,5 +261,5 @@ def removed_starts(df: DataFrame, id_col: str = "doc_id", text: str = "text", wi
 def report(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, level: int = LEVEL) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every input row."""
     starts = removed_starts(df, id_col, text, width, level)
-    joined = rows(df, id_col, text).join(bounded(starts), ["doc", "th"], "left")
+    joined = rows(df, id_col, text).join(starts, ["doc", "th"], "left")
     return joined.mapInArrow(_final(width, "doc", "text", "starts"), "doc_id long, n_words long, n_removed long, kept_sha256 string")
