@@ -23,8 +23,16 @@ from ledgerwatch.session import is_small, spread
 DEFAULTS = {"max_depth": 6, "learning_rate": 0.1, "n_estimators": 300, "subsample": 0.8, "colsample_bytree": 0.8,
             "gamma": 0.3, "min_child_weight": 5}
 
-#: Partitions of the training rows; a model depends on this number, not on those of its input.
-FIT_PARTITIONS = 32
+#: Training rows per partition of the fit. The trees sample rows by partition and position, so the
+#: layout is a function of the counted training rows alone: rows dealt by a hash of their key into
+#: ceil(rows / ROWS_PER_FIT_PARTITION) partitions, ordered by that hash and key. The same rows give the
+#: same trees whatever the partitioning of the input, and the partitions grow with the rows.
+ROWS_PER_FIT_PARTITION = 65_536
+
+
+def fit_partitions(n_rows: int) -> int:
+    """Partitions of a fit over so many training rows (at least one)."""
+    return max(1, -(-int(n_rows) // ROWS_PER_FIT_PARTITION))
 
 
 def classifier(params: dict | None = None, seed: int = 42, validation: str | None = None) -> GBTClassifier:
@@ -91,8 +99,9 @@ def train(df: DataFrame, label: str, key: str, features: engineering.FittedFeatu
     ready = align(features.transform(split, [key, label, "_fold"]), columns, [key, label, "_fold"])
     ready = evaluate.add_class_weight(ready.withColumn("label", F.col(label).cast("double")), label, train=F.col("_fold") > 0)
     v = VectorAssembler(inputCols=columns, outputCol="features").transform(ready)
-    # row sampling of the trees follows partitions and their order: both are fixed by the key
-    rows = (v.where("_fold > 0").repartition(FIT_PARTITIONS, evaluate.split_hash(key, seed)).sortWithinPartitions(evaluate.split_hash(key, seed), key)
+    # row sampling of the trees follows partitions and their order: both are fixed by the key and the row count
+    n_fit = split.where("_fold > 0").count()
+    rows = (v.where("_fold > 0").repartition(fit_partitions(n_fit), evaluate.split_hash(key, seed)).sortWithinPartitions(evaluate.split_hash(key, seed), key)
             .select("features", "label", "weight", (F.col("_fold") == 1).alias("is_validation")).persist())
     trees = classifier(params, seed, "is_validation").fit(rows)
     rows.unpersist()

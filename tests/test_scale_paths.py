@@ -157,3 +157,16 @@ def test_auc_partitioned_equals_direct(spark, sf, monkeypatch):
 def test_tables_are_pruned_and_pushed_down(spark, sf):
     plan = table(spark, sf, "events").where("value > 10").select("event_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value,10.0)]" in plan and "ReadSchema: struct<event_id:bigint,value:double>" in plan
+
+
+def test_fit_layout_follows_rows_not_input_partitions(spark):
+    from ledgerwatch.operators import boosting, engineering
+    rng = np.random.default_rng(7)
+    rows = [(f"k{i}", float(rng.integers(1, 50)), float(rng.integers(0, 10)) / 100, 0) for i in range(3000)]
+    rows = [(k, q, d, int(q > 40 and d >= 0.05)) for k, q, d, _ in rows]
+    df = spark.createDataFrame(rows, "key string, q double, d double, y int")
+    feats = engineering.FittedFeatures([], ["q", "d"])
+    trees = {n: boosting.train(df.repartition(n), "y", "key", feats, {"n_estimators": 4, "max_depth": 3}, measure=False).trees.toDebugString.split("\n", 1)[1]
+             for n in (2, 7, 200)}  # the first line names the model's random uid
+    assert trees[2] == trees[7] == trees[200]
+    assert [boosting.fit_partitions(n) for n in (0, 1, 65_536, 65_537, 10 ** 9)] == [1, 1, 1, 2, 15_259]
