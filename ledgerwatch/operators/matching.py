@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ledgerwatch.functions import names as nm
 
@@ -20,11 +22,12 @@ def with_groups(catalog: DataFrame) -> DataFrame:
 
 
 def greedy_pairs(left: list[tuple[str, str]], right: list[tuple[str, str]], threshold: float = 0.7,
-                 smart: bool = True) -> list[tuple[str, str, str, float]]:
+                 smart: bool = True, ratio=nm.ratio) -> list[tuple[str, str, str, float]]:
     """One-to-one pairs for the columns of two data sets, each given as (name, group).
 
     Left columns choose in order: same name, else same group, else the closest
     spelling above the threshold; among equals the earlier right column wins.
+    ``ratio`` gives the spelling likeness of two names (a lookup in `spelling_index` in Spark).
     """
     free = dict.fromkeys(range(len(right)))
     out = []
@@ -37,7 +40,7 @@ def greedy_pairs(left: list[tuple[str, str]], right: list[tuple[str, str]], thre
             need = min(0.85, threshold + 0.15) if smart and len(name) < 5 else threshold
             kind, score = "fuzzy", 0.0
             for i in free:
-                s = nm.ratio(name, right[i][0])
+                s = ratio(name, right[i][0])
                 if s >= need and s > score:
                     pick, score = i, s
         if pick is not None:
@@ -46,26 +49,71 @@ def greedy_pairs(left: list[tuple[str, str]], right: list[tuple[str, str]], thre
     return out
 
 
+def least_ratio(threshold: float, smart: bool = True) -> float:
+    """Smallest spelling likeness that `greedy_pairs` can accept at this threshold."""
+    return min(threshold, min(0.85, threshold + 0.15)) if smart else threshold
+
+
+def _letters(a: str, b: str) -> float:
+    """Upper bound of the ratio: letters in common, counted with multiplicity."""
+    ca, common = Counter(a), 0
+    for ch, n in Counter(b).items():
+        common += min(n, ca.get(ch, 0))
+    return 2.0 * common / (len(a) + len(b)) if a or b else 1.0
+
+
+@F.pandas_udf(DoubleType())
+def _bounded_ratio(pairs: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Exact ratio of a pair whose letter bound reaches `least`, else null (it cannot be chosen)."""
+    for a, b, least in pairs:
+        out = []
+        for x, y, m in zip(a, b, least):
+            x, y = x.lower(), y.lower()
+            out.append(nm.ratio(x, y) if _letters(x, y) >= m else None)
+        yield pd.Series(out, dtype="float64")
+
+
+def spelling_index(target: list[str], references: DataFrame, least: float) -> DataFrame:
+    """(col_name, left, ratio) for every distinct reference name and target name whose spelling
+    likeness reaches `least`. Filters come first: the length bound 2 min(la, lb) / (la + lb) in SQL,
+    then the shared-letter bound in the task; the exact ratio is computed once per distinct pair that
+    survives both, never again per data set."""
+    names = references.select("col_name").distinct().where(F.col("col_name").isNotNull())
+    lefts = F.explode(F.array(*[F.lit(c) for c in dict.fromkeys(target)])) if target else F.explode(F.array().cast("array<string>"))
+    pairs = names.select("col_name", lefts.alias("left"))
+    la, lb = F.length("left"), F.length("col_name")
+    length_bound = F.when(la + lb > 0, 2.0 * F.least(la, lb) / (la + lb)).otherwise(1.0)
+    kept = pairs.where(length_bound >= least).withColumn("ratio", _bounded_ratio("left", "col_name", F.lit(float(least))))
+    return kept.where(F.col("ratio") >= least)
+
+
 def match_columns(target: list[str], references: DataFrame, threshold: float = 0.7,
                   smart: bool = True) -> DataFrame:
     """(dataset, kind, left, right, score) of one target table against every reference
     data set in the catalogue (dataset, position, col_name).
 
     The target is one schema and each reference is one schema, so a task works
-    on lists no longer than a table is wide.
+    on lists no longer than a table is wide. Spelling likeness comes from `spelling_index`,
+    computed once per distinct pair of names and joined to every column that bears the name.
     """
     spark = references.sparkSession
     left = [(x["col_name"], x["grp"]) for x in with_groups(
         spark.createDataFrame([(c,) for c in target], "col_name string")).collect()]
     order = {c: i for i, c in enumerate(target)}
     left.sort(key=lambda x: order[x[0]])
-    right = (with_groups(references).groupBy("dataset")
-             .agg(F.sort_array(F.collect_list(F.struct("position", "col_name", "grp"))).alias("cols")))
+    index = (spelling_index(target, references, least_ratio(threshold, smart))
+             .groupBy("col_name").agg(F.collect_list(F.struct("left", "ratio")).alias("likes")))
+    right = (with_groups(references).join(index, "col_name", "left").groupBy("dataset")
+             .agg(F.sort_array(F.collect_list(F.struct("position", "col_name", "grp", "likes"))).alias("cols")))
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(ds, *p) for ds, cols in zip(pdf["dataset"], pdf["cols"])
-                    for p in greedy_pairs(left, [(c["col_name"], c["grp"]) for c in cols], threshold, smart)]
+            rows = []
+            for ds, cols in zip(pdf["dataset"], pdf["cols"]):
+                known = {(x["left"], c["col_name"]): x["ratio"] for c in cols for x in (c["likes"] if c["likes"] is not None else [])}
+                found = greedy_pairs(left, [(c["col_name"], c["grp"]) for c in cols], threshold, smart,
+                                     lambda a, b: known.get((a, b), 0.0))
+                rows += [(ds, *p) for p in found]
             yield pd.DataFrame(rows, columns=["dataset", "kind", "left", "right", "score"])
 
     ds_type = dict(references.dtypes)["dataset"]

@@ -275,3 +275,21 @@ def test_diverse_per_dataset_equals_brute_force_with_a_hot_and_a_small_data_set(
     rep = {r["dataset"]: r for r in selection.diversity_per_dataset(selection.diverse_per_dataset(grid, ["a", "b"], "s", "id", 0.8, 6, 20), ["a", "b"]).collect()}
     assert rep["small"]["n_chosen"] == 4 and rep["hot"]["n_chosen"] == 6
     assert selection.diverse_per_dataset(grid.limit(0), ["a", "b"], "s", "id", 0.8, 6).count() == 0
+
+
+def test_spelling_index_gives_the_greedy_pairs_of_plain_ratios(spark):
+    rng = np.random.default_rng(11)
+    vocab = ["amount", "tx_amount", "amt", "client_id", "customer_id", "cust", "zip", "zips", "zap", "time", "tx_time", "timestamp",
+             "merchant", "merch_name", "balance", "bal", "x", "", "AMOUNT"]
+    data = {f"d{k}": list(dict.fromkeys(rng.choice(vocab, size=int(rng.integers(1, 9))).tolist())) for k in range(12)}
+    ref = cat(spark, data)
+    target = ["tx_amount", "customer", "zip", "ts", "merchant_name", "bal"]
+    got = sorted(map(tuple, matching.match_columns(target, ref).collect()))
+    grouped = {x["col_name"]: x["grp"] for x in matching.with_groups(ref).collect()}
+    left = [(x["col_name"], x["grp"]) for x in matching.with_groups(spark.createDataFrame([(c,) for c in target], "col_name string")).collect()]
+    left.sort(key=lambda x: target.index(x[0]))
+    want = sorted((ds, *p) for ds, cols in data.items() for p in matching.greedy_pairs(left, [(c, grouped[c]) for c in cols]))
+    assert got == want
+    index = matching.spelling_index(target, ref, matching.least_ratio(0.7)).collect()
+    assert len(index) == len({(r["left"], r["col_name"]) for r in index})  # one exact ratio per distinct pair
+    assert all(r["ratio"] == pytest.approx(nm.ratio(r["left"], r["col_name"])) for r in index)
