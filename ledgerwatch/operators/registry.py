@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerwatch.operators import keyed
+from ledgerwatch.session import cut_lineage
 
 
 def active_models(registry: DataFrame, domain: str | None = None, min_auc: float | None = 0.90) -> DataFrame:
@@ -78,32 +79,40 @@ def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
-def nearest_by_log(left: DataFrame, refs: DataFrame, n: str, m: str, lkey: str, rkey: str) -> DataFrame:
-    """Nearest reference by |ln(n+1) - ln(m+1)|, smaller reference key on ties.
+def nearest_by_log(left: DataFrame, refs: DataFrame, n: str, m: str, lkey: str, rkey: str,
+                   partitions: int | None = None) -> DataFrame:
+    """Nearest reference by |ln(n+1) - ln(m+1)|, smaller reference key on ties: an as-of join both ways.
 
-    Both sides are sorted together and each row looks at the closest reference before
-    and after it: no pairs are formed.  Rows are first reduced to distinct sizes, and
-    the look-around works on unit-wide buckets of the logarithm.
+    Rows are first reduced to distinct values (references keep their smallest key per value). Both
+    sides are dealt together into range partitions of the value (boundaries sampled by Spark, so a
+    crowded stretch of values is split like any other) and each query row finds the closest reference
+    before and after it inside its partition by running windows. Each partition then hands its first
+    and last reference to its neighbours: a table of one row per partition, which is all that a query
+    needs when its own partition holds no reference on one side. No pairs are formed and no value
+    range is fixed in advance. A null size has no logarithm and gets no nearest reference.
     """
     from pyspark.sql import Window
-    x = lambda c: F.log(F.col(c) + 1.0)
-    r = refs.groupBy(x(m).alias("v")).agg(F.min(rkey).alias("ref"))
-    q = left.select(x(n).alias("v")).distinct()
-    point = F.struct(F.col("v"), F.col("ref"))
+    x = lambda c: F.log(F.col(c).cast("double") + 1.0)
+    r = refs.where(F.col(m).isNotNull()).groupBy(x(m).alias("v")).agg(F.min(rkey).alias("ref"))
+    q = left.where(F.col(n).isNotNull()).select(x(n).alias("v")).distinct()
     both = (q.withColumn("ref", F.lit(None).cast(dict(r.dtypes)["ref"])).withColumn("k", F.lit(1))
-            .unionByName(r.withColumn("k", F.lit(0))).withColumn("b", F.floor(F.col("v") * 64)))
+            .unionByName(r.withColumn("k", F.lit(0))))
+    parts = partitions or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = both.repartitionByRange(parts, "v", "k").withColumn("pid", F.spark_partition_id())
+    ranged = cut_lineage(ranged)  # read twice below; the partition number is fixed from here on
+    point = F.struct(F.col("v"), F.col("ref"))
     here = F.when(F.col("k") == 0, point)
-    edge = both.groupBy("b").agg(F.min(here).alias("lo"), F.max(here).alias("hi"))
-    wb = Window.orderBy("b")  # at most some thousand buckets of the logarithm
-    edge = edge.select("b", F.last("hi", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
-                       F.first("lo", True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
-    up = Window.partitionBy("b").orderBy("v", "k")
-    down = Window.partitionBy("b").orderBy(F.desc("v"), "k")
-    near = (both.withColumns({"_lo": F.last(here, True).over(up), "_hi": F.last(here, True).over(down)})
-            .where("k = 1").join(F.broadcast(edge), "b")
+    edge = ranged.groupBy("pid").agg(F.min(here).alias("lo"), F.max(here).alias("hi"))
+    wp = Window.orderBy("pid")  # one row per partition
+    edge = edge.select("pid", F.last("hi", True).over(wp.rowsBetween(Window.unboundedPreceding, -1)).alias("below"),
+                       F.first("lo", True).over(wp.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    up = Window.partitionBy("pid").orderBy("v", "k").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("pid").orderBy(F.desc("v"), "k").rowsBetween(Window.unboundedPreceding, 0)
+    near = (ranged.withColumns({"_lo": F.last(here, True).over(up), "_hi": F.last(here, True).over(down)})
+            .where("k = 1").join(F.broadcast(edge), "pid")
             .select("v", F.coalesce("_lo", "below").alias("a"), F.coalesce("_hi", "above").alias("z")))
     d = lambda s: F.abs(F.col("v") - F.col(f"{s}.v"))
     take_a = F.col("z").isNull() | (d("a") < d("z")) | ((d("a") == d("z")) & (F.col("a.ref") <= F.col("z.ref")))
     best = near.select("v", F.when(F.col("a").isNotNull() & take_a, F.col("a")).otherwise(F.col("z")).alias("near"))
-    return (left.withColumn("v", x(n)).join(best, "v")
+    return (left.withColumn("v", x(n)).join(best, "v", "left")
             .select(lkey, n, F.col("near.ref").alias("nearest"), F.abs(F.col("v") - F.col("near.v")).alias("distance")))

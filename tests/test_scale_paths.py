@@ -1,5 +1,6 @@
 """The routes for large inputs and hot keys give the same rows as the short ones."""
 
+import math
 import random
 
 import numpy as np
@@ -170,3 +171,20 @@ def test_fit_layout_follows_rows_not_input_partitions(spark):
              for n in (2, 7, 200)}  # the first line names the model's random uid
     assert trees[2] == trees[7] == trees[200]
     assert [boosting.fit_partitions(n) for n in (0, 1, 65_536, 65_537, 10 ** 9)] == [1, 1, 1, 2, 15_259]
+
+
+@pytest.mark.parametrize("spread_", [0, 1])
+def test_nearest_by_log_over_seven_range_partitions_equals_brute_force(spark, spread_):
+    from ledgerwatch.operators import registry
+    rng = random.Random(spread_)
+    top = 40 if not spread_ else 10 ** 6  # all sizes in one narrow stretch of the logarithm, or spread wide
+    users = [(f"u{i}", rng.randint(0, top)) for i in range(400)] + [("hot", 7)] * 50 + [("none", None)]
+    refs = [(k, rng.randint(0, top)) for k in range(60)] + [(1000 + k, 7) for k in range(3)]
+    u = spark.createDataFrame(users, "user_id string, n long")
+    s = spark.createDataFrame(refs, "s_suppkey long, m long")
+    got = sorted((r["user_id"], r["n"], r["nearest"]) for r in registry.nearest_by_log(u, s, "n", "m", "user_id", "s_suppkey", partitions=7).collect())
+    want = []
+    for uid, n in users:
+        best = None if n is None else min(refs, key=lambda r: (abs(math.log(n + 1.0) - math.log(r[1] + 1.0)), r[0]))[0]
+        want.append((uid, n, best))
+    assert got == sorted(want)
