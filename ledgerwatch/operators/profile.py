@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
@@ -139,27 +143,104 @@ def class_balance(df: DataFrame, label: str) -> DataFrame:
         (F.col("hi") / F.col("lo")).alias("imbalance_ratio"))
 
 
+#: A variance at most this share of the squared scale of a column counts as zero (a constant column).
+CONSTANT = 1e-18
+
+
+def _masked_parts(d: int):
+    """Per task: (k, v) sums of the matrices of `masked_gram`, flattened one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros((d, d))
+        s, q, p = n.copy(), n.copy(), n.copy()
+        c3, c4 = np.zeros(d), np.zeros(d)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.column_stack([b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(d)])
+            m = ~np.isnan(x)
+            x0 = np.where(m, x, 0.0)
+            mf = m.astype(float)
+            n += mf.T @ mf
+            s += x0.T @ mf
+            q += (x0 * x0).T @ mf
+            p += x0.T @ x0
+            c3 += (x0 ** 3).sum(axis=0)
+            c4 += (x0 ** 4).sum(axis=0)
+        vals = np.concatenate([n.ravel(), s.ravel(), q.ravel(), p.ravel(), c3, c4])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vals), dtype=np.int32)), pa.array(vals)], names=["k", "v"])
+
+    return run
+
+
+def masked_gram(df: DataFrame, cols: list[str]) -> dict[str, np.ndarray]:
+    """Sums over the present values of `cols` (NULL, NaN and infinities are gaps), in two passes and
+    without one row per cell: the means, then per task the matrices n (rows where both are present),
+    s (sum of x_i where x_j is present), q (sum of x_i squared where x_j is present), p (sum of
+    x_i x_j) and per column the sums of third and fourth powers, of values centred at the means.
+    Spark adds the task matrices (d * d numbers each); only those reach the driver."""
+    d = len(cols)
+    clean = df.select(*[F.when(F.abs(clean_number(c)) < F.lit(float("inf")), clean_number(c)).alias(f"_c{i}") for i, c in enumerate(cols)])
+    first = clean.agg(*[F.avg(f"_c{i}").alias(f"m{i}") for i in range(d)], *[F.max(F.abs(f"_c{i}")).alias(f"a{i}") for i in range(d)]).first()
+    mean = np.array([first[f"m{i}"] or 0.0 for i in range(d)])
+    scale = np.array([first[f"a{i}"] or 0.0 for i in range(d)])
+    centred = clean.select(*[(F.col(f"_c{i}") - F.lit(float(mean[i]))).alias(f"_c{i}") for i in range(d)])
+    got = dict(centred.mapInArrow(_masked_parts(d), "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect())
+    flat = np.array([got.get(k, 0.0) for k in range(4 * d * d + 2 * d)])
+    mats = [flat[i * d * d:(i + 1) * d * d].reshape(d, d) for i in range(4)]
+    return {"n": mats[0], "s": mats[1], "q": mats[2], "p": mats[3], "c3": flat[4 * d * d:4 * d * d + d],
+            "c4": flat[4 * d * d + d:], "scale": scale}
+
+
+def gram_corr(g: dict[str, np.ndarray], i: int, j: int) -> float | None:
+    """Pearson r of columns i and j over rows where both are present; None if either is constant there."""
+    n = g["n"][i, j]
+    if n == 0:
+        return None
+    mx, my = g["s"][i, j] / n, g["s"][j, i] / n
+    vx, vy = g["q"][i, j] / n - mx * mx, g["q"][j, i] / n - my * my
+    if vx <= CONSTANT * max(g["scale"][i] ** 2, 1e-300) or vy <= CONSTANT * max(g["scale"][j] ** 2, 1e-300):
+        return None
+    return float(max(-1.0, min(1.0, (g["p"][i, j] / n - mx * my) / math.sqrt(vx * vy))))
+
+
 def target_correlations(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     """|r| with the label per numeric column; a constant column gives NULL."""
-    r = melt_numbers(df, cols, F.col(label).cast("double").alias("_y")).groupBy("name").agg(safe_corr("x", "_y").alias("r"))
-    place = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("name")).cast("int") - 1
-    return r.select("name", place.alias("position"), F.abs("r").alias("correlation"))
+    g = masked_gram(df.withColumn("_y", F.col(label).cast("double")), [*cols, "_y"])
+    y = len(cols)
+    rows = [(c, i, None if (v := gram_corr(g, i, y)) is None else abs(v)) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(rows, "name string, position int, correlation double")
 
 
 def moments(df: DataFrame, cols: list[str], corrected: bool = False) -> DataFrame:
     """name, n, variance, std, skewness, kurtosis (excess).
 
     Population skewness and kurtosis by default; ``corrected`` gives the
-    sample-size-corrected forms.
+    sample-size-corrected forms. All columns come from one `masked_gram` pass; a column without
+    values has NULL everywhere, one value has NULL variance, a constant column NULL shape numbers.
     """
-    out = melt_numbers(df, cols).groupBy("name").agg(
-        F.count("x").cast("double").alias("n"), F.var_samp("x").alias("variance"), F.stddev_samp("x").alias("std"),
-        F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"))
-    if not corrected:
-        return out
-    n = F.col("n")
-    return out.withColumns({"skewness": F.col("skewness") * F.try_divide(F.sqrt(n * (n - 1)), n - 2),
-                            "kurtosis": F.try_divide(n - 1, (n - 2) * (n - 3)) * ((n + 1) * F.col("kurtosis") + 6)})
+    g = masked_gram(df, cols)
+    rows = []
+    for i, c in enumerate(cols):
+        n = g["n"][i, i]
+        if n == 0:
+            rows.append((c, 0.0, None, None, None, None))
+            continue
+        a, b = g["s"][i, i] / n, g["q"][i, i] / n
+        m2 = b - a * a
+        m3 = g["c3"][i] / n - 3 * a * b + 2 * a ** 3
+        m4 = g["c4"][i] / n - 4 * a * g["c3"][i] / n + 6 * a * a * b - 3 * a ** 4
+        flat = m2 <= CONSTANT * max(g["scale"][i] ** 2, 1e-300)
+        var = None if n < 2 else max(m2, 0.0) * n / (n - 1)
+        skew = None if flat else m3 / m2 ** 1.5
+        kurt = None if flat else m4 / (m2 * m2) - 3.0
+        if corrected and skew is not None:
+            skew = skew * math.sqrt(n * (n - 1)) / (n - 2) if n > 2 else None
+        if corrected and kurt is not None:
+            kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * kurt + 6) if n > 3 else None
+        f = lambda v: None if v is None else float(v)
+        rows.append((c, float(n), f(var), None if var is None else math.sqrt(var), f(skew), f(kurt)))
+    return df.sparkSession.createDataFrame(rows, "name string, n double, variance double, std double, skewness double, kurtosis double")
 
 
 def spread(df: DataFrame, col: str, prefix: str, parts=("max", "min", "mean")) -> list[Column]:
@@ -236,20 +317,12 @@ def categorical_patterns(df: DataFrame, cols: list[str], limit: int | None = Non
 def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
     """(a, b, r) for a before b; a constant column gives NULL.
 
-    Without missing values all pairs come from one distributed cross-product matrix of
-    the columns; with missing values each pair uses the rows where both are present.
+    Each pair uses the rows where both are present; all pairs come from the matrices of one
+    `masked_gram` pass, with or without gaps.
     """
-    nums = [clean_number(c).alias(c) for c in cols]
-    gaps = df.agg(sum((F.count_if(clean_number(c).isNull()) for c in cols), F.lit(0)).alias("n")).first()["n"]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if gaps == 0:
-        v = VectorAssembler(inputCols=cols, outputCol="v").transform(df.select(*nums)).select("v")
-        m = Correlation.corr(v, "v").first()[0].toArray()
-        rows = [(cols[i], cols[j], None if math.isnan(m[i, j]) else float(m[i, j])) for i, j in pairs]
-        return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
-    cells = F.array(*[F.struct(F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.col(cols[i]).alias("x"), F.col(cols[j]).alias("y")) for i, j in pairs])
-    out = df.select(*nums).select(F.explode(cells).alias("c")).groupBy("c.a", "c.b").agg(safe_corr("c.x", "c.y").alias("r"))
-    return out
+    g = masked_gram(df, cols)
+    rows = [(cols[i], cols[j], gram_corr(g, i, j)) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
 def rate_by(df: DataFrame, by: str | Column, label: str, name: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,28 @@ def test_spelling_index_gives_the_greedy_pairs_of_plain_ratios(spark):
     index = matching.spelling_index(target, ref, matching.least_ratio(0.7)).collect()
     assert len(index) == len({(r["left"], r["col_name"]) for r in index})  # one exact ratio per distinct pair
     assert all(r["ratio"] == pytest.approx(nm.ratio(r["left"], r["col_name"])) for r in index)
+
+
+def test_masked_gram_equals_pairwise_twins_with_gaps_and_nan(spark):
+    from ledgerwatch.operators import profile
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(500):
+        a = float(rng.normal(1e5, 3.0))
+        b = a * 0.5 + float(rng.normal(0, 1))
+        c = float(rng.choice([1.0, 2.0, 7.0]))
+        rows.append((None if i % 7 == 0 else a, float("nan") if i % 5 == 0 else b, c if i % 11 else float("inf"), 4.0))
+    df = spark.createDataFrame(rows, "a double, b double, c double, k double")
+    pdf = pd.DataFrame(rows, columns=["a", "b", "c", "k"]).replace([np.inf, -np.inf], np.nan)
+    got = {(r["a"], r["b"]): r["r"] for r in profile.correlation_matrix(df, ["a", "b", "c", "k"]).collect()}
+    for x, y in [("a", "b"), ("a", "c"), ("b", "c")]:
+        both = pdf[[x, y]].dropna()
+        assert got[x, y] == pytest.approx(np.corrcoef(both[x], both[y])[0, 1], abs=1e-9)
+    assert got["a", "k"] is None and got["c", "k"] is None  # a constant column
+    mom = {r["name"]: r for r in profile.moments(df, ["a", "b", "k"]).collect()}
+    for c in ("a", "b"):
+        v = pdf[c].dropna()
+        assert mom[c]["variance"] == pytest.approx(v.var(ddof=1), rel=1e-7)
+        assert mom[c]["skewness"] == pytest.approx(((v - v.mean()) ** 3).mean() / v.var(ddof=0) ** 1.5, abs=1e-6)
+        assert mom[c]["kurtosis"] == pytest.approx(((v - v.mean()) ** 4).mean() / v.var(ddof=0) ** 2 - 3, abs=1e-6)
+    assert mom["k"]["skewness"] is None and mom["k"]["variance"] == 0.0
