@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwatch.functions.features import to_number
+from ledgerwatch.operators.profile import distinct_counts
 
 # Name parts of identifier and time columns, and the names that are safe despite them.
 SCORING_DROP = ["id", "timestamp", "date", "heure"]
@@ -38,9 +39,9 @@ def training_columns(df: DataFrame, unique_above: float = 0.95, exact: bool = Tr
     rest = [f for f in df.schema if f.name not in named and isinstance(f.dataType, (T.IntegralType, T.StringType))]
     dense: list[str] = []
     if rest:
-        uniq = F.count_distinct if exact else F.approx_count_distinct
-        row = df.agg(F.count("*").alias("_n"), *[uniq(F.col(f.name)).alias(f.name) for f in rest]).first()
-        dense = [f.name for f in rest if row["_n"] and row[f.name] / row["_n"] > unique_above]
+        n = df.count()
+        uniq = {r["name"]: r["n_unique"] for r in distinct_counts(df, exact, [f.name for f in rest]).collect()}
+        dense = [f.name for f in rest if n and uniq[f.name] / n > unique_above]
     return [c for c in df.columns if c not in named and c not in dense]
 
 
@@ -100,8 +101,9 @@ def output_roles(df: DataFrame) -> dict[str, str | None]:
     both = list(dict.fromkeys(cust + tx))
     share = {}
     if both:
-        row = df.agg(F.count("*").alias("_n"), *[F.count_distinct(F.col(c)).alias(c) for c in both]).first()
-        share = {c: row[c] / row["_n"] for c in both}
+        n = df.count()
+        uniq = {r["name"]: r["n_unique"] for r in distinct_counts(df, True, both).collect()}
+        share = {c: uniq[c] / n if n else 0.0 for c in both}
     customer = next((c for c in cust if 0.01 <= share[c] <= 0.90), None)
     transaction = next((c for c in tx if c != customer and share[c] > 0.85), None)
     time = next((f.name for f in df.schema if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))

@@ -73,17 +73,34 @@ def melt_numbers(df: DataFrame, cols: list[str], *others: Column) -> DataFrame:
     return df.select(*others, F.explode(cells).alias("c")).select(*[o for o in df.select(*others).columns], "c.name", "c.x")
 
 
-def distinct_counts(df: DataFrame, exact: bool = True) -> DataFrame:
-    """(name, n_unique) per column.
+def value_hash(c: str) -> Column:
+    """128 bits (two longs) of a value; -0.0 and 0.0 hash alike, as they group alike."""
+    v = F.col(c)
+    return F.struct(F.xxhash64(F.lit("a"), v).alias("h1"), F.xxhash64(F.lit("b"), v).alias("h2"))
 
-    The exact form counts each column on its own: a columnar scan reads the same
-    bytes as one pass over all columns, and no row is expanded per column.
+
+def distinct_counts(df: DataFrame, exact: bool = True, cols: list[str] | None = None) -> DataFrame:
+    """(name, n_unique) per column, NULL not counted.
+
+    The exact form reads the table once: every row gives one narrow (column, 128-bit value hash)
+    cell per present value, which Spark deduplicates inside each task before its one shuffle, then
+    counts per column; whole rows are never copied per column. Equal values of a column hash alike,
+    so the count is exact up to 128-bit collisions.
     """
+    cols = list(df.columns) if cols is None else cols
+    if not cols:
+        return df.sparkSession.createDataFrame([], "name string, n_unique long")
     if not exact:
-        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns])
-        return melt(row, {c: {"n_unique": F.col(c)} for c in df.columns})
-    parts = [df.select(c).where(F.col(c).isNotNull()).distinct().agg(F.lit(c).alias("name"), F.count("*").alias("n_unique")) for c in df.columns]
-    return reduce(DataFrame.unionByName, parts)
+        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols])
+        return melt(row, {c: {"n_unique": F.col(c)} for c in cols})
+    plain = df.select(*[(F.col(c) + F.lit(0.0)).alias(c) if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)) else F.col(c)
+                        for c in cols])
+    cells = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), value_hash(c).alias("h"))) for i, c in enumerate(cols)])
+    one = (plain.select(F.explode(F.filter(cells, lambda x: x.isNotNull())).alias("x"))
+           .select("x.i", "x.h").distinct().groupBy("i").agg(F.count("*").alias("n_unique")))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "i int, name string")
+    return (names.join(F.broadcast(one), "i", "left")
+            .select("name", F.coalesce("n_unique", F.lit(0)).cast("long").alias("n_unique")))
 
 
 def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -98,8 +115,9 @@ def column_profile(df: DataFrame, exact: bool = True) -> DataFrame:
                    for i, f in enumerate(df.schema)})
     out = counts.join(F.broadcast(distinct_counts(df, exact)), "name")
     if nums:
-        stats = melt_numbers(df, nums).groupBy("name").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"),
-                                                           F.min("x").alias("min"), F.max("x").alias("max"))
+        row = df.agg(*[f(clean_number(c)).alias(f"{k}_{i}") for i, c in enumerate(nums)
+                       for k, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))])
+        stats = melt(row, {c: {k: F.col(f"{k}_{i}") for k in ("mean", "std", "min", "max")} for i, c in enumerate(nums)})
         out = out.join(F.broadcast(stats), "name", "left")
     else:
         out = out.withColumns({c: F.lit(None).cast("double") for c in ("mean", "std", "min", "max")})

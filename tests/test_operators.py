@@ -319,3 +319,16 @@ def test_masked_gram_equals_pairwise_twins_with_gaps_and_nan(spark):
         assert mom[c]["skewness"] == pytest.approx(((v - v.mean()) ** 3).mean() / v.var(ddof=0) ** 1.5, abs=1e-6)
         assert mom[c]["kurtosis"] == pytest.approx(((v - v.mean()) ** 4).mean() / v.var(ddof=0) ** 2 - 3, abs=1e-6)
     assert mom["k"]["skewness"] is None and mom["k"]["variance"] == 0.0
+
+
+def test_distinct_counts_in_one_shuffle_equal_per_column_counts(spark):
+    from ledgerwatch.operators import profile
+    rows = [(i % 7, None if i % 3 == 0 else f"s{i % 5}", float(i % 4) * (-1 if i % 2 else 1), None) for i in range(200)]
+    rows.append((0, "s0", -0.0, None))
+    df = spark.createDataFrame(rows, "a int, b string, c double, d string")
+    got = {r["name"]: r["n_unique"] for r in profile.distinct_counts(df).collect()}
+    want = {c: df.select(c).where(F.col(c).isNotNull()).distinct().count() for c in df.columns}
+    assert got == want and got["d"] == 0
+    plan = profile.distinct_counts(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 3  # one shuffle of the cells, one of the counts (and the broadcast of names)
+    assert profile.distinct_counts(df.limit(0)).where("n_unique > 0").count() == 0
