@@ -75,10 +75,50 @@ def run_report(history: DataFrame) -> DataFrame:
 
 
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
-    """One page of an ordered listing (numbers start at 1)."""
+    """One page of an ordered listing (numbers start at 1) by OFFSET; see `keyset_page` for large numbers."""
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def _after(keys: list[tuple[str, bool]], bound: str, strict: bool) -> Column:
+    """The row comes after (or at, unless strict) the key tuple in column `bound`, in the listing's order."""
+    out = F.lit(not strict)
+    for name, desc in reversed(keys):
+        c, b = F.col(name), F.col(bound)[name]
+        beyond = c < b if desc else c > b
+        out = beyond | (c.eqNullSafe(b) & out)
+    return out
+
+
+def page_index(df: DataFrame, keys: list[tuple[str, bool]], size: int) -> DataFrame:
+    """(page, first): the key tuple of the first row of every page of `size` rows in the order of
+    `keys` ((column, descending) pairs that together are unique and not null). Positions come from
+    per-partition totals of a range-partitioned sort (no task holds more than its range), and the
+    index, one row per page, is settled in the shared checkpoint folder to serve many requests."""
+    from ledgerwatch.operators.ordering import global_rank
+    order = [F.desc(k) if d else F.asc(k) for k, d in keys]
+    ranked = global_rank(df.select(*[k for k, _ in keys]), order, "_pos")
+    firsts = ranked.where((F.col("_pos") - 1) % size == 0)
+    return cut_lineage(firsts.select(((F.col("_pos") - 1) / size + 1).cast("long").alias("page"),
+                                     F.struct(*[k for k, _ in keys]).alias("first")))
+
+
+def keyset_page(df: DataFrame, keys: list[tuple[str, bool]], index: DataFrame, number: int, size: int) -> DataFrame:
+    """Page `number` (from 1) as a range of keys between its first row and the next page's first row:
+    a filter on the key columns, which a sorted or clustered table answers from one range; no OFFSET."""
+    bounds = index.where(F.col("page").isin(number, number + 1)).collect()
+    got = {r["page"]: r["first"].asDict() for r in bounds}
+    if number not in got:
+        return df.limit(0)
+    lo = F.struct(*[F.lit(v).alias(k) for k, v in got[number].items()])
+    cond = _after(keys, "_lo", strict=False)
+    out = df.withColumn("_lo", lo).where(cond)
+    if number + 1 in got:
+        hi = F.struct(*[F.lit(v).alias(k) for k, v in got[number + 1].items()])
+        out = out.withColumn("_hi", hi).where(~_after(keys, "_hi", strict=False)).drop("_hi")
+    order = [F.desc(k) if d else F.asc(k) for k, d in keys]
+    return out.drop("_lo").orderBy(*order).limit(size)
+
+
 def nearest_by_log(left: DataFrame, refs: DataFrame, n: str, m: str, lkey: str, rkey: str,
                    partitions: int | None = None) -> DataFrame:
     """Nearest reference by |ln(n+1) - ln(m+1)|, smaller reference key on ties: an as-of join both ways.

@@ -571,7 +571,9 @@ def w5(spark, d):
 
 @query("k12_pagination", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
 def k12(spark, d):
-    return rg.page(table(spark, d, "orders"), [F.desc("o_orderdate"), "o_orderkey"], 3, 20).select("o_orderkey", "o_totalprice")
+    """Page 3 of 20 rows, read as a key range found in a stored page index."""
+    orders, keys = table(spark, d, "orders"), [("o_orderdate", True), ("o_orderkey", False)]
+    return rg.keyset_page(orders, keys, rg.page_index(orders, keys, 20), 3, 20).select("o_orderkey", "o_totalprice")
 
 
 @query("k13_registry_listing", f"WITH {MO} SELECT domain, model_name FROM mo ORDER BY domain, model_name LIMIT 10")

@@ -188,3 +188,19 @@ def test_nearest_by_log_over_seven_range_partitions_equals_brute_force(spark, sp
         best = None if n is None else min(refs, key=lambda r: (abs(math.log(n + 1.0) - math.log(r[1] + 1.0)), r[0]))[0]
         want.append((uid, n, best))
     assert got == sorted(want)
+
+
+def test_keyset_pages_equal_offset_pages(spark):
+    from ledgerwatch.operators import registry
+    rng = random.Random(3)
+    rows = [(k, f"2024-0{rng.randint(1, 3)}-1{rng.randint(0, 9)}", float(k)) for k in range(1, 1234)]
+    df = spark.createDataFrame(rows, "o_orderkey long, o_orderdate string, o_totalprice double").repartition(5)
+    keys = [("o_orderdate", True), ("o_orderkey", False)]
+    index = registry.page_index(df, keys, 20)
+    assert index.count() == 62
+    for number in (1, 2, 3, 40, 62, 63):
+        got = [r["o_orderkey"] for r in registry.keyset_page(df, keys, index, number, 20).collect()]
+        want = [r["o_orderkey"] for r in registry.page(df, [F.desc("o_orderdate"), "o_orderkey"], number, 20).collect()]
+        assert got == want
+    plan = registry.keyset_page(df, keys, index, 40, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "Offset" not in plan
