@@ -122,8 +122,8 @@ def l7m(spark, d):
 @query("l8_isolation_forest")
 def l8(spark, d):
     li = lines(spark, d)
-    s = rule_scores(li).select("line_id", F.col("p3").alias("fraud_probability"))
-    return isolation.add_anomaly(s, li, "line_id", AMOUNTS)
+    s = rule_scores(li).select("line_id", *AMOUNTS, F.col("p3").alias("fraud_probability"))
+    return isolation.add_anomaly(s, "line_id", AMOUNTS).select("line_id", "fraud_probability", "anomaly_score", "is_anomaly", "combined_score")
 
 
 @query("l15_ensemble_for_new_table")

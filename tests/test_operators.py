@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -332,3 +334,21 @@ def test_distinct_counts_in_one_shuffle_equal_per_column_counts(spark):
     plan = profile.distinct_counts(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 3  # one shuffle of the cells, one of the counts (and the broadcast of names)
     assert profile.distinct_counts(df.limit(0)).where("n_unique > 0").count() == 0
+
+
+def test_isolation_scores_in_the_row_with_medians_and_small_tables(spark):
+    rng = np.random.default_rng(9)
+    pts = [(i % 50 if i % 10 else None, float(a), None if i % 13 == 0 else float(b)) for i, (a, b) in enumerate(rng.normal(size=(120, 2)))]
+    pts += [(7, 40.0, float("nan")), (None, -35.0, 30.0)]
+    df = spark.createDataFrame(pts, "id long, a double, b double")
+    got = isolation.anomaly_scores(df, "id", ["a", "b"], 0.02, trees=40).collect()
+    assert len(got) == len(pts)  # NULL and repeated keys keep their rows: nothing is joined back
+    assert sorted((r["id"] is None, r["id"] or 0, r["a"]) for r in got) == sorted((i is None, i or 0, a) for i, a, _ in pts)
+    top = sorted(got, key=lambda r: -r["anomaly_score"])[:2]
+    assert {r["a"] for r in top} == {40.0, -35.0}
+    assert all(0.0 <= r["anomaly_score"] <= 1.0 for r in got)
+    med = isolation.medians(df, ["a", "b"])
+    b = sorted(x for _, _, x in pts if x is not None and not math.isnan(x))
+    assert med["b"] == pytest.approx((b[len(b) // 2 - 1] + b[len(b) // 2]) / 2 if len(b) % 2 == 0 else b[len(b) // 2])
+    forest = isolation.fit_forest(df, "id", ["a", "b"], trees=5, fill=med)
+    assert {r["size"] for r in forest} <= set(range(1, 123)) and max(r["size"] for r in forest) <= 122
