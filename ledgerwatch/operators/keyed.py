@@ -56,12 +56,15 @@ def split_hot(df: DataFrame, hot_rows: int):
     return df.join(keys, "_key", "left_anti"), df.join(keys, "_key", "left_semi"), max(2, -(-2 * s["n"] // hot_rows))
 
 
-def chunked(df: DataFrame, t: str, chunks: int) -> DataFrame:
-    """Adds ``_chunk``: ranges of (key, time) with about equally many rows; equal times stay together.
+def chunked(df: DataFrame, t: str, chunks: int, tie: str | None = None) -> DataFrame:
+    """Adds ``_chunk``: ranges of (key, time, tie) with about equally many rows, so a key whose rows
+    share one time (or have none) is cut like any other; callers carry state between chunks in
+    chunk order, which is the order of (key, time, tie). Without a tie equal times stay together.
 
     Range bounds are sampled, so the rows are checkpointed once to keep them.
     """
-    return cut_lineage(df.repartitionByRange(chunks, "_key", t).withColumn("_chunk", F.spark_partition_id()))
+    by = ["_key", t, *([tie] if tie else [])]
+    return cut_lineage(df.repartitionByRange(chunks, *by).withColumn("_chunk", F.spark_partition_id()))
 
 
 def rolling_totals(df: DataFrame, key: str, ts: str, span_micros: int,
@@ -111,7 +114,7 @@ def prior_totals(df: DataFrame, key: str, ts: str, tie: str, measures: dict[str,
     out = normal.withColumns({k: F.sum(f"_m_{k}").over(w) for k in measures}).drop(*drop)
     if hot is None:
         return out
-    hot = chunked(hot, "_t", chunks)
+    hot = chunked(hot, "_t", chunks, tie)
     before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (hot.groupBy("_key", "_chunk").agg(*[F.sum(f"_m_{k}").alias(f"_s_{k}") for k in measures])
                .select("_key", "_chunk", *[F.sum(f"_s_{k}").over(before).alias(f"_o_{k}") for k in measures]))
@@ -133,7 +136,7 @@ def previous_value(df: DataFrame, key: str, ts: str, tie: str, value: Column, na
     out = normal.withColumn(name, F.lag("_v").over(Window.partitionBy("_key").orderBy("_t", tie))).drop("_key", "_t", "_v")
     if hot is None:
         return out
-    hot = chunked(hot, "_t", chunks)
+    hot = chunked(hot, "_t", chunks, tie)
     last = (hot.groupBy("_key", "_chunk").agg(F.max_by("_v", F.struct("_t", tie)).alias("_last"))
             .select("_key", "_chunk", F.lag("_last").over(Window.partitionBy("_key").orderBy("_chunk")).alias("_prev")))
     inside = Window.partitionBy("_key", "_chunk").orderBy("_t", tie)
@@ -179,7 +182,7 @@ def rolling_at_most_two(df: DataFrame, key: str, ts: str, tie: str, value: str,
            .withColumn(name, ok(F.col("_c"))).drop(*helper))
     if hot is None:
         return out
-    hot = chunked(hot, "_t", chunks)
+    hot = chunked(hot, "_t", chunks, tie)
     # the three latest distinct values of each chunk, and from them of all chunks before
     latest = hot.groupBy("_key", "_chunk", value).agg(F.max(F.struct("_t", tie)).alias("_at"))
     top = Window.partitionBy("_key", "_chunk").orderBy(F.desc("_at"))
@@ -198,8 +201,9 @@ def rolling_at_most_two(df: DataFrame, key: str, ts: str, tie: str, value: str,
     mixed = rows.unionByName(seeds, allowMissingColumns=True)
     # seeds carry older instants; NULL tie sorts first and _seed keeps their own order
     order = ["_t", F.col("_seed").asc_nulls_last(), tie]
-    split = (_recent_three(mixed, ["_key", "_chunk"], order, "_t", value)
-             .withColumn("_c", F.max("_s3.t").over(peers("_key", "_chunk")))
-             .where("_seed is null")
-             .withColumn(name, ok(F.col("_c"))))
+    # rows of one instant may lie in several chunks: their latest third value is a grouped maximum
+    # (combined before the shuffle) joined back, one row per (key, instant)
+    third = (_recent_three(mixed, ["_key", "_chunk"], order, "_t", value).where("_seed is null"))
+    peak = third.groupBy("_key", "_t").agg(F.max("_s3.t").alias("_c"))
+    split = third.join(peak, ["_key", "_t"]).withColumn(name, ok(F.col("_c")))
     return out.unionByName(split.select(out.columns))

@@ -204,3 +204,30 @@ def test_keyset_pages_equal_offset_pages(spark):
         assert got == want
     plan = registry.keyset_page(df, keys, index, 40, 20)._jdf.queryExecution().executedPlan().toString()
     assert "Offset" not in plan
+
+
+@pytest.fixture(scope="module")
+def flat(spark):
+    """One key whose 600 rows share one instant, one key of 400 rows without time, a few ordinary rows."""
+    data = [(k, 1, "2024-01-02 10:00:00", float(k % 13), f"d{k % 5}") for k in range(600)]
+    data += [(1000 + k, 2, None, float(k % 7), f"d{k % 3}") for k in range(400)]
+    data += [(2000 + k, 3 + k % 4, f"2024-01-0{1 + k % 9} 0{k % 9}:00:00", float(k), "d0") for k in range(40)]
+    return (spark.createDataFrame(data, "event_id long, user_id long, t string, value double, dest string")
+            .withColumn("ts", F.to_timestamp("t")).drop("t"))
+
+
+def test_a_key_of_one_instant_is_cut_into_even_chunks(flat):
+    base = flat.withColumns({"_key": keyed.whole_key("user_id"), "_t": keyed.instant("ts")})
+    _, hot, chunks = keyed.split_hot(base, 100)
+    sizes = [r["count"] for r in keyed.chunked(hot, "_t", chunks, "event_id").groupBy("_chunk").count().collect()]
+    assert sum(sizes) == 1000 and chunks >= 20 and max(sizes) <= 2 * 100
+
+
+@pytest.mark.parametrize("limit", [30, 100])
+def test_one_instant_keys_give_the_rows_of_the_window(flat, limit):
+    for fn in (lambda h: patterns.dormant_wakeup(flat, "user_id", "ts", "event_id", "value", 1, 5, h),
+               lambda h: patterns.unusual_amount(flat, "user_id", "ts", "event_id", "value", 2, h),
+               lambda h: patterns.beneficiary_concentration(flat, "user_id", "ts", "event_id", "dest", 3, 3, h)):
+        a, b = fn(limit), fn(keyed.HOT_ROWS)
+        assert a.columns == b.columns and a.count() == flat.count()
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
