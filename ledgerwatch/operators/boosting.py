@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
+from itertools import product
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,39 +121,55 @@ def train(df: DataFrame, label: str, key: str, features: engineering.FittedFeatu
     return model
 
 
+def fold_scores(v: DataFrame, configs: list[dict], folds: int, seed: int) -> DataFrame:
+    """(config, fold, label, p): every configuration fitted on all folds but one, with class weights
+    counted on those training folds only, and scored on the fold left out. Fits are eager; the
+    scoring of all of them is one lazy union, evaluated once by `evaluate.binned_metrics`."""
+    parts = []
+    for i, cfg in enumerate(configs):
+        for k in range(folds):
+            train = evaluate.add_class_weight(v.where(F.col("fold") != k), "label")
+            model = classifier(cfg, seed).fit(train)
+            parts.append(model.transform(v.where(F.col("fold") == k))
+                         .select(F.lit(i).alias("config"), F.lit(k).alias("fold"), "label", vector_to_array("probability")[1].alias("p")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def grid_search(df: DataFrame, label: str, key: str, features: engineering.FittedFeatures, stage1: dict[str, list], around: dict[str, list],
-                folds: int = 5, sample: float = 0.35, base: dict | None = None, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """Two-stage search with stratified folds, scored by F1 of the positive class.
+                folds: int = 5, sample: float = 0.35, base: dict | None = None, seed: int = 42) -> DataFrame:
+    """Two-stage search with stratified folds.
 
-    Stage one tries the given grid on a stratified sample; stage two varies the winner
-    with ``around`` on all rows.  One row per configuration: stage, params, mean and std.
+    Stage one tries the given grid on a stratified sample; stage two varies the winner (best mean F1 of
+    the positive class) with ``around`` on all rows. Every fold of every configuration is scored into one
+    table, and F1, precision, recall and ROC-AUC of all of them come from one binned count of it. One row
+    per configuration: stage, params, mean and deviation over folds of each metric.
     """
-    names = {"max_depth": "maxDepth", "learning_rate": "stepSize", "n_estimators": "maxIter", "subsample": "subsamplingRate", "min_child_weight": "minInstancesPerNode"}
     columns = features.outputs
-    evaluator = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="fMeasureByLabel", metricLabel=1.0)
+    names = ("f1", "precision", "recall", "roc_auc")
 
     def run(rows: DataFrame, grid: dict[str, list], start: dict, stage: int):
         folded = evaluate.stratified_split(spread(rows), label, key, [1 / folds] * folds, seed, "fold")
         x = align(features.transform(folded, [label, "fold"]), columns, [label, "fold"])
-        x = evaluate.add_class_weight(x.withColumn("label", F.col(label).cast("double")), label)
-        v = VectorAssembler(inputCols=columns, outputCol="features").transform(x).select("features", "label", "weight", "fold").persist()
-        est = classifier(start, seed)
-        builder = ParamGridBuilder()
-        for k, values in grid.items():
-            builder = builder.addGrid(est.getParam(names[k]), values)
-        maps = builder.build()
-        cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism)
-        got = cv.fit(v)
+        x = x.withColumn("label", F.col(label).cast("double"))
+        v = VectorAssembler(inputCols=columns, outputCol="features").transform(x).select("features", "label", "fold").persist()
+        keys = list(grid)
+        configs = [{**start, **dict(zip(keys, values))} for values in product(*[grid[k] for k in keys])] or [dict(start)]
+        metrics = evaluate.binned_metrics(fold_scores(v, configs, folds, seed), ["config", "fold"])
+        got = {r["config"]: r for r in evaluate.fold_summary(metrics, ["config"], names).collect()}
         v.unpersist()
-        back = {v2: k for k, v2 in names.items()}
-        return [(stage, {**start, **{back[p.name]: float(val) for p, val in m.items()}}, float(a), float(s))
-                for m, a, s in zip(maps, got.avgMetrics, got.stdMetrics)]
+        return [(stage, {k: float(val) for k, val in cfg.items()}, *[got[i][f"{w}_test_{n}"] if i in got else None
+                                                                      for w in ("mean", "std") for n in names])
+                for i, cfg in enumerate(configs)]
 
     start = {k: float(v) for k, v in {**DEFAULTS, **(base or {})}.items()}
     first = run(evaluate.stratified_sample(df, label, key, sample, seed), stage1, start, 1)
-    best = max(first, key=lambda x: x[2])[1]
+    best = max(first, key=lambda x: -1.0 if x[2] is None else x[2])[1]
     second = run(df, around, best, 2)
-    return df.sparkSession.createDataFrame(first + second, "stage int, params map<string,double>, mean_test_f1 double, std_test_f1 double")
+    schema = "stage int, params map<string,double>, " + ", ".join(f"{w}_test_{n} double" for w in ("mean", "std") for n in names)
+    return df.sparkSession.createDataFrame(first + second, schema)
 
 
 def ensemble_scores(df: DataFrame, keep: list[str], models: list[tuple[FraudModel, float]], threshold: float = 0.5) -> DataFrame:

@@ -173,3 +173,40 @@ def regression_errors(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataF
         aggs += [F.avg(F.abs(e)).alias(f"mae_{k}"), F.avg(e * e).alias(f"mse_{k}"), F.var_pop(y).alias(f"var_{k}")]
         fields[k] = {"mae": F.col(f"mae_{k}"), "rmse": F.sqrt(f"mse_{k}"), "r2": 1 - F.try_divide(f"mse_{k}", f"var_{k}")}
     return melt(df.agg(*aggs), fields)
+
+
+#: Score bins of the fold evaluator; 0.5 is a bin edge, so decisions at 0.5 are exact.
+SCORE_BINS = 1000
+
+
+def binned_metrics(scores: DataFrame, by: list[str], label: str = "label", p: str = "p", bins: int = SCORE_BINS,
+                   threshold: float = 0.5) -> DataFrame:
+    """Per group of `by`: tp, fp, fn, tn at `threshold` (p >= threshold is positive), precision, recall,
+    f1 and roc_auc, all from one table of counts per (group, score bin, label).
+
+    The counts are combined before the shuffle, so a group never holds more than `bins` rows after it;
+    roc_auc counts pairs in one bin as half (exact when scores differ by more than a bin). Labels
+    other than 0 and 1 and NULL scores are left out; an empty class gives a NULL roc_auc.
+    """
+    cut = int(round(threshold * bins))
+    b = F.least(F.greatest(F.floor(F.col(p) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    counts = (scores.where(F.col(p).isNotNull() & F.col(label).isin(0, 1))
+              .groupBy(*by, b.alias("_bin")).agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg")))
+    below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.withColumn("_neg_below", F.coalesce(F.sum("_neg").over(below), F.lit(0)))
+    up = F.col("_bin") >= cut
+    m = c.groupBy(*by).agg(
+        F.sum(F.when(up, F.col("_pos")).otherwise(0)).alias("tp"), F.sum(F.when(up, F.col("_neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~up, F.col("_pos")).otherwise(0)).alias("fn"), F.sum(F.when(~up, F.col("_neg")).otherwise(0)).alias("tn"),
+        F.sum(F.col("_pos") * F.col("_neg_below") + 0.5 * F.col("_pos") * F.col("_neg")).alias("_pairs"),
+        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    precision, recall = _div(tp, tp + fp), _div(tp, tp + fn)
+    return m.select(*by, "tp", "fp", "fn", "tn", precision.alias("precision"), recall.alias("recall"),
+                    _div(2 * precision * recall, precision + recall).alias("f1"),
+                    F.when((F.col("_p") > 0) & (F.col("_n") > 0), F.col("_pairs") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))
+
+
+def fold_summary(metrics: DataFrame, by: list[str], names: tuple[str, ...] = ("f1", "precision", "recall", "roc_auc")) -> DataFrame:
+    """Mean and population deviation over folds of every metric, per group of `by`."""
+    return metrics.groupBy(*by).agg(*[F.avg(n).alias(f"mean_test_{n}") for n in names], *[F.stddev_pop(n).alias(f"std_test_{n}") for n in names])

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions import features as ft
 from ledgerwatch.operators import automl, boosting, engineering, isolation, report
+from ledgerwatch.operators import evaluate as ev
 from ledgerwatch.operators import matching as mt
 from ledgerwatch.operators import selection as sl
-from ledgerwatch.plans.base import (EV, GR, IM, LI, big, events, feed_columns, grid_table, importance_table, lines,
+from ledgerwatch.plans.base import (EV, GR, IM, LI, RS, big, events, feed_columns, grid_table, importance_table, lines,
                                     query, r, rule_scores, table)
 from ledgerwatch.plans.catalogue import TARGET_COLUMNS, feed_rates
 from ledgerwatch.plans.scoring import EN, scored
@@ -84,6 +85,33 @@ def l3(spark, d):
     return boosting.grid_search(li, "is_fraud", "line_id", f, {"max_depth": [2, 4]}, {"learning_rate": [0.1, 0.3]}, folds=3, base={"n_estimators": 3})
 
 
+FOLD_SQL = f"""WITH {RS}, s AS (SELECT 1 AS config, l_orderkey % 3 AS fold, is_fraud AS label, p1 AS p FROM rs
+   UNION ALL SELECT 2, l_orderkey % 3, is_fraud, p2 FROM rs UNION ALL SELECT 3, l_orderkey % 3, is_fraud, p3 FROM rs),
+ c AS (SELECT config, fold, CAST(least(greatest(floor(p * 1000), 0), 999) AS INT) AS bin, count(*) FILTER (WHERE label = 1) AS pos,
+   count(*) FILTER (WHERE label = 0) AS neg FROM s WHERE p IS NOT NULL AND label IN (0, 1) GROUP BY 1, 2, 3),
+ w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY config, fold ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM c),
+ m AS (SELECT config, fold, sum(CASE WHEN bin >= 500 THEN pos ELSE 0 END) AS tp, sum(CASE WHEN bin >= 500 THEN neg ELSE 0 END) AS fp,
+   sum(CASE WHEN bin < 500 THEN pos ELSE 0 END) AS fn, sum(pos * nb + 0.5 * pos * neg) AS pairs, sum(pos) AS np_, sum(neg) AS nn FROM w GROUP BY 1, 2),
+ q AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall,
+   CASE WHEN np_ > 0 AND nn > 0 THEN pairs / (np_ * nn) END AS roc_auc FROM m),
+ f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1 FROM q)
+SELECT config, round(avg(f1),6) AS mean_test_f1, round(stddev_pop(f1),6) AS std_test_f1, round(avg(precision),6) AS mean_test_precision, round(stddev_pop(precision),6) AS std_test_precision, round(avg(recall),6) AS mean_test_recall, round(stddev_pop(recall),6) AS std_test_recall, round(avg(roc_auc),6) AS mean_test_roc_auc, round(stddev_pop(roc_auc),6) AS std_test_roc_auc FROM f GROUP BY config"""
+
+
+@query("l3_fold_metrics", FOLD_SQL)
+def l3_fold_metrics(spark, d):
+    """The fold evaluator of the grid search on a fixed score table: three rule scores as configurations,
+    folds by order key."""
+    rs = rule_scores(lines(spark, d))
+    fold = (F.col("l_orderkey") % 3).alias("fold")
+    s = (rs.select(F.lit(1).alias("config"), fold, F.col("is_fraud").alias("label"), F.col("p1").alias("p"))
+         .unionByName(rs.select(F.lit(2).alias("config"), fold, F.col("is_fraud").alias("label"), F.col("p2").alias("p")))
+         .unionByName(rs.select(F.lit(3).alias("config"), fold, F.col("is_fraud").alias("label"), F.col("p3").alias("p"))))
+    names = ("f1", "precision", "recall", "roc_auc")
+    out = ev.fold_summary(ev.binned_metrics(s, ["config", "fold"]), ["config"], names)
+    return out.select("config", *[r(f"{w}_test_{n}", 6).alias(f"{w}_test_{n}") for n in names for w in ("mean", "std")])
+
+
 @query("l4_model_importances")
 def l4(spark, d):
     return sl.with_cumulative(quick_model(lines(spark, d)).importances())

@@ -231,3 +231,26 @@ def test_one_instant_keys_give_the_rows_of_the_window(flat, limit):
         a, b = fn(limit), fn(keyed.HOT_ROWS)
         assert a.columns == b.columns and a.count() == flat.count()
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_binned_fold_metrics_equal_plain_counting(spark):
+    rng = random.Random(8)
+    rows = [(c, f, rng.choice([0, 1, 1 if c == 2 else 0]), rng.choice([None, round(rng.random(), 3)])) for c in (1, 2) for f in range(3) for _ in range(150)]
+    rows += [(3, 0, 1, 0.7), (3, 0, 1, 0.2)]  # one class only: no ROC-AUC
+    df = spark.createDataFrame(rows, "config int, fold int, label int, p double")
+    got = {(r["config"], r["fold"]): r for r in evaluate.binned_metrics(df, ["config", "fold"]).collect()}
+    for (c, f), r in got.items():
+        mine = [(y, p) for cc, ff, y, p in rows if (cc, ff) == (c, f) and p is not None]
+        tp = sum(1 for y, p in mine if y == 1 and p >= 0.5)
+        fp = sum(1 for y, p in mine if y == 0 and p >= 0.5)
+        fn = sum(1 for y, p in mine if y == 1 and p < 0.5)
+        assert (r["tp"], r["fp"], r["fn"]) == (tp, fp, fn)
+        pos = [p for y, p in mine if y == 1]
+        neg = [p for y, p in mine if y == 0]
+        if pos and neg:  # scores of three decimals fall in distinct bins, so pairs are exact
+            auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+            assert r["roc_auc"] == pytest.approx(auc)
+        else:
+            assert r["roc_auc"] is None
+    summary = evaluate.fold_summary(evaluate.binned_metrics(df, ["config", "fold"]), ["config"]).collect()
+    assert {r["config"] for r in summary} == {1, 2, 3}
