@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerwatch.functions import features as ft
 from ledgerwatch.operators import automl, boosting, engineering, isolation, report
+from ledgerwatch.operators import registry as rg
+from ledgerwatch.operators import versions as vs
 from ledgerwatch.operators import evaluate as ev
 from ledgerwatch.operators import matching as mt
 from ledgerwatch.operators import selection as sl
@@ -156,12 +158,26 @@ def l8(spark, d):
 
 @query("l15_ensemble_for_new_table")
 def l15(spark, d):
+    """Ensemble for a new table, committed as one version: the bundle (base models, similarities,
+    weights, methods), the registry row of the ensemble and the usage of its base models change
+    together; the query reads the bundle and usage back from the committed version."""
     reg = feed_rates(spark, d).select("dataset", F.col("n_rows").alias("dataset_size"), "fraud_rate")
     sims = mt.similarity(TARGET_COLUMNS, feed_columns(spark, d))
     top = mt.registry_match(sims, reg, 60, 0.15, 3)
     total = top.agg(F.sum("score").alias("t"))
-    return top.join(F.broadcast(total)).select(F.col("dataset").alias("base_model"), "similarity", "score", (F.col("score") / F.col("t")).alias("weight"),
-                                               F.lit("ensemble,anomaly,calibration").alias("methods"))
+    bundle = top.join(F.broadcast(total)).select(F.col("dataset").alias("base_model"), "similarity", "score", (F.col("score") / F.col("t")).alias("weight"),
+                                                 F.lit("ensemble,anomaly,calibration").alias("methods"))
+    row = bundle.agg(F.lit("ensemble_new_table").alias("model_name"), F.count("*").alias("n_base_models"),
+                     F.sum(F.col("weight") * F.col("similarity")).alias("similarity"), F.lit(True).alias("is_active"))
+    log = bundle.select(F.col("base_model").cast("string").alias("model_name"), F.current_timestamp().alias("used_at"),
+                        F.col("base_model").cast("string").alias("i"), F.col("similarity").alias("s"))
+    use = rg.usage(log, "model_name", "used_at", "i", "s")
+    root = writers.scratch(spark, "l15-registry")
+    version = vs.commit(spark, root, {"bundle": bundle, "registry": row, "usage": use})
+    back = vs.read(spark, root, "bundle", version).withColumn("_m", F.col("base_model").cast("string"))
+    used = vs.read(spark, root, "usage", version).select(F.col("model_name").alias("_m"), "usage_count")
+    return back.join(used, "_m", "left").select("base_model", "similarity", "score", "weight", "methods",
+                                                F.lit(version).alias("version"), "usage_count")
 
 
 # ---- sources and sinks -------------------------------------------------------------------------------------

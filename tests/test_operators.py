@@ -352,3 +352,28 @@ def test_isolation_scores_in_the_row_with_medians_and_small_tables(spark):
     assert med["b"] == pytest.approx((b[len(b) // 2 - 1] + b[len(b) // 2]) / 2 if len(b) % 2 == 0 else b[len(b) // 2])
     forest = isolation.fit_forest(df, "id", ["a", "b"], trees=5, fill=med)
     assert {r["size"] for r in forest} <= set(range(1, 123)) and max(r["size"] for r in forest) <= 122
+
+
+def test_versioned_tables_change_together_and_survive_a_failed_run(spark):
+    from pyspark.sql.functions import udf
+
+    from ledgerwatch.operators import versions
+    root = writers.scratch(spark, "test-versions")
+    assert versions.current(spark, root) is None
+    reg = spark.createDataFrame([("m1", True, 0.9)], "model_name string, is_active boolean, roc_auc double")
+    use = spark.createDataFrame([("m1", 3)], "model_name string, usage_count long")
+    assert versions.commit(spark, root, {"registry": reg, "usage": use}) == 1
+
+    @udf("long")
+    def boom(x):
+        raise RuntimeError("lost in the middle of the run")
+
+    reg2 = reg.union(spark.createDataFrame([("m2", True, 0.95)], reg.schema))
+    with pytest.raises(Exception):
+        versions.commit(spark, root, {"registry": reg2, "usage": use.withColumn("usage_count", boom("usage_count"))})
+    assert versions.current(spark, root) == (1, ["registry", "usage"])
+    assert [tuple(r) for r in versions.read(spark, root, "registry").collect()] == [("m1", True, 0.9)]
+    assert versions.commit(spark, root, {"registry": reg2, "usage": use.withColumn("usage_count", F.col("usage_count") + 1)}) == 2
+    assert sorted(r["model_name"] for r in versions.read(spark, root, "registry").collect()) == ["m1", "m2"]
+    assert versions.read(spark, root, "usage").first()["usage_count"] == 4
+    assert versions.read(spark, root, "usage", 1).first()["usage_count"] == 3
