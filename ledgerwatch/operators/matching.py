@@ -27,7 +27,7 @@ def greedy_pairs(left: list[tuple[str, str]], right: list[tuple[str, str]], thre
 
     Left columns choose in order: same name, else same group, else the closest
     spelling above the threshold; among equals the earlier right column wins.
-    ``ratio`` gives the spelling likeness of two names (a lookup in `spelling_index` in Spark).
+    ``ratio`` gives the spelling likeness of two names. `match_columns` makes the same choice in Spark.
     """
     free = dict.fromkeys(range(len(right)))
     out = []
@@ -87,38 +87,58 @@ def spelling_index(target: list[str], references: DataFrame, least: float) -> Da
     return kept.where(F.col("ratio") >= least)
 
 
+def _name_scores(left: list[tuple[str, str]], names: DataFrame, threshold: float, smart: bool) -> DataFrame:
+    """(col_name, scores) of the distinct names that some target column can choose. ``scores`` holds per target
+    column 3 for the same name, 2 for the same group, else the spelling likeness if it is near enough, else null:
+    the highest score is the choice of `greedy_pairs`."""
+    index = (spelling_index([name for name, _ in left], names, least_ratio(threshold, smart))
+             .groupBy("col_name").agg(F.map_from_entries(F.collect_list(F.struct("left", "ratio"))).alias("likes")))
+
+    def score(name: str, group: str) -> Column:
+        need = min(0.85, threshold + 0.15) if smart and len(name) < 5 else threshold
+        like = F.col("likes")[F.lit(name)]
+        return (F.when(F.lower("col_name") == F.lit(name.lower()), 3.0)
+                .when((F.col("grp") == F.lit(group)) & (F.lit(group) != "unknown"), 2.0)
+                .when((like >= need) & (like > 0), like))
+
+    scored = with_groups(names).join(index, "col_name", "left").select(
+        "col_name", F.array(*[score(n, g) for n, g in left]).cast("array<double>").alias("scores"))
+    return scored.where(F.exists("scores", lambda s: s.isNotNull()))
+
+
 def match_columns(target: list[str], references: DataFrame, threshold: float = 0.7,
                   smart: bool = True) -> DataFrame:
     """(dataset, kind, left, right, score) of one target table against every reference
     data set in the catalogue (dataset, position, col_name).
 
-    The target is one schema and each reference is one schema, so a task works
-    on lists no longer than a table is wide. Spelling likeness comes from `spelling_index`,
-    computed once per distinct pair of names and joined to every column that bears the name.
+    The target is one schema and each reference is one schema, so a row works on lists no longer than
+    a table is wide. Names are scored once per distinct name and joined to every column that bears the
+    name; columns that no target column can choose do not reach the lists. The choice is that of
+    `greedy_pairs`, made by array expressions, so no data set enters a Python process.
     """
     spark = references.sparkSession
     left = [(x["col_name"], x["grp"]) for x in with_groups(
         spark.createDataFrame([(c,) for c in target], "col_name string")).collect()]
     order = {c: i for i, c in enumerate(target)}
     left.sort(key=lambda x: order[x[0]])
-    index = (spelling_index(target, references, least_ratio(threshold, smart))
-             .groupBy("col_name").agg(F.collect_list(F.struct("left", "ratio")).alias("likes")))
-    right = (with_groups(references).join(index, "col_name", "left").groupBy("dataset")
-             .agg(F.sort_array(F.collect_list(F.struct("position", "col_name", "grp", "likes"))).alias("cols")))
-
-    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for ds, cols in zip(pdf["dataset"], pdf["cols"]):
-                known = {(x["left"], c["col_name"]): x["ratio"] for c in cols for x in (c["likes"] if c["likes"] is not None else [])}
-                found = greedy_pairs(left, [(c["col_name"], c["grp"]) for c in cols], threshold, smart,
-                                     lambda a, b: known.get((a, b), 0.0))
-                rows += [(ds, *p) for p in found]
-            yield pd.DataFrame(rows, columns=["dataset", "kind", "left", "right", "score"])
-
-    ds_type = dict(references.dtypes)["dataset"]
-    return right.mapInPandas(
-        pair, f"dataset {ds_type}, kind string, `left` string, `right` string, score double")
+    names = _name_scores(left, references.select("col_name").distinct(), threshold, smart)
+    lists = (references.select("dataset", "position", "col_name").join(names, "col_name").groupBy("dataset")
+             .agg(F.sort_array(F.collect_list(F.struct("position", "col_name", "scores"))).alias("cols"))
+             .withColumn("cols", F.transform("cols", lambda c, at: F.struct(c["col_name"].alias("col_name"), c["scores"].alias("scores"), (-at).alias("back")))))
+
+    def choose(found: Column, i: Column) -> Column:
+        # highest score first, then the earlier column (``back`` is its place, negated)
+        free = F.filter("cols", lambda c: F.get(c["scores"], i).isNotNull() & ~F.exists(found, lambda f: f["back"] == c["back"]))
+        best = F.array_max(F.transform(free, lambda c: F.struct(i.alias("i"), F.get(c["scores"], i).alias("s"), c["back"].alias("back"))))
+        return F.concat(found, F.array_compact(F.array(best)))
+
+    none = F.array().cast("array<struct<i:int,s:double,back:int>>")
+    found = F.aggregate(F.array(*[F.lit(i) for i in range(len(left))]).cast("array<int>"), none, choose)
+    pair, s = lists.select("dataset", "cols", F.explode(found).alias("p")), F.col("p.s")
+    return pair.select(
+        "dataset", F.when(s == 3.0, "exact").when(s == 2.0, "semantic").otherwise("fuzzy").alias("kind"),
+        F.get(F.array(*[F.lit(n) for n, _ in left]), F.col("p.i")).alias("left"),
+        F.get("cols", -F.col("p.back"))["col_name"].alias("right"), F.when(s >= 2.0, 1.0).otherwise(s).alias("score"))
 
 
 def similarity(target: list[str], references: DataFrame, threshold: float = 0.7, smart: bool = True,

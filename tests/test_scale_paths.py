@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerwatch.operators import evaluate, keyed, ordering, patterns
+from ledgerwatch.operators import evaluate, keyed, matching, ordering, patterns
 from ledgerwatch.plans.base import events, lines, table
 
 
@@ -254,3 +254,21 @@ def test_binned_fold_metrics_equal_plain_counting(spark):
             assert r["roc_auc"] is None
     summary = evaluate.fold_summary(evaluate.binned_metrics(df, ["config", "fold"]), ["config"]).collect()
     assert {r["config"] for r in summary} == {1, 2, 3}
+
+
+def test_column_matching_keeps_data_sets_out_of_python(spark):
+    """Only distinct names reach Python; ties, repeated and missing positions and a missing data set choose as `greedy_pairs` does."""
+    rows = [(d, p, c) for d, cols in {"a": ["zips", "zapp", "CLIENT_ID", "customer_ref", "zip"], "b": ["ref_customer", "client_id", "amount", "montant"],
+                                      None: ["Tx_Amount", "qqq", "tx_amount"], "none": ["qqq"]}.items() for p, c in enumerate(cols)]
+    rows += [("a", 0, "zips"), ("b", None, "tx_amt"), ("b", 1, None)]
+    ref = spark.createDataFrame(rows, "dataset string, position long, col_name string")
+    target = ["tx_amount", "client_id", "customer_id", "zip", "zipp"]
+    pairs = matching.match_columns(target, ref)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan
+    grp = {x["col_name"]: x["grp"] for x in matching.with_groups(ref.select("col_name").unionByName(spark.createDataFrame([(c,) for c in target], "col_name string"))).collect()}
+    want = []
+    for d in ("a", "b", None, "none"):
+        cols = sorted(((-1 if p is None else p, c) for x, p, c in rows if x == d and c is not None))
+        want += [(d, *p) for p in matching.greedy_pairs([(c, grp[c]) for c in target], [(c, grp[c]) for _, c in cols])]
+    assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
