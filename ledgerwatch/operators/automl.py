@@ -45,10 +45,12 @@ def fit_table(df: DataFrame, key: str, label: str | None = None, params: dict |
     rows = encoded_label(rows, label, f"_{name}").withColumnRenamed(f"_{name}", name)
     used = columns.training_columns(rows.drop(key, name))
     rows = rows.select(key, name, *used)
-    trial = boosting.train(rows, name, key, params=params, seed=seed, measure=False)
+    layout = boosting.lay_out(rows, name, key, seed)  # both fits read the same rows in the same order
+    trial = boosting.train(rows, name, key, params=params, seed=seed, measure=False, layout=layout)
     ranked = selection.intelligent(trial.importances().withColumn("dataset", F.lit(label)), min_cumulative, min_features)
     use = [r["feature"] for r in ranked.orderBy("rank").select("feature").collect()]  # at most one row per feature
-    model = boosting.train(rows, name, key, trial.features, params, seed, use=use or None)
+    model = boosting.train(rows, name, key, trial.features, params, seed, use=use or None, layout=layout)
+    layout.release()
     return TableModel(model, label, {f.name: f.dataType.simpleString() for f in rows.select(*used).schema})
 
 

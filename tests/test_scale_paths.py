@@ -272,3 +272,27 @@ def test_column_matching_keeps_data_sets_out_of_python(spark):
         cols = sorted(((-1 if p is None else p, c) for x, p, c in rows if x == d and c is not None))
         want += [(d, *p) for p in matching.greedy_pairs([(c, grp[c]) for c in target], [(c, grp[c]) for _, c in cols])]
     assert sorted(map(tuple, pairs.collect()), key=str) == sorted(want, key=str)
+
+
+def test_training_rows_are_dealt_as_raw_columns_and_shared(spark, sf):
+    """No feature vector is shuffled or stored: the dealt rows hold columns of the table; two fits may share them, and
+    features that need a join are dealt after it into the same order."""
+    from ledgerwatch.operators import boosting, engineering
+    li = lines(spark, sf)
+    small = {"n_estimators": 3, "max_depth": 3}
+    feats = engineering.FittedFeatures([{"name": "q_log", "kind": "log", "a": "l_quantity"}], ["l_quantity", "l_discount", "l_linenumber"])
+    layout = boosting.lay_out(li, "is_fraud", "line_id", unread=["l_suppkey"])
+    assert set(layout.dealt.columns) == {*li.columns, "_fold"} - {"l_suppkey"}
+    assert layout.dealt.rdd.getNumPartitions() == layout.partitions == 1
+    counts = layout.dealt.where("is_fraud = 0").count(), layout.dealt.where("is_fraud = 1").count()
+    assert layout.weight == counts[0] / counts[1]
+    own = boosting.train(li, "is_fraud", "line_id", feats, small, measure=False)
+    shared = boosting.train(li, "is_fraud", "line_id", feats, small, measure=False, layout=layout)
+    stats = li.groupBy("l_suppkey").agg(F.count("*").alias("l_suppkey_tx_count"), F.avg("l_tax").alias("l_suppkey_avg_amount"))
+    joined = engineering.FittedFeatures(feats.steps, feats.inputs, customer="l_suppkey", stats=stats)
+    assert feats.by_row and not joined.by_row
+    use = feats.outputs
+    by_join = boosting.train(li.repartition(3), "is_fraud", "line_id", joined, small, measure=False, use=use)
+    body = lambda m: m.trees.toDebugString.split("\n", 1)[1]
+    assert body(own) == body(shared) == body(by_join)
+    layout.release()
