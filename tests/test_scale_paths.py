@@ -296,3 +296,20 @@ def test_training_rows_are_dealt_as_raw_columns_and_shared(spark, sf):
     body = lambda m: m.trees.toDebugString.split("\n", 1)[1]
     assert body(own) == body(shared) == body(by_join)
     layout.release()
+
+
+def test_roles_count_distinct_values_only_where_asked(spark, monkeypatch):
+    from ledgerwatch.operators import columns, engineering, profile
+    counted = []
+    real = profile.distinct_counts
+    for m in (profile, columns):
+        monkeypatch.setattr(m, "distinct_counts", lambda df, exact=True, cols=None: counted.extend(cols) or real(df, exact, cols))
+    df = spark.createDataFrame([(i, i * 1000, i % 7, 0.5 * i, float(i), "ab"[i % 2], f"t{i}", None) for i in range(60)],
+                               "serial long, broad long, bucket int, price double, meter double, flavour string, word string, hollow int")
+    assert engineering.column_roles(df) == {"id": ["serial", "broad", "meter", "word"], "numeric": ["bucket", "hollow"],
+                                            "amount": ["price"], "categorical": ["flavour"]}
+    assert sorted(counted) == ["broad", "flavour", "meter", "serial", "word"]
+    counted.clear()
+    assert columns.training_columns(df) == ["bucket", "price", "meter", "flavour", "hollow"]
+    assert sorted(counted) == ["broad", "flavour", "serial", "word"]
+    assert profile.unique_shares(df.limit(0), ["serial", "word"]) == {"serial": 0.0, "word": 0.0}
