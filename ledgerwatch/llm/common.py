@@ -60,6 +60,19 @@ class WordHashes:
         return np.array(out, dtype=np.uint64)
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the words of all texts in a row, number of words of each text): the hashes of WordHashes over `words`,
+    computed once per distinct word of the array."""
+    pieces = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat = pieces.flatten().dictionary_encode()
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.cast(pa.large_binary()).to_pylist()], dtype=np.uint64)
+    real = np.asarray(pc.binary_length(flat.dictionary)) > 0  # space at the ends of a text splits off empty pieces
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    kept = real[codes]
+    row = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(pieces)))
+    return hashes[codes[kept]], np.bincount(row[kept], minlength=len(texts))
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash, element by element."""
     h = h ^ (h >> np.uint64(30))
@@ -113,12 +126,22 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 
 def components(nodes: DataFrame, edges: DataFrame, every: int = 2) -> DataFrame:
-    """(node, component): smallest node reachable over undirected edges (a, b); nodes has `node`.
+    """(node, component): smallest node reachable over undirected edges (a, b); nodes has `node`."""
+    found = smallest_reachable(edges).select(F.col("a").alias("node"), "c")
+    return nodes.join(found, "node", "left").select("node", F.coalesce("c", "node").alias("component"))
+
+
+def smallest_reachable(edges: DataFrame) -> DataFrame:
+    """(a, c): for every node of the undirected edges (a, b) the smallest node it reaches.
 
     Alternates minimum over neighbours and pointer jumping, so the number of rounds grows with the
-    logarithm of the longest chain; every round is joins and one grouped minimum, every second
-    one is checkpointed. A node that has many edges is pre-aggregated before its shuffle.
+    logarithm of the longest chain; every round is joins and one grouped minimum and is
+    checkpointed. A node that has many edges is pre-aggregated before its shuffle. Up to LOCAL_EDGES edges
+    the rounds would be many jobs over next to no rows: one task joins them.
     """
+    if edges.count() <= LOCAL_EDGES:
+        kind = dict(edges.dtypes)["a"]
+        return edges.select("a", "b").coalesce(1).mapInArrow(_joined, f"a {kind}, c {kind}")
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = settled(both.filter("a <> b").distinct())
     label = settled(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("c")))
@@ -134,11 +157,29 @@ def components(nodes: DataFrame, edges: DataFrame, every: int = 2) -> DataFrame:
         changed = new.filter("c < old").limit(1).count()
         label = new.select("a", "c")
         if not changed:
-            break
-    return (nodes.join(label.select(F.col("a").alias("node"), "c"), "node", "left")
-            .select("node", F.coalesce("c", "node").alias("component")))
+            return label
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node of its component) of every node of the edges."""
+    root, kind = {}, None
+
+    def top(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for b in batches:
+        kind = b.column(0).type
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = top(root.setdefault(x, x)), top(root.setdefault(y, y))
+            root[max(x, y)] = min(x, y)
+    if root:
+        yield pa.RecordBatch.from_arrays([pa.array(list(root), kind), pa.array([top(x) for x in root], kind)], names=["a", "c"])
 
 
+#: Edges up to which one task joins them (some 30 MB).
+LOCAL_EDGES = 200_000
 #: Narrow sides up to so many rows are sent to every executor (16 to 32 bytes a row).
 BROADCAST_ROWS = 300_000
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import WordHashes, arrow_rows, bounded, components, fresh, mix, settled, signed, window_hashes, words, written
+from ledgerwatch.llm.common import BROADCAST_ROWS, arrow_rows, bounded, fresh, mix, settled, signed, smallest_reachable, window_hashes, word_hashes, words, written
 
 WORDS = 5
 #: Similarity as a fraction: NUMERATOR / DENOMINATOR.
@@ -83,12 +83,10 @@ class Outline:
     """Segments of one set, prepared once for all bands."""
 
     def __init__(self, h: np.ndarray):
-        h = np.unique(h)
-        self.n = len(h)
-        place = mix(h ^ np.uint64(0x5851F42D4C957F2D))
-        order = np.argsort(place)
-        self.place = place[order] >> np.uint64(32)
-        self.value = mix(h[order] + np.uint64(0x14057B7EF767814F))
+        place = np.unique(mix(h ^ np.uint64(0x5851F42D4C957F2D)))  # mix is one to one
+        self.n = len(place)
+        self.place = place >> np.uint64(32)
+        self.value = mix(place + np.uint64(0x14057B7EF767814F))
         self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value, dtype=np.uint64)])
         self.cuts: dict[int, tuple] = {}
 
@@ -139,9 +137,10 @@ class Outline:
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    of_word = WordHashes()
-    for b in arrow_rows(batches):
-        yield b, [window_hashes(of_word(words(t)), WORDS) for t in b.column(1).to_pylist()]
+    for b in arrow_rows(batches, size=4 << 20):
+        h, count = word_hashes(b.column(1))
+        end = np.cumsum(count)
+        yield b, [window_hashes(h[e - n:e], WORDS) for n, e in zip(count, end, strict=True)]
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,12 +265,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts link; docs has (doc, text)."""
-    ends = settled(pairs.select(F.col("a").alias("doc"), "a", "b", F.lit(0).alias("side"))
-                   .union(pairs.select(F.col("b").alias("doc"), "a", "b", F.lit(1).alias("side"))))
+    """The pairs (a, b) whose texts link; docs has (doc, text), the pairs are settled."""
+    ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("doc"), F.lit(0).alias("side")),
+                                                    F.struct(F.col("b").alias("doc"), F.lit(1).alias("side")))).alias("x")).select("x.doc", "a", "b", "x.side")
     kind = dict(docs.dtypes)["doc"]
-    ids = settled(ends.select("doc").distinct())
-    met = docs.join(bounded(ids), "doc", "left_semi").join(ends, "doc").select("a", "b", "side", "text")
+    if 2 * pairs.count() <= BROADCAST_ROWS:
+        met = docs.join(F.broadcast(ends), "doc")
+    else:
+        ids = settled(ends.select("doc").distinct())
+        met = docs.join(bounded(ids), "doc", "left_semi").join(ends, "doc")
+    met = met.select("a", "b", "side", "text")
     return settled(met.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_verify, f"a {kind}, b {kind}"))
 
 
@@ -284,23 +287,31 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     equal = real.groupBy("n", "low", "high").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).filter("c > 1")
     # equal sets are one class from the start; an id with several sets joins their classes
     firsts = real.join(equal, ["n", "low", "high"], "left").select(F.col("doc").alias("node"), F.coalesce("rep", "doc").alias("rep"))
+    # labels name the documents that are not the smallest of their class, so they are few and mostly broadcast
+    label = settled(firsts.groupBy("node").agg(F.min("rep").alias("component"), F.max("rep").alias("other")).filter("component < node"))
+    several = label.filter("component < other").select("node", F.col("component").alias("a"))
+    copies = label.filter("component = other").select(F.col("node").alias("doc"))
 
-    # the index: buckets of more than one document, each member beside the bucket's smallest
+    # the index: buckets of more than one document, each member beside the bucket's smallest; the smallest of equal sets
+    # stands for them all
     texts = rows.filter("doc is not null")
+    if copies.count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(copies), "doc", "left_anti").select("doc", "text")
     bucket = Window.partitionBy("sig")
     index = (texts.mapInArrow(_index, f"sig bigint, doc {kind}")
              .withColumns({"hub": F.min("doc").over(bucket), "c": F.count("*").over(bucket)})
              .filter("c > 1 and doc <> hub"))
     shared = written(index.select("sig", "doc", "hub", F.col("c").cast("int").alias("c")))
-    met = settled(shared.groupBy("doc", "hub", (F.col("sig") % 2 != 0).alias("odd")).agg(F.count("*").alias("k")))
+    odd = (F.col("sig") % 2 != 0).cast("int")
+    met = settled(shared.groupBy("doc", "hub").agg(F.sum(1 - odd).alias("even"), F.sum(odd).alias("odd")))
 
     # first round: everybody against the hub that it meets most often
-    label = settled(firsts.groupBy("node").agg(F.min("rep").alias("component"), F.max("rep").alias("other")))
-    several = label.filter("component <> other").select("node", "component")
-    label = _relabelled(label.select("node", "component"), firsts.join(several, "node").select(F.col("component").alias("a"), F.col("rep").alias("b")))
-    sized = met.groupBy("doc", "hub").agg(F.sum("k").alias("k"))
-    best = sized.groupBy("doc").agg(F.max(F.struct("k", (-F.col("hub")).alias("h"), "hub"))["hub"].alias("hub"))
-    apart = _with_labels(best, label).filter("ca <> cb").select(F.col("doc").alias("a"), F.col("hub").alias("b"))
+    label = label.filter("component < node").select("node", "component")
+    if not several.isEmpty():
+        label = _relabelled(label, settled(firsts.join(several, "node").select("a", F.col("rep").alias("b")).filter("a <> b")))
+        label = settled(label.distinct())  # an id with several sets may name the class of one of them
+    best = met.groupBy("doc").agg(F.max(F.struct((F.col("even") + F.col("odd")).alias("k"), (-F.col("hub")).alias("h"), "hub"))["hub"].alias("hub"))
+    apart = settled(_with_labels(best, label).filter("ca <> cb").select(F.col("doc").alias("a"), F.col("hub").alias("b")))
     label = _merged(label, verified(texts, apart))
 
     # later: documents that still meet other classes in more buckets than they may leave unprobed
@@ -309,7 +320,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     allowed = one.select("doc", F.explode(F.array(
         F.struct((F.col("band") % 2 != 0).alias("odd"), F.col("own").alias("spare")),
         F.struct((F.col("band") % 2 == 0).alias("odd"), F.col("next").alias("spare")))).alias("x")).select("doc", "x.*")
-    loud = _with_labels(met, label).filter("ca <> cb").groupBy("doc", "odd").agg(F.sum("k").alias("loud"))
+    loud = _with_labels(met, label).filter("ca <> cb").groupBy("doc").agg(F.sum("even").alias("even"), F.sum("odd").alias("odd"))
+    loud = loud.select("doc", F.explode(F.array(*(F.struct(F.lit(c == "odd").alias("odd"), F.col(c).alias("loud")) for c in ("even", "odd")))).alias("x")).select("doc", "x.*")
     open_ = settled(loud.join(allowed, ["doc", "odd"]).filter("loud > spare"))
     if not open_.isEmpty():
         near = written(_probed(shared, open_, real, label))
@@ -327,27 +339,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _with_labels(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs (doc, hub, ...) with the classes ca and cb of both."""
+    label = bounded(label)
     a = label.select(F.col("node").alias("doc"), F.col("component").alias("ca"))
     b = label.select(F.col("node").alias("hub"), F.col("component").alias("cb"))
-    return pairs.join(a, "doc").join(b, "hub")
+    return pairs.join(a, "doc", "left").join(b, "hub", "left").withColumns({"ca": F.coalesce("ca", "doc"), "cb": F.coalesce("cb", "hub")})
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     """Labels after the links (a, b): components of the classes that they join."""
-    if links.isEmpty():
-        return label
     met = _with_labels(links.select(F.col("a").alias("doc"), F.col("b").alias("hub")), label)
-    return _relabelled(label, met.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    return _relabelled(label, settled(met.filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
 
 
 def _relabelled(label: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Labels after the classes (a, b) of every pair became one."""
-    joined = settled(pairs.filter("a <> b").distinct())
-    if joined.isEmpty():
+    """Labels after the classes (a, b) of every settled pair became one."""
+    if pairs.isEmpty():
         return label
-    found = components(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct(), joined)
-    return settled(label.join(found.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
-                   .select("node", F.coalesce("to", "component").alias("component")))
+    found = settled(smallest_reachable(pairs).filter("a <> c"))
+    old = label.join(bounded(found).select(F.col("a").alias("component"), F.col("c").alias("to")), "component", "left")
+    return settled(old.select("node", F.coalesce("to", "component").alias("component")).union(found.select("a", "c")))
 
 
 def _probed(shared: DataFrame, open_: DataFrame, real: DataFrame, label: DataFrame) -> DataFrame:
@@ -362,7 +372,8 @@ def _probed(shared: DataFrame, open_: DataFrame, real: DataFrame, label: DataFra
                .union(sigs.select("sig", F.col("hub").alias("doc"), "blocks")).select("sig", each, F.lit(1).alias("side"), "doc"))
     asking = (probes.join(bounded(sigs.select("sig", "blocks")), "sig")
               .select("sig", F.pmod(F.hash("doc"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("side"), "doc"))
-    facts = real.select("doc", "n", "sketch").distinct().join(label.withColumnRenamed("node", "doc"), "doc")
+    facts = (real.select("doc", "n", "sketch").distinct().join(bounded(label).withColumnRenamed("node", "doc"), "doc", "left")
+             .withColumn("component", F.coalesce("component", "doc")))
     rows = members.union(asking).join(facts, "doc").select("sig", "block", "side", "doc", "n", "component", "sketch")
     kind = dict(shared.dtypes)["doc"]
     met = rows.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").mapInArrow(_near, f"a {kind}, b {kind}, d int")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,44 @@ def test_leaks_by_shuffle_equal_leaks_by_broadcast(spark, sf, monkeypatch):
     want = {(r["doc_id"], i) for r in docs.collect() for i, x in items if x in plain(r["text"])}
     assert {(d, i) for d, i, *_ in one} == want and want
     assert docs.filter(F.col("doc_id").isin([d for d, _ in want])).count() == len({d for d, _ in want})
+
+
+def test_classes_take_few_jobs(spark):
+    """Small graphs are joined by one task and labels by broadcast: every job costs the driver memory."""
+    sc, rows = spark.sparkContext, near_copies()
+    sc.setJobGroup("few-jobs", "classes")
+    try:
+        got = ngram_jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        jobs = len(sc.statusTracker().getJobIdsForGroup("few-jobs"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["doc_id"]: r["component_id"] for r in got} == cases.classes(rows)
+    assert jobs <= 150, jobs
+
+
+def test_many_edges_by_rounds_equal_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(260)], "a long, b long")
+    nodes = spark.range(400).withColumnRenamed("id", "node")
+    small = sorted(map(tuple, common.components(nodes, edges).collect()))
+    monkeypatch.setattr(common, "LOCAL_EDGES", 0)
+    assert sorted(map(tuple, common.components(nodes, edges).collect())) == small
+
+
+def test_wide_tables_by_shuffle_equal_broadcast(spark, monkeypatch):
+    """Labels, copies and ends of pairs above the broadcast bound, ids that repeat with other texts, graphs by rounds."""
+    rows = near_copies()[::3]
+    rows += [(i + 5000, t) for i, t in rows[::7]] + [(i, rows[0][1]) for i, _ in rows[:3]]
+    for module in (common, ngram_jaccard):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common.bounded, "__defaults__", (0,))
+    monkeypatch.setattr(common, "LOCAL_EDGES", 0)
+    got = ngram_jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r["doc_id"]: r["component_id"] for r in got} == cases.classes(rows)
+
+
+def test_word_hashes_of_an_array_equal_those_of_words():
+    texts = ["a  B\tc\x0b\x0cÜ É \x1c x\x85y", " lead trail ", None, "", " \n", "ÀB ſK K", "x" * 50 + "   y　z"]
+    h, count = common.word_hashes(pa.array(["cut", *texts]).slice(1))
+    assert list(count) == [len(common.words(t)) for t in texts]
+    assert (h == np.concatenate([common.WordHashes()(common.words(t)) for t in texts])).all()
