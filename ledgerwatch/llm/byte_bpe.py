@@ -231,7 +231,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value, pattern)
-        for b in arrow_rows(batches):
+        for b in arrow_rows(batches, size=4 << 20):  # the ids of a batch take some ten times its text
             ids, per = encoder(b.column(1).to_pylist())
             ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])

@@ -141,6 +141,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         h, count = word_hashes(b.column(1))
         end = np.cumsum(count)
         yield b, [window_hashes(h[e - n:e], WORDS) for n, e in zip(count, end, strict=True)]
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
