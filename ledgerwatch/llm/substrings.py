@@ -14,14 +14,15 @@ the neighbour it might have paired with; the edge of a document is a dependency
 every window. A block is *interior* to a window when all words it depended on lie inside the window;
 such a block appears with the same name and offset in every occurrence of that window.
 
-Spark then finds, per symbol of the chosen level, the smallest document holding it (grouped with a
-map-side minimum, so a passage held by thousands of documents reaches its reducer as one row per
-task) and joins that back to the blocks that can be interior (their dependencies span at most one
-window). A window can repeat from a smaller document only if every interior block also occurs in a
-smaller document (when it has no interior block it is always a candidate), so only candidate windows
-are hashed (128 bits) and verified: smallest document per window hash (map-side minimum again), joined
-to the candidate windows (adaptive execution splits a hot hash), and only documents with removed words
-read their text a last time.
+Every window is represented by one block interior to it: the one whose name in context, a hash of all words
+the block depended on, is smallest (a window without interior block represents itself by the hash of its
+words). Equal windows have equal interior blocks and so the same representative name. The tasks hand on each
+document's distinct representative names, about one for four words; Spark finds the smallest and largest document
+of every name in one shuffle by name. Only windows whose representative occurs in two documents are verified: the
+documents join their repeated names, a task sends the hashes of the windows of one representative as one row, and
+the smallest document per (name, window hash), 128 bits together, decides. The texts are shuffled once: the join
+with the names and the last join with the removed windows read the same exchange. Nothing else is written.
+Rows of one name meet in one sorted, spillable task, at most one row (and `width` window hashes) per document.
 
 Defined cases: a null text has no words; a document with fewer than `width` words has no window and
 keeps everything; a null doc_id is neither smaller nor larger than any id, so its document neither
@@ -37,16 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows, mix, written
+from ledgerwatch.llm.common import arrow_rows, gather, mix, signed
 
 WIDTH = 13
 #: Level of the symbols whose documents Spark looks up (0: words).
 LEVEL = 2
 P1 = np.uint64(0x9E3779B97F4A7C15)
 P2 = np.uint64(0xC2B2AE3D27D4EB4F)
+P1_INVERSE = np.uint64(pow(int(P1), -1, 1 << 64))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -107,105 +109,100 @@ class Parse:
         return Parse(sym, self.start[f], end, lo, hi)
 
 
-def parse(ws: list[bytes], level: int) -> Parse:
-    p = Parse.of_words(ws)
+def refined(p: Parse, level: int, n_words: int) -> Parse:
     for k in range(level):
-        p = p.runs(len(ws)).pairs(k, len(ws))
+        p = p.runs(n_words).pairs(k, n_words)
     return p
 
 
+def parse(ws: list[bytes], level: int) -> Parse:
+    return refined(Parse.of_words(ws), level, len(ws))
+
+
 def useful(p: Parse, width: int, n_words: int) -> np.ndarray:
     """Blocks that can be interior to some window: their dependencies fit in one window of the text."""
     return (p.lo >= 0) & (p.hi < n_words) & (p.hi - p.lo + 1 <= width)
 
 
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
-
-
-def _blocks(level: int, width: int, id_col: str, text: str):
-    """Per row: (doc, th, block, sym) of every block that can be interior; null ids give none."""
+def contexts(h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hashes of the words lo to hi (inclusive), from prefix sums of word hashes times powers of an odd number."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(np.full(len(h), P1)))])
+    back = np.cumprod(np.full(len(h), P1_INVERSE))
+    return mix((sums[hi + 1] - sums[lo]) * back[lo] + (hi - lo + 1).astype(np.uint64) * P2)
+
+
+def representatives(ws: list[bytes], level: int, width: int) -> np.ndarray:
+    """Name of the representative of every window: the smallest of its interior blocks, or of itself without one."""
+    n = len(ws) - width + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    words_ = Parse.of_words(ws)
+    p = refined(words_, level, len(ws))
+    k = np.flatnonzero(useful(p, width, len(ws)))
+    lo, hi = p.lo[k], p.hi[k]
+    name = contexts(words_.sym, lo, hi)
+    order = np.argsort(name)[::-1]  # the smallest name of a window is written last
+    first = np.maximum(hi - width + 1, 0)[order]
+    count = np.minimum(lo, n - 1)[order] - first + 1
+    at = gather(np.arange(n), first, count)
+    out, have = np.zeros(n, np.uint64), np.zeros(n, bool)
+    out[at], have[at] = np.repeat(name[order], count), True
+    bare = np.flatnonzero(~have)
+    out[bare] = contexts(words_.sym, bare, bare + width - 1)
+    return out
+
+
+def _names(level: int, width: int):
+    """Per row: (doc, th, name) of every distinct representative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in arrow_rows(batches, text=text):
-            ids, texts, keys = b.column(id_col).to_pylist(), b.column(text).to_pylist(), b.column("th").to_pylist()
-            docs, ths, blocks, syms = [], [], [], []
-            for i, t, th in zip(ids, texts, keys):
-                if i is None:
-                    continue
-                ws = words(t)
-                p = parse(ws, level)
-                k = np.flatnonzero(useful(p, width, len(ws)))
-                docs.append(np.full(len(k), i, dtype=np.int64))
-                ths.append(np.full(len(k), th, dtype=np.int64))
-                blocks.append(k)
-                syms.append(signed(p.sym[k]))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(ths)),
-                                                  pa.array(np.concatenate(blocks).astype(np.int32)), pa.array(np.concatenate(syms))],
-                                                 names=["doc", "th", "block", "sym"])
+        for b in arrow_rows(batches, size=4 << 20):
+            found = [np.unique(representatives(words(t), level, width)) for t in b.column(2).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(signed(np.concatenate(found)))], names=["doc", "th", "name"])
 
     return run
 
 
-def candidates(p: Parse, n_words: int, width: int, shared: dict[int, int], doc: int) -> tuple[np.ndarray, np.ndarray]:
-    """(source, target) flags per window: every interior block occurs in another (source) or in a smaller
-    (target) document; a window without interior blocks is both."""
-    n = max(0, n_words - width + 1)
-    src, tgt = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-    k = np.flatnonzero(useful(p, width, n_words))
-    for j in k:  # interior to windows s with hi - width + 1 <= s <= lo
-        a, b = max(0, int(p.hi[j]) - width + 1), min(n - 1, int(p.lo[j]))
-        if a > b:
-            continue
-        lo = shared.get(int(j))
-        if lo is None:
-            src[a:b + 1] = False
-            tgt[a:b + 1] = False
-        elif not lo < doc:
-            tgt[a:b + 1] = False
-    return src, tgt
-
-
-def _windows(level: int, width: int, id_col: str, text: str, marks: str):
-    """Per document: (h1, h2, doc, th, pos, target) of every candidate window."""
+def _windows(level: int, width: int):
+    """Per run of windows with one repeated representative: (name, doc, th, target, pos, hashes of the windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in arrow_rows(batches, text=text):
-            ids, texts, ms = b.column(id_col).to_pylist(), b.column(text).to_pylist(), b.column(marks).to_pylist()
-            keys = b.column("th").to_pylist()
-            out = {"h1": [], "h2": [], "doc": [], "th": [], "pos": [], "target": []}
-            for i, t, m, th in zip(ids, texts, ms, keys):
-                if i is None:
-                    continue
+        for b in arrow_rows(batches, rows=1024, size=4 << 20):
+            row, names, targets, pos, hashes, length = [], [], [], [], [], []
+            for r, (t, below, above) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text", "below", "above")), strict=True)):
                 ws = words(t)
-                if len(ws) < width:
-                    continue
-                p = parse(ws, level)
-                shared = {int(x["block"]): int(x["lo"]) for x in (m or [])}
-                src, tgt = candidates(p, len(ws), width, shared, i)
-                pos = np.flatnonzero(src)
-                if not len(pos):
+                rep = representatives(ws, level, width)
+                known = np.array(below + above, dtype=np.int64).view(np.uint64)
+                order = np.argsort(known)
+                at = np.minimum(np.searchsorted(known[order], rep), len(known) - 1)
+                s = np.flatnonzero(known[order][at] == rep)
+                if not len(s):
                     continue
-                h1, h2 = window_hashes_at(ws, width, pos)
-                out["h1"].append(h1)
-                out["h2"].append(h2)
-                out["doc"].append(np.full(len(pos), i, dtype=np.int64))
-                out["th"].append(np.full(len(pos), th, dtype=np.int64))
-                out["pos"].append(pos.astype(np.int32))
-                out["target"].append(tgt[pos])
-            if out["doc"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[k])) for k in out], names=list(out))
+                cut = np.flatnonzero(np.concatenate([[True], (np.diff(s) > 1) | (rep[s][1:] != rep[s][:-1])]))
+                row.append(np.full(len(cut), r))
+                names.append(rep[s[cut]])
+                targets.append(order[at[s[cut]]] < len(below))
+                pos.append(s[cut])
+                length.append(np.diff(np.append(cut, len(s))))
+                hashes += window_hashes_at(ws, width, s)
+            if not row:
+                continue
+            take = pa.array(np.concatenate(row))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate(length))), pa.int32()), pa.array(signed(np.array(hashes, dtype=np.uint64))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(np.concatenate(names))), b.column(0).take(take), b.column(1).take(take), pa.array(np.concatenate(targets)),
+                 pa.array(np.concatenate(pos).astype(np.int32)), lists], names=["name", "doc", "th", "target", "pos", "hashes"])
 
     return run
 
 
-def window_hashes_at(ws: list[bytes], width: int, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    h1, h2 = np.zeros(len(pos), dtype=np.uint64), np.zeros(len(pos), dtype=np.uint64)
-    for j, s in enumerate(pos.tolist()):
-        v = xxhash.xxh3_128_intdigest(b" ".join(ws[s:s + width]))
-        h1[j], h2[j] = v >> 64, v & 0xFFFFFFFFFFFFFFFF
-    return h1.view(np.int64), h2.view(np.int64)
+def window_hashes_at(ws: list[bytes], width: int, pos: np.ndarray) -> list[int]:
+    """64-bit hashes of the words of the windows, joined by one space."""
+    line = memoryview(b" ".join(ws))
+    end = np.cumsum([len(w) + 1 for w in ws]) - 1
+    start = np.append(0, end[:-1] + 1)
+    return [xxhash.xxh3_64_intdigest(line[a:b]) for a, b in zip(start[pos].tolist(), end[pos + width - 1].tolist(), strict=True)]
 
 
 def kept_words(ws: list[bytes], starts: list[int], width: int) -> tuple[list[bytes], int]:
@@ -241,25 +238,28 @@ def rows(df: DataFrame, id_col: str, text: str) -> DataFrame:
                      F.col(text).alias("text"))
 
 
-def removed_starts(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, level: int = LEVEL) -> DataFrame:
-    """(doc, th, starts): first words of the windows of each row that repeat from a smaller doc_id."""
-    docs = rows(df, id_col, text)
-    blocks = written(docs.mapInArrow(_blocks(level, width, "doc", "text"), "doc long, th long, block int, sym long"))
-    first = blocks.groupBy("sym").agg(F.min("doc").alias("lo"), F.max("doc").alias("top")).filter("lo < top").select("sym", "lo")
-    marks = (blocks.join(first, "sym").groupBy("doc", "th")
-             .agg(F.collect_list(F.struct("block", "lo")).alias("marks")))
-    # marks are lists that grow with a document's repeats: a shuffle join (adaptive execution broadcasts it
-    # only when its measured size is small)
-    with_marks = docs.join(marks, ["doc", "th"], "left")
-    cand = written(with_marks.mapInArrow(_windows(level, width, "doc", "text", "marks"),
-                                         "h1 long, h2 long, doc long, th long, pos int, target boolean"))
-    smallest = cand.groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-    hits = cand.filter("target").join(smallest, ["h1", "h2"]).filter("first < doc")
-    return hits.groupBy("doc", "th").agg(F.collect_list("pos").alias("starts"))
+def removed_starts(docs: DataFrame, width: int = WIDTH, level: int = LEVEL) -> DataFrame:
+    """(doc, th, starts): first words of the windows of each of `rows` that repeat from a smaller doc; doc is not null."""
+    same = Window.partitionBy("name")
+    names = docs.mapInArrow(_names(level, width), "doc long, th long, name long")
+    shared = names.withColumns({"lo": F.min("doc").over(same), "top": F.max("doc").over(same)}).filter("lo < top")
+    smaller = F.col("lo") < F.col("doc")
+    marks = shared.groupBy("doc", "th").agg(F.collect_list(F.when(smaller, F.col("name"))).alias("below"),
+                                            F.collect_list(F.when(~smaller, F.col("name"))).alias("above"))
+    # marks are lists that grow with a document's repeats: a shuffle join, whose exchange of the texts `report` reads again
+    found = docs.join(marks, ["doc", "th"]).mapInArrow(
+        _windows(level, width), "name long, doc long, th long, target boolean, pos int, hashes array<bigint>")
+    each = found.repartition("name").select("name", "doc", "th", "target", "pos", F.posexplode("hashes").alias("k", "h"))
+    first = F.min("doc").over(Window.partitionBy("name", "h"))
+    hits = each.withColumn("first", first).filter("target and first < doc")
+    return hits.groupBy("doc", "th").agg(F.collect_list(F.col("pos") + F.col("k")).alias("starts"))
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, level: int = LEVEL) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every input row."""
-    starts = removed_starts(df, id_col, text, width, level)
-    joined = rows(df, id_col, text).join(starts, ["doc", "th"], "left")
-    return joined.mapInArrow(_final(width, "doc", "text", "starts"), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    all_ = rows(df, id_col, text)
+    docs = all_.filter("doc is not null")
+    joined = docs.join(removed_starts(docs, width, level), ["doc", "th"], "left")
+    alone = all_.filter("doc is null").withColumn("starts", F.lit(None).cast("array<int>"))
+    made = [x.mapInArrow(_final(width, "doc", "text", "starts"), "doc_id long, n_words long, n_removed long, kept_sha256 string") for x in (joined, alone)]
+    return made[0].unionByName(made[1])

@@ -227,3 +227,27 @@ def test_substrings_empty_and_short(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, None), (3, "")], "doc_id long, text string")
     assert sorted(tuple(r) for r in substrings.report(df).collect()) == brute_substrings([(1, "a b c"), (2, None), (3, "")])
     assert substrings.report(df.limit(0)).count() == 0
+
+
+def test_representatives_are_the_same_for_equal_windows():
+    rng = random.Random(3)
+    names = {}
+    for size in (1, 2, 4, 30):
+        vocab = [b"w%d" % k for k in range(size)]
+        for _ in range(60):
+            ws = [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+            found = substrings.representatives(ws, substrings.LEVEL, 13)
+            assert len(found) == max(0, len(ws) - 12)
+            for s, name in enumerate(found.tolist()):
+                assert names.setdefault(tuple(ws[s:s + 13]), name) == name
+    ws = [b"v%d" % rng.randrange(10_000) for _ in range(20_000)]
+    assert len(np.unique(substrings.representatives(ws, substrings.LEVEL, 13))) < len(ws) / 2  # of 11,250 blocks
+
+
+def test_substrings_shuffle_the_texts_once(spark):
+    words = [f"w{k}" for k in range(40)]
+    df = spark.createDataFrame([(k, " ".join(words[k % 7:] * 2)) for k in range(60)], "doc_id long, text string").repartition(4)
+    found = substrings.report(df)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and "collect_list(struct" not in plan
