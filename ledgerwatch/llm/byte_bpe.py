@@ -28,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows, gather
+from ledgerwatch.llm.common import arrow_rows, gather, released, small_batches
 
 VOCABULARY_BYTES = 32 << 20
 LONG = 1024
 CELLS = 1 << 20
-PIECES = 300_000
+PIECES = 150_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -236,7 +236,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
             ends = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))], names=["doc_id", "ids"])
 
-    return narrow.mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    small_batches(docs.sparkSession)
+    return narrow.mapInArrow(released(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -262,7 +263,7 @@ def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 binary = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(length.tobytes()), pa.py_buffer(data)])
                 yield pa.RecordBatch.from_arrays([b.column(0), column, binary], names=["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded binary")
+    return tokens.select("doc_id", "ids").mapInArrow(released(run), f"doc_id {kind}, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerwatch.session import cut_lineage
@@ -116,6 +118,29 @@ def arrow_rows(batches: Iterator[pa.RecordBatch], rows: int = 4096, text: str =
             yield b.slice(start)
 
 
+def released(run: Callable) -> Callable:
+    """The task function, which hands unused memory back at its end: the worker lives on, idle or in another stage."""
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim is not None:
+            trim(0)
+    return task
+
+
+#: Bytes of rows that Spark hands a Python worker at a time; each batch lies in the executor and in the worker, going and coming.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch where the session sets no bound (Spark's own: 64 MB, or 10,000 whole texts)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: read again after the loss of an executor, not computed again."""
     return cut_lineage(df)

@@ -19,20 +19,23 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows, fresh, gather
+from ledgerwatch.llm.common import arrow_rows, fresh, gather, released, small_batches
 
 RANKS = 400
 GRAM = 3
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Distinct words or n-grams that a worker holds before it passes its partial counts on.
+#: Distinct words that a worker holds before it passes its partial counts on.
 HELD = 300_000
+#: Distinct words or n-grams that a scorer remembers (some 500 bytes each, with the n-grams of the word).
+REMEMBERED = 150_000
 
 
 def grams(word: str) -> list[str]:
@@ -45,12 +48,12 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["lang", "word", "n"]
 
     def flush():
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+        rows = ((lang, w, n) for lang, c in counts.items() for w, n in c.items())
+        while part := list(islice(rows, 50_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], names=names)
         counts.clear()
-        for k in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[k:k + 50_000], strict=True)], names=names)
 
-    for b in arrow_rows(batches):
+    for b in arrow_rows(batches, size=4 << 20):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
         if sum(map(len, counts.values())) > HELD:
@@ -72,9 +75,10 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(rows: DataFrame, ranks: int = RANKS) -> dict[str, list[str]]:
     """Profiles by language from rows (lang, text)."""
     use = rows.select("lang", "text").filter("lang is not null and text is not null")
-    words = (use.mapInArrow(_word_counts, "lang string, word string, n bigint")
+    small_batches(rows.sparkSession)
+    words = (use.mapInArrow(released(_word_counts), "lang string, word string, n bigint")
              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    counted = words.mapInArrow(_gram_counts, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = words.mapInArrow(released(_gram_counts), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = counted.withColumn("r", order).filter(F.col("r") <= ranks).orderBy("lang", "r").collect()
     found: dict[str, list[str]] = {}
@@ -143,7 +147,7 @@ class Scorer:
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.langs:
             return UNKNOWN, 0.0
-        if len(self.words) > HELD or len(self.ids) > HELD:
+        if len(self.words) > REMEMBERED or len(self.ids) > REMEMBERED:
             self.reset()
         counts = Counter(LETTERS.findall(text.lower()))
         if not counts:
@@ -180,9 +184,10 @@ def predict(docs: DataFrame, profiles: dict[str, list[str]], text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(profiles)
-        for b in arrow_rows(batches, text=text):
+        for b in arrow_rows(batches, text=text, size=4 << 20):
             found = [scorer(t) for t in b.column(at).to_pylist()]
             made = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(b.columns[:at] + made, names=[*b.schema.names[:at], lang_name, score_name])
 
-    return frame.mapInArrow(run, schema)
+    small_batches(docs.sparkSession)
+    return frame.mapInArrow(released(run), schema)

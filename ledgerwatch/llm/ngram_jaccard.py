@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import BROADCAST_ROWS, arrow_rows, bounded, fresh, mix, settled, signed, smallest_reachable, window_hashes, word_hashes, words, written
+from ledgerwatch.llm.common import BROADCAST_ROWS, arrow_rows, bounded, fresh, mix, released, settled, signed, small_batches, smallest_reachable, window_hashes, word_hashes, words, written
 
 WORDS = 5
 #: Similarity as a fraction: NUMERATOR / DENOMINATOR.
@@ -141,7 +141,6 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         h, count = word_hashes(b.column(1))
         end = np.cumsum(count)
         yield b, [window_hashes(h[e - n:e], WORDS) for n, e in zip(count, end, strict=True)]
-    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +250,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return key is not None and any(linked(x, y) for x in sides[0] for y in sides[1])
 
     kind = None
-    for b in arrow_rows(batches):
+    for b in arrow_rows(batches, size=4 << 20):
         kind, out = b.column(0).type, []
         for a, c, side, text in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
             if (a, c) != key:
@@ -276,14 +275,15 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         ids = settled(ends.select("doc").distinct())
         met = docs.join(bounded(ids), "doc", "left_semi").join(ends, "doc")
     met = met.select("a", "b", "side", "text")
-    return settled(met.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(_verify, f"a {kind}, b {kind}"))
+    return settled(met.repartition("a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(released(_verify), f"a {kind}, b {kind}"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc"]
-    known = written(rows.mapInArrow(_describe, f"doc {kind}, n bigint, low bigint, high bigint, band int, spare array<int>, sketch binary"))
+    known = written(rows.mapInArrow(released(_describe), f"doc {kind}, n bigint, low bigint, high bigint, band int, spare array<int>, sketch binary"))
     real = known.filter("doc is not null and n > 0")
     equal = real.groupBy("n", "low", "high").agg(F.min("doc").alias("rep"), F.count("*").alias("c")).filter("c > 1")
     # equal sets are one class from the start; an id with several sets joins their classes
@@ -299,7 +299,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if copies.count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(copies), "doc", "left_anti").select("doc", "text")
     bucket = Window.partitionBy("sig")
-    index = (texts.mapInArrow(_index, f"sig bigint, doc {kind}")
+    index = (texts.mapInArrow(released(_index), f"sig bigint, doc {kind}")
              .withColumns({"hub": F.min("doc").over(bucket), "c": F.count("*").over(bucket)})
              .filter("c > 1 and doc <> hub"))
     shared = written(index.select("sig", "doc", "hub", F.col("c").cast("int").alias("c")))
@@ -377,7 +377,7 @@ def _probed(shared: DataFrame, open_: DataFrame, real: DataFrame, label: DataFra
              .withColumn("component", F.coalesce("component", "doc")))
     rows = members.union(asking).join(facts, "doc").select("sig", "block", "side", "doc", "n", "component", "sketch")
     kind = dict(shared.dtypes)["doc"]
-    met = rows.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").mapInArrow(_near, f"a {kind}, b {kind}, d int")
+    met = rows.repartition("sig", "block").sortWithinPartitions("sig", "block", "side").mapInArrow(released(_near), f"a {kind}, b {kind}, d int")
     return met.groupBy("a", "b").agg(F.min("d").alias("d"))
 
 

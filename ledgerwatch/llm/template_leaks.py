@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerwatch.llm.common import arrow_rows, bounded, fresh, settled, signed, window_hashes
+from ledgerwatch.llm.common import arrow_rows, bounded, fresh, released, settled, signed, small_batches, window_hashes
 
 WINDOW = 8
 SHORTEST = 6
@@ -173,19 +173,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
           item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, item_windows, kind): one row per document and leaked item."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).filter("id is not null")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
     of_item, of_doc = dict(items.dtypes)["id"], dict(rows.dtypes)["id"]
-    length = settled(items.mapInArrow(_sizes, f"id {of_item}, size int").filter("size <> 0").distinct())
+    length = settled(items.mapInArrow(released(_sizes), f"id {of_item}, size int").filter("size <> 0").distinct())
     sizes = sorted(r["size"] for r in length.select("size").distinct().collect())
-    mine = items.mapInArrow(_windows(sizes, None), _schema(of_item)).join(length, ["id", "size"], "left_semi")
+    mine = items.mapInArrow(released(_windows(sizes, None)), _schema(of_item)).join(length, ["id", "size"], "left_semi")
     mine = settled(mine.select(F.col("id").alias("item"), "size", F.col("pos").alias("ipos"), "h", "template", F.col("slots").alias("islots")).distinct())
     total = mine.select("item", "size", "ipos").distinct().groupBy("item").agg(F.count("*").alias("item_windows"), F.min("size").alias("least"))
     wanted = None
     if mine.count() <= BROADCAST_WINDOWS:
         h = np.unique(mine.select("h").distinct().toPandas()["h"].to_numpy(dtype=np.int64).view(np.uint64))
         wanted = spark.sparkContext.broadcast(h)
-    hits = rows.mapInArrow(_windows(sizes, wanted), _schema(of_doc)).withColumnRenamed("id", "doc")
+    hits = rows.mapInArrow(released(_windows(sizes, wanted)), _schema(of_doc)).withColumnRenamed("id", "doc")
     met = hits.join(mine, ["h", "size", "template"]).select(
         "doc", "item", (F.col("pos") - F.col("ipos")).alias("off"), "ipos", "islots", "slots", (F.col("slots") == F.col("islots")).alias("same"))
     met = settled(met.distinct())
