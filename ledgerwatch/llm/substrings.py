@@ -17,7 +17,7 @@ such a block appears with the same name and offset in every occurrence of that w
 Every window is represented by one block interior to it: the one whose name in context, a hash of all words
 the block depended on, is smallest (a window without interior block represents itself by the hash of its
 words). Equal windows have equal interior blocks and so the same representative name. The tasks hand on each
-document's distinct representative names, about one for four words; Spark finds the smallest and largest document
+document's distinct representative names, about one for three words; Spark finds the smallest and largest document
 of every name in one shuffle by name. Only windows whose representative occurs in two documents are verified: the
 documents join their repeated names, a task sends the hashes of the windows of one representative as one row, and
 the smallest document per (name, window hash), 128 bits together, decides. The texts are shuffled once: the join
