@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import numpy as np
@@ -223,3 +224,25 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{folder}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Actions inside delete their shuffle files at their end; their result must be written or collected, not kept as a plan."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def emptied(df: DataFrame) -> None:
+    """Frees the files of a table from `written` that is read no more."""
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    if len(folders) == 1 and (folder := folders.pop()).rpartition("/")[2].startswith("llm-"):
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)

@@ -79,6 +79,28 @@ def test_suffix_tree_keeps_contexts_in_a_larger_corpus(spark):
     assert got["score"] > got["base_score"] + 10
 
 
+def test_suffix_tree_of_tables_frees_what_it_no_longer_reads(spark, tmp_path, monkeypatch):
+    """The table route leaves in the shared folder only symbols, weights and sums of documents, and no pair that occurs once is stored."""
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('a', id, ' b', id, ' c', id, if(id % 4 = 0, ' x y z', '')) as text")
+    want = sorted((r["doc_id"], round(r["score"], 6)) for r in suffix_tree.score(docs, *suffix_tree.train(docs)).collect())
+    monkeypatch.setattr(suffix_tree, "ARRAY_TOKENS", 0)
+    monkeypatch.setattr(suffix_tree, "HOT", 0)
+    made = []
+
+    def written(df):
+        made.append(str(tmp_path / f"llm-{len(made)}"))
+        df.write.parquet(made[-1])
+        return spark.read.schema(df.schema).parquet(made[-1])
+
+    monkeypatch.setattr(suffix_tree, "written", written)
+    tree, counts = suffix_tree.train(docs)
+    got = sorted((r["doc_id"], round(r["score"], 6)) for r in suffix_tree.score(docs, tree, counts).collect())
+    left = [t.count() for t in map(spark.read.parquet, made) if "id" not in t.columns]
+    assert got == want
+    assert sum(n > 20 for n in left) == 1 and counts.count() in left  # 1,204 symbols; pairs, longer grams and states are few or freed
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+
+
 def test_toxicity_on_held_out_labels(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
