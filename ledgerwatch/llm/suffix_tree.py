@@ -11,9 +11,11 @@ and states and entries grow with the corpus.
 
 All counts are Spark aggregations over the whole training text. Up to ARRAY_TOKENS training tokens (so at most half as
 many entries a level) the tree is arrays that are broadcast. Beyond, contexts and entries are Spark tables keyed by
-64 bits of hash: divergence is a grouped aggregate, every distinct gram of the scored texts (symbol and the words before
-it) gets its scores by joins once, the most frequent grams (at most HOT) are broadcast with their scores, and a
-document sends one row per other gram it has. Rows of a task are combined before every shuffle.
+64 bits of hash: divergence is a grouped aggregate, and the score of a text is the sum of the weights of its grams (see
+_weights). Longer grams are counted, and grams of a text looked up, only where a bit sketch of the kept ones has their bit; the
+sketch lets grams through in vain, more of them as it fills, and never holds one back. The weights of the most frequent
+grams (at most HOT) are broadcast; a document sends one row per other gram that it has, in PASSES passes, each with its
+share of the hashes. Tables and shuffle files are freed as soon as they are read no more.
 
 Defined cases: null and empty texts consist of the end only; words are told apart by 64 bits of hash; without
 training rows every count is 0; rows that repeat id and text repeat their scores; a null id is
