@@ -8,7 +8,7 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ledgerwatch.operators import boosting, engineering, evaluate, trees
+from ledgerwatch.operators import automl, boosting, engineering, evaluate, trees
 from ledgerwatch.operators.columns import align
 
 
@@ -130,3 +130,31 @@ def test_search_equals_a_search_with_mllib_and_stores_narrow_rows_on_disk(spark,
     got = boosting.grid_search(df.where("y is not null"), "y", "key", f, {}, {"learning_rate": [0.1, 0.3]}, folds=3, base=base).where("stage = 2").collect()
     assert [list(x)[2:] for x in sorted(got, key=lambda x: x["params"]["learning_rate"])] == [pytest.approx(w, abs=1e-9) for w in want]
     v.unpersist()
+
+
+def test_both_fits_of_a_table_read_the_same_blocks(spark, monkeypatch):
+    made_blocks, binned = [], trees.binned
+    monkeypatch.setattr(trees, "binned", lambda *a, **k: made_blocks.append(binned(*a, **k)) or made_blocks[-1])
+    m = automl.fit_table(rows(spark, 1200), "key", "y", params={"n_estimators": 3, "max_depth": 3}, min_cumulative=0.5, min_features=2).model
+    assert len(made_blocks) == 1 and len(m.columns) < len(m.features.outputs)
+    # the second fit equals one on blocks of its own columns only
+    layout = boosting.lay_out(rows(spark, 1200).where("y is not null"), "y", "key")
+    own = boosting.train(None, "y", "key", engineering.FittedFeatures(m.features.steps, m.features.inputs, m.features.categorical, m.features.fill, code_maps=m.features.code_maps),
+                         {"n_estimators": 3, "max_depth": 3}, use=m.columns, measure=False, layout=layout)
+    same_trees(m.trees, own.trees)
+    layout.release()
+
+
+def test_split_of_a_large_table_hashes_rows_once_and_counts_its_folds(spark, monkeypatch):
+    df, parts = rows(spark), [0.2, 0.3, 0.5]
+    want = sorted(map(tuple, evaluate.stratified_split(df, "y", "key", parts).select("key", "y", "a", "fold").collect()), key=str)
+    monkeypatch.setattr(evaluate, "is_small", lambda x: False)
+    stored, kind = [], type(df)
+    persist = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda x, level: stored.append((x.columns, level)) or persist(x, level))
+    counts = {}
+    got = evaluate.stratified_split(df, "y", "key", parts, tally=counts, hashed_as="h")
+    assert stored == [(["y", "_h"], StorageLevel.DISK_ONLY)]
+    assert sorted(map(tuple, got.select("key", "y", "a", "fold").collect()), key=str) == want
+    assert counts == {(x["y"], x["fold"]): x["n"] for x in got.where("y is not null").groupBy("y", "fold").agg(F.count("*").alias("n")).collect()}
+    assert got.where(F.col("h") != evaluate.split_hash("key")).count() == 0
